@@ -160,8 +160,10 @@ def decode(payload: bytes, block: int | None = None, checkpoint: int = 0) -> np.
 
 # tokenising: white space never is in a token of this vocabulary, so words are encoded once each
 
-_ODD = re.compile("[\x1c-\x1f]")
-_WORD = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+_ODD = re.compile("[" + chr(0x1C) + "-" + chr(0x1F) + "]")
+#: The code points of Unicode's White_Space property.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_WORD = re.compile(f"[^{_SPACES}]+")
 KEPT_WORDS = 300_000
 
 
