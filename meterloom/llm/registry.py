@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, digest, range_ans, secret_ledger, sharding, simhash_vp
+from . import bpe_sql, digest, ppm, range_ans, secret_ledger, sharding, simhash_vp
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_secret_ledger": secret_ledger.query,
         "op3_bpe_sql": bpe_sql.query,
         "op4_simhash_vp": simhash_vp.query,
+        "op5_ppm": ppm.query,
         "op7_range_ans_files": range_ans.query,
         "op8_sharding": sharding.query,
         "op10_canonical_digest": digest.query,
