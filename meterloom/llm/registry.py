@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, digest, ppm, range_ans, secret_ledger, sharding, simhash_vp
+from . import bpe_sql, digest, ppm, range_ans, secret_ledger, sharding, simhash_vp, tiling
 
 
 def queries() -> dict:
     return {
+        "op1_string_tiling": tiling.query,
         "op2_secret_ledger": secret_ledger.query,
         "op3_bpe_sql": bpe_sql.query,
         "op4_simhash_vp": simhash_vp.query,
