@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, digest, ppm, range_ans, secret_ledger, sharding, simhash_vp, tiling
+from . import bpe_sql, cotrain, digest, ppm, range_ans, secret_ledger, sharding, simhash_vp, style_tree, tiling
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_bpe_sql": bpe_sql.query,
         "op4_simhash_vp": simhash_vp.query,
         "op5_ppm": ppm.query,
+        "op6_cotraining": cotrain.query,
         "op7_range_ans_files": range_ans.query,
         "op8_sharding": sharding.query,
+        "op9_style_tree": style_tree.query,
         "op10_canonical_digest": digest.query,
     }
 
