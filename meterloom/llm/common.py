@@ -65,3 +65,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def hex16(col: Column) -> Column:
     """A bigint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
+
+
+class Kept(dict):
+    """A bounded table of what a worker has worked out: two generations, the older dropped when the newer is full.
+
+    ``missing(keys)`` gives the keys to work out and put in; afterwards all ``keys`` are in the table.
+    """
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def missing(self, keys: set) -> list:
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        old = self.old
+        for k in (new := keys - self.keys()) & old.keys():
+            self[k] = old.pop(k)
+        return [k for k in new if k not in self]

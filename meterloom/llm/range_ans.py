@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, written
+from .common import Kept, broadcast_if_small, documents, written
 
 SCALE = 20  # bits of the frequency scale; more than there are symbols in any of the public vocabularies
 LOW = np.uint64(1 << 31)  # a coder's state stays in [2**31, 2**63), words have 32 bits
@@ -160,37 +160,55 @@ def decode(payload: bytes, block: int | None = None, checkpoint: int = 0) -> np.
 
 # tokenising: white space never is in a token of this vocabulary, so words are encoded once each
 
-_ODD = re.compile("[" + chr(0x1C) + "-" + chr(0x1F) + "]")
-#: The code points of Unicode's White_Space property.
-_SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_WORD = re.compile(f"[^{_SPACES}]+")
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps (twice as many at most), and words in one call.
+KEPT_WORDS, CALL = 400_000, 512
+#: ASCII punctuation but the apostrophe between a letter and white space: always tokens of its own.
+_TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[\t-\r ]|$)")
 
 
 class Words:
-    """Ids of whole texts as little-endian 16- or 32-bit integers, word by word; the words seen are kept up to a bound."""
+    """Ids of whole texts as little-endian 16- or 32-bit integers, word by word; the words seen are kept up to a bound.
+
+    Words are cut at ASCII white space, which the tokenizer drops. Unless special tokens are looked
+    for, letters A-Z are lowered and punctuation cut from a word's end first, which the tokenizer does
+    itself; there are fewer different words then.
+    """
 
     def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.special = Tokenizer.from_file(path), special
         self.tokenizer.encode_special_tokens = not special
-        self.known: dict[str, bytes] = {}
+        self.known = Kept(KEPT_WORDS)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def _new(self, words: list[bytes]):
+        """(word, ids) of each word. Words of letters are encoded many at a time and told apart by the tokenizer's word numbers."""
+        texts = [w.decode() for w in words]
+        alone = [t for t in texts if not t.isalpha()]
+        letters = [t for t in texts if t.isalpha()]
+        for i in range(0, len(letters), CALL):
+            part = letters[i : i + CALL]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            numbers = np.array(got.word_ids)
+            ends = np.searchsorted(numbers, np.arange(len(part)), "right")
+            if numbers[-1] != len(part) - 1 or ends[0] == 0 or not np.diff(ends).all():
+                alone += part
+                continue
+            ids, size = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
+            for t, a, b in zip(part, [0, *ends.tolist()], ends.tolist()):
+                yield t, ids[size * a : size * b]
+        for i in range(0, len(alone), 10_000):
+            part = alone[i : i + 10_000]
+            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                yield t, np.array(e.ids, self.dtype).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # str.split() also cuts at U+001C to U+001F, which are no white space to the tokenizer
-        split = [_WORD.findall(t) if _ODD.search(t) else t.split() for t in texts]
+        split = [t.encode().split() if self.special else _TAIL.sub(rb" \1", t.encode().lower()).split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
+        new = known.missing(set().union(*split))
+        known.update((t.encode(), ids) for t, ids in self._new(new))
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
