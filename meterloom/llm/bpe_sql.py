@@ -222,7 +222,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", into:
     def made(texts):
         own = bpe(ranks, pattern)
         split = own.pieces([t or "" for t in texts])
-        ids = [np.array(",".join(own.known[p][0] for p in ps).split(",") if ps else [], np.int32) for ps in split]
+        ids = [np.fromstring(",".join([own.known[p][0] for p in ps]), np.int32, sep=",") if ps else np.empty(0, np.int32) for ps in split]
         return [pa.array(ids, pa.list_(pa.int32()))]
 
     return _by_text(docs, text, made, f"{into} array<int>")
@@ -249,6 +249,20 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
     return _by_text(docs, text, made, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and ``round_trip``: whether the ids decode to the text's bytes."""
+    def made(texts):
+        own = bpe(ranks, pattern)
+        split = own.pieces([t or "" for t in texts])
+        found = [[own.known[p] for p in ps] for ps in split]
+        ids = [np.fromstring(",".join([f[0] for f in fs]), np.int32, sep=",") if fs else np.empty(0, np.int32) for fs in found]
+        same = [b"".join([f[1] for f in fs]) == (t or "").encode() for t, fs in zip(texts, found)]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        return [pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids))), pa.array(same)]
+
+    return _by_text(docs, text, made, "n_tokens long, ids array<int>, round_trip boolean")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
