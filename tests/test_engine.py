@@ -29,7 +29,7 @@ def one(spark, value, kind="string"):
 def test_schema_is_pinned():
     assert schema.SCHEMA_ID == 1
     assert [f.name for f in schema.EVENT.fields][:6] == ["id", "ts_ns", "user_id", "api_key_id", "model", "provider"]
-    assert len(schema.DIMS) == 14 and len(schema.LABELS) == 8 and len(schema.EVENT.fields) == 48
+    assert len(schema.DIMS) == 14 and len(schema.LABELS) == 8 and len(schema.EVENT.fields) == 47
 
 
 def test_goldens(spark):
