@@ -6,8 +6,8 @@ the sequences of children that it has, and a node with text a content importance
 entropy of how its texts spread over the pages: a text that stands on every page counts nothing, one
 that stands on a single page counts in full. Both are normalised by the number of pages with the node
 (a node of one page is important) and combined, the parent's presentation with the weight
-``1 - GAMMA ** children``. Branches of low importance are removed, as long as the host has branches of
-twice their importance: where all pages are copies, nothing is chrome.
+``1 - GAMMA ** children``. Branches of low importance are removed, as long as the host has a branch that
+is not low and has twice their importance: where all pages are copies, nothing is chrome.
 
 What a branch's own tag and class say comes before the statistics, as most hosts have too few pages
 for them: navigation, page headers, footers, asides, forms, scripts, styles, adverts, notices and
@@ -186,7 +186,7 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
 def removed(trees: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """``host, nodes``: the nodes to remove, of the hosts that have any."""
     best = F.max("importance").over(Window.partitionBy("host"))
-    weak = trees.withColumn("best", best).where((F.col("pages") >= min_pages) & (F.col("importance") < low) & (F.col("best") >= 2 * F.col("importance")))
+    weak = trees.withColumn("best", best).where((F.col("pages") >= min_pages) & (F.col("importance") < low) & (F.col("best") >= F.greatest(F.lit(low), 2 * F.col("importance"))))
     return weak.groupBy("host").agg(F.collect_list("node").alias("nodes"))
 
 
