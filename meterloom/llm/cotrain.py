@@ -159,7 +159,8 @@ def _featured(rows: DataFrame, text: str):
             ], ["y", "content", "metadata"])
 
     got = rows.mapInArrow(run, _FEATURES).toArrow()
-    views = [np.array(got.column(c).combine_chunks().flatten()).reshape(got.num_rows, -1) for c in ("content", "metadata")]
+    sizes = {"content": PAIRS, "metadata": 14 + LANGUAGES + SOURCES}
+    views = [np.array(got.column(c).combine_chunks().flatten(), np.float32).reshape(got.num_rows, n) for c, n in sizes.items()]
     return views, np.array(got.column("y").fill_null(0)).astype(np.int64)
 
 

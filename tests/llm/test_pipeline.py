@@ -11,7 +11,8 @@ def test_stages(spark, data):
     model = cotrain.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in cotrain.score(docs, model).where("p_good >= 0.35").collect()}
     single = corpus_pipeline.near_dedup(spark, kept, data)
-    rows = {r["doc_id"]: int(f) for r, f in zip(got := kept.collect(), simhash_vp.fingerprints_of([r["text"] for r in got]))}
+    got = kept.collect()
+    rows = {r["doc_id"]: int(f) for r, f in zip(got, simhash_vp.fingerprints_of([r["text"] for r in got]))}
     ids, gone = sorted(rows), set()
     group = {i: i for i in ids}
     for i in ids:
