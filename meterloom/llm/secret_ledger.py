@@ -168,3 +168,28 @@ def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataF
     if length in docs.columns:
         new[length] = F.when(hit, F.length("masked").cast(docs.schema[length].dataType)).otherwise(F.col(f"row.{length}"))
     return rows.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
+
+def _sql_spans(rule: Rule) -> tuple[str, tuple[str, str, str]]:
+    """A list of (start, rank, end, kind): the texts between the matches place them, as in ``spans``."""
+    pattern = rule.pattern.replace("'", "''")
+    parts = f"string_split_regex(body, '{pattern}')", f"regexp_extract_all(body, '{pattern}', 0)", f"regexp_extract_all(body, '{pattern}', {rule.group})"
+    before = "list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0)"
+    return (f"list_transform(list_filter(range(1, len(m) + 1), lambda i: length(v[i]) >= {rule.least}), lambda i: {{'start': CAST({before} AS BIGINT), 'rank': {RULES.index(rule)}, "
+            f"'stop': CAST({before} + length(m[i]) AS BIGINT), 'kind': '{rule.kind}'}})"), parts
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB's SQL."""
+    steps, lists = [], []
+    for rule in RULES:
+        found, (pieces, matches, values) = _sql_spans(rule)
+        lists.append(f"{rule.kind}_found")
+        steps.append(f"(SELECT {found} FROM (SELECT {pieces} AS p, {matches} AS m, {values} AS v)) AS {rule.kind}_found")
+
+    def line(found: str) -> str:
+        return f"array_to_string(list_transform(list_sort({found}), lambda f: f.kind || ':' || f.start || ':' || f.stop), ',')"
+
+    base = " || ".join(lists[: len(BASE_RULES)])
+    return (f"WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), spans AS (SELECT doc_id, {', '.join(steps)} FROM docs) "
+            f"SELECT doc_id, {', '.join(f'CAST(len({r.kind}_found) AS BIGINT) AS n_{r.kind}' for r in BASE_RULES)}, sha256({line(base)}) AS base_sha256, {line(' || '.join(lists))} AS spans FROM spans")
