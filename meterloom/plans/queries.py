@@ -29,7 +29,7 @@ def usage_of_facts(name: str):
 
 
 def example_catalog(spark: SparkSession) -> DataFrame:
-    return catalog.with_names(catalog.rates(catalog.entries(spark.createDataFrame([(examples.CATALOG,)], "json string"))))
+    return catalog.held(spark, catalog.entries(spark.createDataFrame([(examples.CATALOG,)], "json string")), examples.CATALOG)
 
 
 def priced_rows(rows: DataFrame, **options) -> DataFrame:

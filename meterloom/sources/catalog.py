@@ -82,6 +82,20 @@ def with_names(priced: DataFrame) -> DataFrame:
     return spread.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
+_HELD: dict[tuple, DataFrame] = {}
+
+
+def held(spark: SparkSession, entry: DataFrame, version: str) -> DataFrame:
+    """The names of a catalog as a local table, built once a session and version; beyond the bound the plan itself."""
+    key = (spark.sparkContext.applicationId, version)
+    if key not in _HELD:
+        named = with_names(rates(entry))
+        rows = named.limit(BROADCAST_NAMES + 1).collect()
+        _HELD.clear()
+        _HELD[key] = spark.createDataFrame(rows, named.schema) if len(rows) <= BROADCAST_NAMES else named
+    return _HELD[key]
+
+
 def with_rates(events: DataFrame, catalog: DataFrame, model: str = "model") -> DataFrame:
     """``events`` with a struct ``rates``: the entry of the model's name, else of the name without its date, else null.
 
