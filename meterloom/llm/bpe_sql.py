@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import Kept, documents
 
 #: Pieces whose ids a worker keeps (twice as many at most), and pieces in one query.
-KNOWN, CHUNK = 400_000, 20_000
+KNOWN, CHUNK = 150_000, 10_000
 #: Bytes of the longest piece that is contracted pair by pair; rows of all rounds of a query on a longer one.
-SHORT, LONG_ROWS = 256, 2_000_000
+SHORT, LONG_ROWS = 256, 1_000_000
 
 #: Code points below which ``narrow`` spells classes out: Latin letters.
 NARROW = 0x250
@@ -119,7 +119,7 @@ class Bpe:
         with open(ranks, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.db.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         pairs = [(a, b, rank) for token, rank in self.ranks.items() for i in range(1, len(token))
@@ -209,8 +209,8 @@ def _by_text(docs: DataFrame, text: str, made, fields: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 new = made(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
 

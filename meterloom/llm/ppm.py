@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,10 +216,12 @@ def slices(counts: DataFrame, cells: int = CELLS) -> list[np.ndarray | None]:
 
     What comes to the driver is a count for each of at most 65,536 pairs.
     """
-    pair = (F.shiftright("code", 9).bitwiseAND(65535)).alias("pair")
+    context = F.shiftright("code", 9)
     wide = counts.agg(F.count_distinct(F.col("code").bitwiseAND(511))).first()[0] + 2
-    sizes = counts.select(pair, F.shiftright("code", 9).alias("context")).distinct().groupBy("pair").count().collect()
-    sizes = sorted(((ORDER - 1) * r["count"] * wide, r["pair"]) for r in sizes)
+    # nodes of the full order, and of each shorter one down to order 2, under a pair
+    nodes = [counts.select(context.bitwiseAND((1 << 8 * k) - 1).alias("context"), F.lit(1 if k == ORDER else 2).alias("tables")).distinct() for k in range(ORDER, 1, -1)]
+    nodes = reduce(DataFrame.unionAll, nodes).groupBy(F.col("context").bitwiseAND(65535).alias("pair")).agg(F.sum("tables").alias("rows"))
+    sizes = sorted((r["rows"] * wide, r["pair"]) for r in nodes.collect())
     if sum(n for n, _ in sizes) <= cells:
         return [None]
     out, room = [], 0
@@ -241,7 +244,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", cells: int =
     words = written(word_counts(training, "body"), "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, distinct = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
-    frequent = sc.broadcast({bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head).collect()})
+    most = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    frequent = sc.broadcast(dict(zip(most.column("word").to_pylist(), most.column("n").to_pylist())))
     counts = written(context_counts(training, "body"), "contexts")
     def cut(k):  # context and symbol with k bytes of context
         return (F.col("code").bitwiseAND((1 << (8 * k + 9)) - 1)).alias("code")
@@ -253,7 +257,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", cells: int =
         if mine is not None:
             pairs = sc.broadcast(mine)
             own = counts.mapInArrow(lambda batches: (b.filter(pa.array(pairs.value[b.column("code").to_numpy() >> 9 & 65535])) for b in batches), "code long, n long")
-        shared = sc.broadcast((*_collected(own), *low))
+        codes, n = _collected(own)
+        shared = sc.broadcast((codes, n.astype(np.uint32) if not len(n) or n.max() < 2**32 else n, *low))
         end_known = int(n_docs > 0)
         end_log = float(np.log10(n_docs + 1))
 
