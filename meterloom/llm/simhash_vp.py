@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, documents, hex16, written
@@ -219,13 +219,18 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(rows: DataFrame, first: Column, limit: int = LIMIT) -> DataFrame:
+    """``(fp, first, root)`` for every fingerprint of ``rows`` (written): the smallest ``first``, and the fingerprint that its component is known by."""
+    fps = written(rows.groupBy("fp").agg(F.min(first).alias("first")), "fingerprints")
+    roots = components(near_pairs(fps, limit))
+    return fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(rows: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """``(fp, component_id)`` for every fingerprint of ``rows`` (``key``, ``fp``; written)."""
-    fps = written(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprints")
-    roots = components(near_pairs(fps, limit))
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id")
+    found = rooted(rows, F.col(key), limit)
+    names = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found.join(names, "root").select("fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -234,14 +239,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of ``docs``: one of the smallest key, and any one of its repeats."""
+    """One row of each component of ``docs``: one of the smallest key (null only where all are), of its texts the one with the smallest hash, and any one of its repeats."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"))
     rows = rows.select(F.col(f"row.{key}").alias("key"), F.xxhash64(F.coalesce(f"row.{text}", F.lit(""))).alias("print"), "row")
     marks = with_fingerprint(rows.select("key", "print", F.col(f"row.{text}").alias("body")), "body").select("key", "print", "fp")
     marks = written(marks, "simhash")
-    named = marks.join(groups(marks, "key"), "fp").where(F.col("key").eqNullSafe(F.col("component_id")))
-    # of several texts under the smallest key one stays
-    kept = named.groupBy("component_id").agg(F.min("print").alias("print")).select(F.col("component_id").alias("k"), F.col("print").alias("p"))
+    # a key can be null or stand in several components, so one row is chosen for each root; rows with a key come first
+    first = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("k"), F.col("print").alias("p"))
+    kept = rooted(marks, first).groupBy("root").agg(F.min("first").alias("first")).select("first.k", "first.p")
     kept = rows.join(kept, F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p")), "left_semi")
     return kept.dropDuplicates(["key", "print"]).select(*(F.col(f"row.{c}").alias(c) for c in names))

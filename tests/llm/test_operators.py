@@ -270,6 +270,14 @@ def test_one_of_each_group_stays(odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in rows if r["doc_id"]) == [1, 3, 5, 7, 8, 20] and sum(r["doc_id"] is None for r in rows) == 1
 
 
+def test_unrelated_rows_under_one_key_stay(spark):
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[3]), (None, texts[4]), (8, texts[4]), (1, texts[5])]
+    kept = simhash_vp.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (1, texts[5])], key=str)
+
+
 # 5
 
 
