@@ -169,19 +169,29 @@ _TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[\t-\r ]|$)")
 class Words:
     """Ids of whole texts as little-endian 16- or 32-bit integers, word by word; the words seen are kept up to a bound.
 
-    Words are cut at ASCII white space, which the tokenizer drops. Unless special tokens are looked
-    for, letters A-Z are lowered and punctuation cut from a word's end first, which the tokenizer does
-    itself; there are fewer different words then.
+    Added tokens (``special``: as the library does unless told otherwise) are cut out of a text first,
+    as the tokenizer does itself. What is between them is cut at ASCII white space, which the tokenizer
+    drops, letters A-Z are lowered and punctuation is cut from a word's end, which it does too; there
+    are fewer different words then. A vocabulary whose added tokens look at what is around them, or at
+    normalised text, is left to the tokenizer, text by text.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.special = Tokenizer.from_file(path), special
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        self.plain.encode_special_tokens = True  # for words: none is an added token, but one can become it when lowered
         self.known = Kept(KEPT_WORDS)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.whole = any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added.values())
+        found = {t.content: i for i, t in added.items()} if special else {}
+        self.added = sorted(found, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
+        #: No word begins with a space, so these are told apart from words.
+        self.own = {b" " + c.encode(): np.array([i], self.dtype).tobytes() for c, i in found.items()}
 
     def _new(self, words: list[bytes]):
         """(word, ids) of each word. Words of letters are encoded many at a time and told apart by the tokenizer's word numbers."""
@@ -190,7 +200,7 @@ class Words:
         letters = [t for t in texts if t.isalpha()]
         for i in range(0, len(letters), CALL):
             part = letters[i : i + CALL]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            got = self.plain.encode(" ".join(part), add_special_tokens=False)
             numbers = np.array(got.word_ids)
             ends = np.searchsorted(numbers, np.arange(len(part)), "right")
             if numbers[-1] != len(part) - 1 or ends[0] == 0 or not np.diff(ends).all():
@@ -201,14 +211,25 @@ class Words:
                 yield t, ids[size * a : size * b]
         for i in range(0, len(alone), 10_000):
             part = alone[i : i + 10_000]
-            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            for t, e in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False)):
                 yield t, np.array(e.ids, self.dtype).tobytes()
 
+    def _split(self, text: str) -> list[bytes]:
+        if not any(c in text for c in self.added):
+            return _TAIL.sub(rb" \1", text.encode().lower()).split()
+        out: list[bytes] = []
+        for i, part in enumerate(self.cut.split(text)):
+            out += [b" " + part.encode()] if i % 2 else _TAIL.sub(rb" \1", part.encode().lower()).split()
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() if self.special else _TAIL.sub(rb" \1", t.encode().lower()).split() for t in texts]
+        if self.whole:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self._split(t) for t in texts]
         known = self.known
-        new = known.missing(set().union(*split))
+        new = known.missing(set().union(*split) - self.own.keys())
         known.update((t.encode(), ids) for t, ids in self._new(new))
+        known.update(self.own)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -222,7 +243,7 @@ def words(path: str, special: bool) -> Words:
 FILES = "file int, segment int, n_ids long, keys array<long>, lengths array<long>, payload binary"
 
 
-def encode_files(docs: DataFrame, tokenizer: str, end_id: int, special: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_files(docs: DataFrame, tokenizer: str, end_id: int, special: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the files: one for each segment, in ascending order of ``(file, segment)`` and, inside, of the key."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("tie", F.xxhash64("body"))

@@ -383,6 +383,21 @@ def test_words_are_the_tokenizers_own():
         assert np.frombuffer(got, w.dtype).tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)  # as it comes
+    odd = ["a <|endoftext|> b", "A<|endoftext|>B.<|startoftext|>", "<|ENDOFTEXT|> Word.<|endoftext|>'s it's", "e<|endoftext|>" + chr(0x301) + " e" + chr(0x301), "<|endoftext|><|endoftext|>", "<|endoftext| >", "<|endoftext|>  ", "plain. Text!", "", None]
+    assert t.encode(odd[0], add_special_tokens=False).ids == [320, 49407, 321]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    files = common.written(range_ans.encode_files(docs, WORDS, end_id=1), "test")
+    start = 0
+    for r in sorted(range_ans.decode_files(files).collect(), key=lambda r: r["key"]):
+        ids = t.encode(odd[r["key"]] or "", add_special_tokens=False).ids + [1]
+        assert (r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (start, ids), odd[r["key"]]
+        start += len(ids)
+
+
 # 8
 
 
