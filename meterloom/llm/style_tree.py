@@ -49,6 +49,10 @@ CHROME_WORDS = frozenset("""ad ads adbox advert adverts advertisement advertisin
 navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices popup modal overlay newsletter
 subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies respond
 pagination pager toolbar widget skip complementary contentinfo search""".split())
+#: First words of class tokens that say how something is laid out, or that it has none of it: with-sidebar, no-sidebar, category-search.
+LAYOUT = frozenset("with without no has not is category tag type format has-no hide".split())
+#: Elements that never are around the main text, whatever they hold.
+HEADS = frozenset("head title".split())
 #: What ends an open element of the same list when it starts.
 ENDS = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
         "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
@@ -64,16 +68,33 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"
 _WORDS = re.compile(r"[a-z]+")
 
 
+def _named(tag: str, names: str, article: bool) -> bool:
+    """Whether an element's own tag or names say that it is around the main text."""
+    if tag in CHROME or tag == "header" and not article:
+        return True
+    if not names or tag in ("html", "body", "main"):
+        return False
+    if tag == "article":  # its classes list categories and tags; only a name as a whole counts
+        return not CHROME_WORDS.isdisjoint(names.split())
+    return any(words[0] not in LAYOUT and not CHROME_WORDS.isdisjoint(words) for words in map(_WORDS.findall, names.split()) if words)
+
+
 def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
-    """(node, text, chrome, inside an article) of every block with text, in page order."""
-    out, stack, parts = [], [("", "", False, False)], []
+    """(node, text, chrome, inside an article) of every block with text, in page order.
+
+    Chrome is what stands in an element whose name says so, unless that element holds more than half of
+    the page's text and no article or main element outside of named ones has text.
+    """
+    # an element: tag, node, the named elements around it (numbers), inside an article, inside an article or main
+    out, stack, parts = [], [("", "", (), False, False)], []
+    named = 0
+    heads: set[int] = set()
 
     def flush():
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, path, chrome, article = next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])
-            out.append((path, text, chrome, article))
+            out.append((*next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])[1:], text))
 
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
@@ -108,31 +129,56 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
             if stack[i][0] in SCOPES:
                 break
         names = " ".join(sorted(v.strip("\"'").lower() for _, v in _NAMES.findall(m["attrs"]))) if m["attrs"] else ""
-        _, path, chrome, article = stack[-1]
-        if not chrome:
-            chrome = tag in CHROME or tag == "header" and not article or bool(names) and tag not in ("html", "body", "main") and not CHROME_WORDS.isdisjoint(_WORDS.findall(names))
-        if tag == "article":
-            article = True
+        _, path, around, article, core = stack[-1]
+        if _named(tag, names, article):
+            named += 1
+            around = (*around, named)
+            if tag in HEADS:
+                heads.add(named)
+        article, core = article or tag == "article", core or tag in ("article", "main")
         if tag in BLOCKS:
             path = f"{path}>{tag}.{names}" if names else f"{path}>{tag}"
         if not m["attrs"].endswith("/") or tag in BLOCKS:
-            stack.append((tag, path, chrome, article))
+            stack.append((tag, path, around, article, core))
     flush()
-    return out
+    return _judged(out, heads)
+
+
+def _judged(found: list[tuple], heads: set[int]) -> list[tuple[str, str, bool, bool]]:
+    """The blocks with the named elements around them judged by what they hold."""
+    held: dict[int, int] = {}
+    cored: set[int] = set()
+    total, free = 0, False
+    for _, around, _, core, text in found:
+        if not heads.isdisjoint(around):
+            continue
+        total += len(text)
+        free |= core and not around
+        for i in around:
+            held[i] = held.get(i, 0) + len(text)
+            if core:
+                cored.add(i)
+    most = {i for i, n in held.items() if 2 * n > total and (i in cored or not free)}
+    return [(path, text, not most.issuperset(around), article) for path, around, article, _, text in found]
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _main(page) -> list[tuple[str, str]]:
-    """The blocks that no rule removes."""
-    blocks = [b for b in blocks_of(page) if not b[2]]
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
+def _ruled(blocks: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
+    """The blocks that no rule removes; an article counts only if it has most of the text that is left."""
+    blocks = [b for b in blocks if not b[2]]
+    inside = [b for b in blocks if b[3]]
+    if 2 * sum(len(b[1]) for b in inside) > sum(len(b[1]) for b in blocks):
+        blocks = inside
     return [(path, text) for path, text, _, _ in blocks]
 
 
+def _main(page) -> list[tuple[str, str]]:
+    return _ruled(blocks_of(page))
+
+
 def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``host, node, pages, importance`` of every node with text that no rule removes."""
     def count(batches):

@@ -446,6 +446,25 @@ def test_pages():
         style_tree._main(broken)
 
 
+def test_names_do_not_take_the_main_text():
+    def text(page):
+        return [t for _, t in style_tree._main(page)]
+
+    body = "".join(f"<p>Paragraph {i} of the article itself</p>" for i in range(4))
+    want = [f"Paragraph {i} of the article itself" for i in range(4)]
+    assert text(f"<body><form action=x><div><nav>menu</nav>{body}</div></form></body>") == want
+    assert text(f'<body><nav>menu</nav><article class="post category-search tag-social">{body}</article><footer>f</footer></body>') == want
+    assert text(f'<body><div class="content with-sidebar">{body}</div><div class="sidebar">links</div></body>') == want
+    assert text(f'<body><div id="page" class="no-sidebar"><article>{body}</article></div></body>') == want
+    assert text(f'<body><div class="widget"><article>{body}</article></div></body>') == want
+
+
+def test_article_cards_do_not_take_the_main_text():
+    body = "".join(f"<p>Paragraph {i} of the page's own text</p>" for i in range(4))
+    got = [t for _, t in style_tree._main(f"<body><main>{body}<article><h3>A card</h3></article></main></body>")]
+    assert got[:4] == [f"Paragraph {i} of the page's own text" for i in range(4)]
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = [(i, f"https://Host.example/{i}", f"<body><div class=strip>Same line on every page</div><div class=text><p>Body {i} of its own</div></body>") for i in range(12)]
     rows += [(100 + i, "https://copies.example/", "<body><p>All the same</p></body>") for i in range(12)] + [(200, None, None), (201, "https://alone.example/", "<p>Alone</p>")]
