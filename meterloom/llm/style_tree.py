@@ -9,16 +9,20 @@ that stands on a single page counts in full. Both are normalised by the number o
 ``1 - GAMMA ** children``. Branches of low importance are removed, as long as the host has a branch that
 is not low and has twice their importance: where all pages are copies, nothing is chrome.
 
-What a branch's own tag and class say comes before the statistics, as most hosts have too few pages
-for them: navigation, page headers, footers, asides, forms, scripts, styles, adverts, notices and
-reader comments have importance 0. Where a page has an article element, text outside it has none
-either. A block is what stands between the starts and ends of block elements.
+The trees hold all blocks of a page. A node whose
+tag or class is that of navigation, page headers, footers, asides, forms, adverts, notices or reader
+comments has its importance lowered (``LOWERED``), by the share of its pages where that is so. An element that
+holds most of a page's text is never taken for chrome by its name unless an article elsewhere has text.
+A host with fewer than ``MIN_PAGES`` different pages is left to the rules: named elements go, and text
+outside article elements where these have most of what is left. The same names decide for a node
+that stands on fewer than ``MIN_PAGES`` pages of a larger host. A block is what stands between the starts
+and ends of block elements; scripts and styles are no text.
 
 Statistics are counts by (host, node, text), so a host with a third of all pages is spread by its
 texts. The second pass reads each page once more with the removed nodes of its host beside it.
 
 Defined results: null html gives an empty text, a null url is the host ''; unclosed, unopened and
-crossed tags are taken as browsers would, roughly, and never fail; repeated pages count and are
+crossed tags are taken as browsers would, roughly, and never fail; repeated pages are
 returned each; an empty table gives an empty result.
 """
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -35,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, written
 
 GAMMA, LOW, MIN_PAGES = 0.9, 0.15, 8
+#: What a name that is always that of chrome takes off a node's importance, as a share of it.
+LOWERED = 0.9
 
 #: Elements by what they do to text.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -50,7 +57,7 @@ navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies con
 subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies respond
 pagination pager toolbar widget skip complementary contentinfo search""".split())
 #: First words of class tokens that say how something is laid out, or that it has none of it: with-sidebar, no-sidebar, category-search.
-LAYOUT = frozenset("with without no has not is category tag type format has-no hide".split())
+LAYOUT = frozenset("with without no has not is category tag type format hide".split())
 #: Elements that never are around the main text, whatever they hold.
 HEADS = frozenset("head title".split())
 #: What ends an open element of the same list when it starts.
@@ -180,15 +187,18 @@ def _main(page) -> list[tuple[str, str]]:
 
 
 def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, node, pages, importance`` of every node with text that no rule removes."""
-    def count(batches):
+    """``host, node, pages, named, importance`` of every node with text; ``pages`` are pages, ``named`` those where its name is that of chrome."""
+    def features(batches):
         for batch in batches:
-            host, node, kind, feature = [], [], [], []
+            out: list[list] = [[], [], [], []]
             for h, p in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
                 seen: set = set()
                 children: dict[str, list[str]] = {}
-                for path, text in _main(p):
+                blocks = blocks_of(p)
+                for path, text, chrome, _ in blocks:
                     seen |= {(path, "page", 0), (path, "text", crc32(text.encode()) << 24 | crc32(text[::-1].encode()) & 0xFFFFFF)}
+                    if chrome:
+                        seen.add((path, "named", 0))
                     while path:
                         up, _, own = path.rpartition(">")
                         if (line := children.setdefault(up, []))[-1:] != [own]:
@@ -197,23 +207,24 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
                 for up, line in children.items():
                     seen |= {(up, "style", crc32(" ".join(line).encode())), (up, "page", 0)}
                     seen |= {(up, "child", crc32(c.encode())) for c in line}
-                host += [h] * len(seen)
-                for path, k, f in seen:
-                    node.append(path)
-                    kind.append(k)
-                    feature.append(f)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.string()), pa.array(kind, pa.string()), pa.array(feature, pa.int64())], ["host", "node", "kind", "feature"])
+                main = "\n".join(t for _, t in _ruled(blocks)).encode()
+                whole = "\n".join(f"{b[0]} {b[1]}" for b in blocks).encode()
+                row = [h, blake2b(main, digest_size=16).digest(), blake2b(whole, digest_size=16).digest(), [{"node": n, "kind": k, "feature": f} for n, k, f in sorted(seen)]]
+                for column, value in zip(out, row):
+                    column.append(value)
+            types = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct({"node": pa.string(), "kind": pa.string(), "feature": pa.int64()})))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "main", "whole", "seen"])
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
-    rows = rows.mapInArrow(count, "host string, node string, kind string, feature long")
-    counts = rows.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.mapInArrow(features, "host string, main binary, whole binary, seen array<struct<node string, kind string, feature long>>")
+    counts = rows.select("host", F.explode("seen").alias("s")).groupBy("host", "s.node", "s.kind", "s.feature").agg(F.count(F.lit(1)).alias("n"))
 
     def of(kind: str, value: Column) -> Column:
         return F.sum(F.when(F.col("kind") == kind, value))
 
     n = F.col("n")
     nodes = written(counts.groupBy("host", "node").agg(
-        of("page", n).alias("pages"), of("text", F.lit(1)).alias("texts"), of("text", F.log(n)).alias("spread"),
+        of("page", n).alias("pages"), F.coalesce(of("named", n), F.lit(0)).alias("named"), of("text", F.lit(1)).alias("texts"), of("text", F.log(n)).alias("spread"),
         of("style", n).alias("styled"), of("style", n * F.log(n)).alias("styles"), of("child", F.lit(1)).alias("children"),
     ), "style-tree")
     log = F.when(F.col("pages") > 1, F.log("pages"))
@@ -222,18 +233,30 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
         "host", F.col("node").alias("up"), "children",
         F.coalesce((F.log("pages") - F.col("styles") / F.col("pages")) / log, F.lit(1.0)).alias("presentation"))
     leaves = nodes.where("texts is not null").select(
-        "host", "node", "pages", F.regexp_replace("node", ">[^>]*$", "").alias("up"),
+        "host", "node", "pages", "named", F.regexp_replace("node", ">[^>]*$", "").alias("up"),
         F.coalesce(1 - F.col("spread") / F.col("texts") / log, F.lit(1.0)).alias("content"))
     weight = F.pow(F.lit(GAMMA), F.coalesce("children", F.lit(1)))
-    return leaves.join(inner, ["host", "up"], "left").select(
-        "host", "node", "pages", ((1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")).alias("importance"))
+    statistical = (1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")
+    leaves = leaves.join(inner, ["host", "up"], "left").select("host", "node", "pages", "named", (statistical * (1 - LOWERED * F.col("named") / F.col("pages"))).alias("importance"))
+    sizes = nodes.where("node = ''").select("host", F.col("pages").alias("host_pages"))
+    return leaves.join(sizes, "host")
 
 
 def removed(trees: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, nodes``: the nodes to remove, of the hosts that have any."""
-    best = F.max("importance").over(Window.partitionBy("host"))
-    weak = trees.withColumn("best", best).where((F.col("pages") >= min_pages) & (F.col("importance") < low) & (F.col("best") >= F.greatest(F.lit(low), 2 * F.col("importance"))))
-    return weak.groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    """``host, nodes, held`` of the hosts with enough pages: the nodes to remove, and those to keep whatever their name says."""
+    trees = trees.where(F.col("host_pages") >= min_pages).withColumn("best", F.max("importance").over(Window.partitionBy("host")))
+    known = F.col("pages") >= min_pages
+    weak = known & (F.col("importance") < low) & (F.col("best") >= F.greatest(F.lit(low), 2 * F.col("importance")))
+    return trees.groupBy("host").agg(F.collect_list(F.when(weak, F.col("node"))).alias("nodes"), F.collect_list(F.when(known & ~weak & (F.col("named") > 0) & (F.col("best") >= low), F.col("node"))).alias("held"))
+
+
+def _kept(page, nodes, held) -> list[str]:
+    """The main text's blocks: by the trees where the host has one, else by the rules."""
+    blocks = blocks_of(page)
+    if nodes is None:
+        return [t for _, t in _ruled(blocks)]
+    out, sure = set(nodes), set(held)
+    return [t for path, t, chrome, _ in blocks if path not in out and (not chrome or path in sure)]
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -241,14 +264,11 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str =
     gone = broadcast_if_small(written(removed(style_trees(pages, url, page), low, min_pages), "removed-nodes"))
     names = [c for c in pages.columns if c != page]
     rows = pages.select(F.struct(*names).alias("row") if names else F.struct(F.lit(1)).alias("row"), F.col(page).alias("page"), host_of(F.col(url)).alias("host"))
-    rows = rows.join(gone, "host", "left").select("row", "page", "nodes")
+    rows = rows.join(gone, "host", "left").select("row", "page", "nodes", "held")
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for p, nodes in zip(batch.column("page").to_pylist(), batch.column("nodes").to_pylist()):
-                out = set(nodes or ())
-                texts.append("\n".join(t for path, t in _main(p) if path not in out))
+            texts = ["\n".join(_kept(*r)) for r in zip(*(batch.column(c).to_pylist() for c in ("page", "nodes", "held")))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")

@@ -465,6 +465,15 @@ def test_article_cards_do_not_take_the_main_text():
     assert got[:4] == [f"Paragraph {i} of the page's own text" for i in range(4)]
 
 
+def test_trees_decide_where_there_are_pages(spark):
+    # outside the article, a line of each page's own and one of all; rows of the tree for both
+    rows = [(i, "https://h.example/", f"<body><div class=strip>Same line on every page</div><div class=lead>Lead {i} and more of it</div><article><p>Body {i} is longer than all that stands before it, by far, and goes on</p></article><footer>Foot</footer></body>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
+    assert got[4] == "Lead 4 and more of it\nBody 4 is longer than all that stands before it, by far, and goes on"
+    assert {">body>footer", ">body>div.strip"} <= {r["node"] for r in style_tree.style_trees(pages).collect()}
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = [(i, f"https://Host.example/{i}", f"<body><div class=strip>Same line on every page</div><div class=text><p>Body {i} of its own</div></body>") for i in range(12)]
     rows += [(100 + i, "https://copies.example/", "<body><p>All the same</p></body>") for i in range(12)] + [(200, None, None), (201, "https://alone.example/", "<p>Alone</p>")]
