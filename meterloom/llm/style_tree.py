@@ -9,7 +9,7 @@ that stands on a single page counts in full. Both are normalised by the number o
 ``1 - GAMMA ** children``. Branches of low importance are removed, as long as the host has a branch that
 is not low and has twice their importance: where all pages are copies, nothing is chrome.
 
-The trees hold all blocks of a page. A node whose
+The trees hold all blocks of a page, and pages of a host with the same main text count once. A node whose
 tag or class is that of navigation, page headers, footers, asides, forms, adverts, notices or reader
 comments has its importance lowered (``LOWERED``), by the share of its pages where that is so. An element that
 holds most of a page's text is never taken for chrome by its name unless an article elsewhere has text.
@@ -187,7 +187,7 @@ def _main(page) -> list[tuple[str, str]]:
 
 
 def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, node, pages, named, importance`` of every node with text; ``pages`` are pages, ``named`` those where its name is that of chrome."""
+    """``host, node, pages, named, importance`` of every node with text; ``pages`` are different pages, ``named`` those where its name is that of chrome."""
     def features(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -217,6 +217,8 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
     rows = rows.mapInArrow(features, "host string, main binary, whole binary, seen array<struct<node string, kind string, feature long>>")
+    # of the pages of a host with the same main text one counts
+    rows = rows.groupBy("host", "main").agg(F.min_by("seen", "whole").alias("seen"))
     counts = rows.select("host", F.explode("seen").alias("s")).groupBy("host", "s.node", "s.kind", "s.feature").agg(F.count(F.lit(1)).alias("n"))
 
     def of(kind: str, value: Column) -> Column:

@@ -474,6 +474,15 @@ def test_trees_decide_where_there_are_pages(spark):
     assert {">body>footer", ">body>div.strip"} <= {r["node"] for r in style_tree.style_trees(pages).collect()}
 
 
+def test_copies_count_once(spark):
+    def page(i, more=""):
+        return f"<body><article><h1>Title {i}</h1><p>Text of article {i}</p>{more}</article></body>"
+
+    rows = [(i, "https://h.example/", page(i % 3)) for i in range(999)] + [(999, "https://h.example/", page(0, "<blockquote>More</blockquote>"))]
+    got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 1000 and all(r["text"].startswith(f"Title {r['page_id'] % 3}\nText of article {r['page_id'] % 3}") for r in got)
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = [(i, f"https://Host.example/{i}", f"<body><div class=strip>Same line on every page</div><div class=text><p>Body {i} of its own</div></body>") for i in range(12)]
     rows += [(100 + i, "https://copies.example/", "<body><p>All the same</p></body>") for i in range(12)] + [(200, None, None), (201, "https://alone.example/", "<p>Alone</p>")]
