@@ -1,28 +1,30 @@
 """Operator 9, main text of pages by site style trees.
 
 The pages of a host are merged into a style tree: a node is an element's tag and class under its
-parent's node. Over all pages of the host an inner node has a presentation importance, the entropy of
-the sequences of children that it has, and a node with text a content importance, one less the mean
-entropy of how its texts spread over the pages: a text that stands on every page counts nothing, one
-that stands on a single page counts in full. Both are normalised by the number of pages with the node
-(a node of one page is important) and combined, the parent's presentation with the weight
-``1 - GAMMA ** children``. Branches of low importance are removed, as long as the host has a branch that
-is not low and has twice their importance: where all pages are copies, nothing is chrome.
-
-The trees hold all blocks of a page, and pages of a host with the same main text count once. A node whose
-tag or class is that of navigation, page headers, footers, asides, forms, adverts, notices or reader
-comments has its importance lowered (``LOWERED``), by the share of its pages where that is so. An element that
+parent's node. Over the ``m`` pages of a node, the sequences of children that it has give its presentation importance, their
+entropy to the base m, and its own texts its content importance, one less the mean entropy of how a text spreads over
+the pages: a text that stands on every page counts nothing, one that stands on a single page counts in full; on a single page
+both are 1. From the leaves up, the importance of a branch is its presentation with the weight ``1 - GAMMA ** children``
+and the mean of what is below it, weighted by pages, with the rest. A branch of importance below ``LOW`` is removed with all below it
+unless something there is surely important (``SURE``), and so are texts of low content in an
+element that stays. What repeats is only removed where the host has something that repeats less, twice as important: where all
+pages are copies, nothing is chrome. Hosts of every size go this one way.
+
+The trees hold all blocks of a page, and pages of a host with the same main text count once. What the
+page itself says of a node lowers its importance by the share of its pages where that is so: by ``LOWERED`` where
+its tag or class is that of navigation, page headers, footers, asides, forms, adverts, notices or reader
+comments, by ``OUTSIDE`` where it stands outside the article that has most of the text. An element that
 holds most of a page's text is never taken for chrome by its name unless an article elsewhere has text.
-A host with fewer than ``MIN_PAGES`` different pages is left to the rules: named elements go, and text
-outside article elements where these have most of what is left. The same names decide for a node
-that stands on fewer than ``MIN_PAGES`` pages of a larger host. A block is what stands between the starts
-and ends of block elements; scripts and styles are no text.
+A block is what stands between the starts and ends of block elements; scripts and styles are no text.
+Elements nested deeper than ``LEVELS`` blocks are parts of their ancestor there, as are those beyond ``DEPTH`` elements.
 
 Statistics are counts by (host, node, text), so a host with a third of all pages is spread by its
-texts. The second pass reads each page once more with the removed nodes of its host beside it.
+texts. The second pass reads each page once more; the nodes to remove go to it as hashes of 8 bytes, and beyond
+``GONE`` of them by a join, page by page.
 
 Defined results: null html gives an empty text, a null url is the host ''; unclosed, unopened and
-crossed tags are taken as browsers would, roughly, and never fail; repeated pages are
+crossed tags are taken as browsers would, roughly, and never fail; a tag that does not end before the page does is
+no text; reading takes time in proportion to a page's length whatever it holds; repeated pages are
 returned each; an empty table gives an empty result.
 """
 
@@ -30,18 +32,22 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import reduce
 from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import written
 
-GAMMA, LOW, MIN_PAGES = 0.9, 0.15, 8
-#: What a name that is always that of chrome takes off a node's importance, as a share of it.
-LOWERED = 0.9
+GAMMA, LOW, SURE = 0.9, 0.15, 0.5
+#: What a name that is always that of chrome, and a place outside the article, take off a node's importance, as shares of it.
+LOWERED, OUTSIDE = 0.9, 0.5
+#: Elements nested in one another, and blocks among them, that are told apart; nodes to remove that go to the workers.
+DEPTH, LEVELS, GONE = 512, 32, 1_000_000
 
 #: Elements by what they do to text.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -63,14 +69,16 @@ HEADS = frozenset("head title".split())
 #: What ends an open element of the same list when it starts.
 ENDS = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
         "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
+ENDED = {tag: [t for t, ends in ENDS.items() if tag in ends] for tag in BLOCKS}
 #: Elements out of which an unclosed element is not closed from inside.
 SCOPES = frozenset("html body article section div main table td th ul ol aside nav footer header form blockquote".split())
 
 _RAW_NAMES = "|".join(sorted(RAW))
-_ATTRS = r"""(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*"""
+#: Possessive, and a token that is not closed goes to the end of the page: no part of a page is tried in two ways.
+_ATTRS = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{_RAW_NAMES})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{_ATTRS})>|(?P<text>[^<]+|<)", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<raw>{_RAW_NAMES})(?=[\s/>]){_ATTRS}(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|(?P<text>[^<]++|<)", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -94,9 +102,15 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
     """
     # an element: tag, node, the named elements around it (numbers), inside an article, inside an article or main
     out, stack, parts = [], [("", "", (), False, False)], []
+    open_: Counter = Counter()  # elements on the stack, and those that stand too deep for it
+    deep: Counter = Counter()
     named = 0
     heads: set[int] = set()
 
+    def close(i):
+        open_.subtract(e[0] for e in stack[i:])
+        del stack[i:]
+
     def flush():
         text = " ".join("".join(parts).split())
         parts.clear()
@@ -114,9 +128,12 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
         if m["end"]:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
+            if deep[tag]:
+                deep[tag] -= 1
+                continue
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in SCOPES and tag not in SCOPES:
                     break
@@ -129,13 +146,13 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
             continue
         if tag in BLOCKS:
             flush()
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ENDED.get(tag, ())) else ():
             if tag in ENDS.get(stack[i][0], ()):
-                del stack[i:]
+                close(i)
                 break
             if stack[i][0] in SCOPES:
                 break
-        names = " ".join(sorted(v.strip("\"'").lower() for _, v in _NAMES.findall(m["attrs"]))) if m["attrs"] else ""
+        names = " ".join(sorted(v.strip("\"'").lower().replace(">", " ") for _, v in _NAMES.findall(m["attrs"]))) if m["attrs"] else ""
         _, path, around, article, core = stack[-1]
         if _named(tag, names, article):
             named += 1
@@ -143,10 +160,14 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
             if tag in HEADS:
                 heads.add(named)
         article, core = article or tag == "article", core or tag in ("article", "main")
-        if tag in BLOCKS:
+        if tag in BLOCKS and path.count(">") < LEVELS:
             path = f"{path}>{tag}.{names}" if names else f"{path}>{tag}"
         if not m["attrs"].endswith("/") or tag in BLOCKS:
+            if len(stack) > DEPTH:
+                deep[tag] += 1
+                continue
             stack.append((tag, path, around, article, core))
+            open_[tag] += 1
     flush()
     return _judged(out, heads)
 
@@ -186,34 +207,48 @@ def _main(page) -> list[tuple[str, str]]:
     return _ruled(blocks_of(page))
 
 
+def _features(page) -> tuple[bytes, bytes, list[dict]]:
+    """Hashes of the main text and of all blocks, and what each node of the page has, each once."""
+    blocks = blocks_of(page)
+    free = [b for b in blocks if not b[2]]
+    article = 2 * sum(len(b[1]) for b in free if b[3]) > sum(len(b[1]) for b in free)
+    seen: set = set()
+    children: dict[str, list[str]] = {}
+    nodes, plain, core = set(), set(), set()
+    for path, text, chrome, inside in blocks:
+        seen.add((path, "text", crc32(text.encode()) << 24 | crc32(text[::-1].encode()) & 0xFFFFFF))
+        while True:
+            nodes.add(path)
+            if not chrome:
+                plain.add(path)
+            if inside or not article:
+                core.add(path)
+            if not path:
+                break
+            path, _, own = path.rpartition(">")
+            if (line := children.setdefault(path, []))[-1:] != [own]:
+                line.append(own)
+    for up, line in children.items():
+        seen.add((up, "style", crc32(" ".join(line).encode())))
+        seen |= {(up, "child", crc32(c.encode())) for c in line}
+    for kind, found in (("page", nodes), ("named", nodes - plain), ("outside", nodes - core)):
+        seen |= {(n, kind, 0) for n in found}
+    main = "\n".join(t for _, t in _ruled(blocks)).encode()
+    whole = "\n".join(f"{b[0]} {b[1]}" for b in blocks).encode()
+    return blake2b(main, digest_size=16).digest(), blake2b(whole, digest_size=16).digest(), [{"node": n, "kind": k, "feature": f} for n, k, f in sorted(seen)]
+
+
 def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, node, pages, named, importance`` of every node with text; ``pages`` are different pages, ``named`` those where its name is that of chrome."""
+    """``host, node, pages, named, importance, content, top`` of every node.
+
+    ``pages``: different pages with the node; ``named``: those where all its text is chrome by its names;
+    ``importance``: of the branch; ``content``: of the node's own texts, null without; ``top``: the most of both in the branch.
+    """
     def features(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
-                seen: set = set()
-                children: dict[str, list[str]] = {}
-                blocks = blocks_of(p)
-                for path, text, chrome, _ in blocks:
-                    seen |= {(path, "page", 0), (path, "text", crc32(text.encode()) << 24 | crc32(text[::-1].encode()) & 0xFFFFFF)}
-                    if chrome:
-                        seen.add((path, "named", 0))
-                    while path:
-                        up, _, own = path.rpartition(">")
-                        if (line := children.setdefault(up, []))[-1:] != [own]:
-                            line.append(own)
-                        path = up
-                for up, line in children.items():
-                    seen |= {(up, "style", crc32(" ".join(line).encode())), (up, "page", 0)}
-                    seen |= {(up, "child", crc32(c.encode())) for c in line}
-                main = "\n".join(t for _, t in _ruled(blocks)).encode()
-                whole = "\n".join(f"{b[0]} {b[1]}" for b in blocks).encode()
-                row = [h, blake2b(main, digest_size=16).digest(), blake2b(whole, digest_size=16).digest(), [{"node": n, "kind": k, "feature": f} for n, k, f in sorted(seen)]]
-                for column, value in zip(out, row):
-                    column.append(value)
-            types = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct({"node": pa.string(), "kind": pa.string(), "feature": pa.int64()})))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["host", "main", "whole", "seen"])
+            got = [_features(p) for p in batch.column("page").to_pylist()]
+            types = (pa.binary(), pa.binary(), pa.list_(pa.struct({"node": pa.string(), "kind": pa.string(), "feature": pa.int64()})))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array(c, t) for c, t in zip(zip(*got) if got else ((),) * 3, types))], ["host", "main", "whole", "seen"])
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
     rows = rows.mapInArrow(features, "host string, main binary, whole binary, seen array<struct<node string, kind string, feature long>>")
@@ -225,52 +260,104 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
         return F.sum(F.when(F.col("kind") == kind, value))
 
     n = F.col("n")
-    nodes = written(counts.groupBy("host", "node").agg(
-        of("page", n).alias("pages"), F.coalesce(of("named", n), F.lit(0)).alias("named"), of("text", F.lit(1)).alias("texts"), of("text", F.log(n)).alias("spread"),
-        of("style", n).alias("styled"), of("style", n * F.log(n)).alias("styles"), of("child", F.lit(1)).alias("children"),
-    ), "style-tree")
+    nodes = counts.groupBy("host", "node").agg(
+        of("page", n).alias("pages"), F.coalesce(of("named", n), F.lit(0)).alias("named"), F.coalesce(of("outside", n), F.lit(0)).alias("outside"),
+        of("text", F.lit(1)).alias("texts"), of("text", F.log(n)).alias("spread"), of("style", n * F.log(n)).alias("styles"), of("child", F.lit(1)).alias("children"),
+    )
     log = F.when(F.col("pages") > 1, F.log("pages"))
-    # -sum (n / m) log_m (n / m), with m the pages of the node
-    inner = nodes.where("styled is not null").select(
-        "host", F.col("node").alias("up"), "children",
-        F.coalesce((F.log("pages") - F.col("styles") / F.col("pages")) / log, F.lit(1.0)).alias("presentation"))
-    leaves = nodes.where("texts is not null").select(
-        "host", "node", "pages", "named", F.regexp_replace("node", ">[^>]*$", "").alias("up"),
-        F.coalesce(1 - F.col("spread") / F.col("texts") / log, F.lit(1.0)).alias("content"))
-    weight = F.pow(F.lit(GAMMA), F.coalesce("children", F.lit(1)))
-    statistical = (1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")
-    leaves = leaves.join(inner, ["host", "up"], "left").select("host", "node", "pages", "named", (statistical * (1 - LOWERED * F.col("named") / F.col("pages"))).alias("importance"))
-    sizes = nodes.where("node = ''").select("host", F.col("pages").alias("host_pages"))
-    return leaves.join(sizes, "host")
-
-
-def removed(trees: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, nodes, held`` of the hosts with enough pages: the nodes to remove, and those to keep whatever their name says."""
-    trees = trees.where(F.col("host_pages") >= min_pages).withColumn("best", F.max("importance").over(Window.partitionBy("host")))
-    known = F.col("pages") >= min_pages
-    weak = known & (F.col("importance") < low) & (F.col("best") >= F.greatest(F.lit(low), 2 * F.col("importance")))
-    return trees.groupBy("host").agg(F.collect_list(F.when(weak, F.col("node"))).alias("nodes"), F.collect_list(F.when(known & ~weak & (F.col("named") > 0) & (F.col("best") >= low), F.col("node"))).alias("held"))
-
-
-def _kept(page, nodes, held) -> list[str]:
-    """The main text's blocks: by the trees where the host has one, else by the rules."""
-    blocks = blocks_of(page)
-    if nodes is None:
-        return [t for _, t in _ruled(blocks)]
-    out, sure = set(nodes), set(held)
-    return [t for path, t, chrome, _ in blocks if path not in out and (not chrome or path in sure)]
+    by_itself = (1 - LOWERED * F.col("named") / F.col("pages")) * (1 - OUTSIDE * F.col("outside") / F.col("pages"))
+    nodes = written(nodes.select(
+        "host", "node", (F.size(F.split("node", ">")) - 1).alias("depth"), F.regexp_replace("node", ">[^>]*$", "").alias("up"), "pages", "named", "children", by_itself.alias("by_itself"),
+        # -sum (n / m) log_m (n / m), with m the pages of the node
+        F.when(F.col("children").isNotNull(), F.coalesce((F.log("pages") - F.col("styles") / F.col("pages")) / log, F.lit(1.0))).alias("presentation"),
+        F.when(F.col("texts").isNotNull(), F.coalesce(1 - F.col("spread") / F.col("texts") / log, F.lit(1.0))).alias("raw"),
+    ), "style-tree")
+    levels: list[DataFrame] = []
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        own = nodes.where(F.col("depth") == depth)
+        below = levels[-1] if levels else nodes.select("host", "up", "pages", F.lit(0.0).alias("importance"), F.lit(0.0).alias("top")).limit(0)
+        below = below.groupBy("host", F.col("up").alias("node")).agg(F.sum("pages").alias("of"), F.sum(F.col("pages") * F.col("importance")).alias("sum"), F.max("top").alias("most"))
+        own = own.join(below, ["host", "node"], "left")
+        texts = F.when(F.col("raw").isNotNull(), F.col("pages")).otherwise(0)
+        mean = (F.coalesce("sum", F.lit(0.0)) + texts * F.coalesce("raw", F.lit(0.0))) / (F.coalesce("of", F.lit(0)) + texts)
+        weight = F.pow(F.lit(GAMMA), F.coalesce("children", F.lit(0)))
+        own = own.withColumns({"importance": ((1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * mean) * F.col("by_itself"), "content": F.col("raw") * F.col("by_itself")})
+        own = own.select("host", "node", "up", "pages", "named", "importance", "content", F.greatest("importance", "content", "most").alias("top"))
+        levels.append(written(own, f"style-tree-{depth}"))
+    return reduce(DataFrame.unionAll, levels)
+
+
+def removed(trees: DataFrame, low: float = LOW) -> DataFrame:
+    """``host, node, what``: the branches to remove with all below them, and the nodes whose own texts (``text``) go."""
+    best = trees.where("node = ''").select("host", F.col("top").alias("best"))
+
+    def weak(c: Column) -> Column:
+        return (c < low) & ((2 * F.col("named") >= F.col("pages")) | (F.col("best") >= F.greatest(F.lit(low), 2 * c)))
+
+    what = F.when(weak(F.col("importance")) & (F.col("top") < SURE), "branch").when(weak(F.col("content")), "text")
+    return trees.join(best, "host").select("host", "node", what.alias("what")).where("what is not null")
+
+
+def _hashed(host: Column, node: Column, what: Column) -> Column:
+    return F.xxhash64(F.concat_ws("\n", what, host, node))
+
+
+class Gone:
+    """Whether blocks of a host are removed, by the hashes of what is."""
+
+    def __init__(self, hashes):
+        from xxhash import xxh64_intdigest
+
+        self.hashes, self.xxh, self.known = hashes, xxh64_intdigest, {}
+
+    def _has(self, what: str, host: str, node: str) -> bool:
+        return self.xxh(f"{what}\n{host}\n{node}".encode(), 42) in self.hashes
+
+    def branch(self, host: str, node: str) -> bool:
+        if len(self.known) > 100_000:
+            self.known.clear()
+        if (host, node) not in self.known:
+            up = node.rpartition(">")[0]
+            self.known[host, node] = self._has("branch", host, node) or node != "" and self.branch(host, up)
+        return self.known[host, node]
+
+    def kept(self, page, host: str) -> str:
+        return "\n".join(t for node, t, _, _ in blocks_of(page) if not self.branch(host, node) and not self._has("text", host, node))
+
+
+def _gone_of_pages(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (``host``, ``page``) with ``hashes``, what is removed of the nodes that a page has, whatever their number on its host."""
+    def nodes(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for host, mark, page in zip(*(batch.column(c).to_pylist() for c in ("host", "mark", "page"))):
+                paths = {b[0].rsplit(">", i)[0] for b in blocks_of(page) for i in range(b[0].count(">") + 1)}
+                out += [(host, mark, p) for p in paths]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 3, (pa.string(), pa.binary(), pa.string()))], ["host", "mark", "node"])
+
+    rows = rows.withColumn("mark", F.unhex(F.sha2(F.coalesce("page", F.lit("")), 256)))
+    own = rows.select("host", "mark", "page").mapInArrow(nodes, "host string, mark binary, node string").distinct().join(gone, ["host", "node"])
+    own = own.groupBy("host", "mark").agg(F.collect_list(_hashed(F.col("host"), F.col("node"), F.col("what"))).alias("hashes"))
+    return rows.join(own, ["host", "mark"], "left").drop("mark")
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", low: float = LOW, most: int = GONE) -> DataFrame:
     """``pages`` with the main text of ``page`` instead of it."""
-    gone = broadcast_if_small(written(removed(style_trees(pages, url, page), low, min_pages), "removed-nodes"))
+    gone = written(removed(style_trees(pages, url, page), low), "removed-nodes")
     names = [c for c in pages.columns if c != page]
     rows = pages.select(F.struct(*names).alias("row") if names else F.struct(F.lit(1)).alias("row"), F.col(page).alias("page"), host_of(F.col(url)).alias("host"))
-    rows = rows.join(gone, "host", "left").select("row", "page", "nodes", "held")
+    few = gone.count() <= most
+    if few:
+        hashes = gone.select(_hashed(F.col("host"), F.col("node"), F.col("what")).alias("h")).toArrow().column("h").to_numpy()
+        shared = pages.sparkSession.sparkContext.broadcast(hashes.view("u8"))
+    else:
+        rows = _gone_of_pages(rows, gone)
 
     def run(batches):
+        of_all = Gone(set(shared.value.tolist())) if few else None
         for batch in batches:
-            texts = ["\n".join(_kept(*r)) for r in zip(*(batch.column(c).to_pylist() for c in ("page", "nodes", "held")))]
+            own = [of_all] * batch.num_rows if few else [Gone({h % 2**64 for h in hs or ()}) for hs in batch.column("hashes").to_pylist()]
+            texts = [g.kept(p, h) for g, p, h in zip(own, batch.column("page").to_pylist(), batch.column("host").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")

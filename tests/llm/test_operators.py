@@ -507,6 +507,83 @@ def test_copies_count_once(spark):
     assert len(got) == 1000 and all(r["text"].startswith(f"Title {r['page_id'] % 3}\nText of article {r['page_id'] % 3}") for r in got)
 
 
+def test_importance_is_that_of_brute_force(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(5)]
+
+    def part(depth):
+        if depth == 3 or rnd.random() < 0.4:
+            return f"<p class={rnd.choice('ab')}>{rnd.choice(words)} {rnd.choice(words)}</p>"
+        return f"<{(t := rnd.choice(('div', 'section', 'nav')))} class={rnd.choice('ab')}>{''.join(part(depth + 1) for _ in range(rnd.randint(1, 3)))}</{t}>"
+
+    rows = [(i, f"https://{'abc'[min(i // 12, 2)]}.example/", f"<body>{part(0)}{part(0)}</body>") for i in range(25)]
+    got = {(r["host"], r["node"]): r for r in style_tree.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hosts = {}
+    for _, url, page in rows:
+        blocks = style_tree.blocks_of(page)
+        hosts.setdefault(url[8:-1], {}).setdefault(tuple(style_tree._ruled(blocks)) and "\n".join(t for _, t in style_tree._ruled(blocks)), []).append(blocks)
+    n = 0
+    for host, by_text in hosts.items():
+        pages = [min(same, key=lambda bs: hashlib.blake2b("\n".join(f"{b[0]} {b[1]}" for b in bs).encode(), digest_size=16).digest()) for same in by_text.values()]
+        nodes = {b[0].rsplit(">", i)[0] for bs in pages for b in bs for i in range(b[0].count(">") + 1)} | {""}
+
+        def entropy(counts, m):
+            return -sum(c / sum(counts) * math.log(c / sum(counts), m) for c in counts)
+
+        def own(node):
+            return [[b for b in bs if b[0] == node or b[0].startswith(node + ">")] for bs in pages]
+
+        def importance(node):
+            mine = [bs for bs in own(node) if bs]
+            m, texts, styles, kids = len(mine), {}, Counter(), set()
+            for p, bs in enumerate(mine):
+                line = []
+                for b in bs:
+                    if b[0] == node:
+                        texts.setdefault(b[1], set()).add(p)
+                    elif (k := b[0][len(node) + 1 :].split(">")[0]) != (line or [None])[-1]:
+                        line.append(k)
+                if line:
+                    styles[tuple(line)] += 1
+                kids |= set(line)
+            content = (1.0 if m == 1 else 1 - sum(math.log(len(v), m) for v in texts.values()) / len(texts)) if texts else None
+            seen = [(sum(1 for bs in own(f"{node}>{k}") if bs), importance(f"{node}>{k}")[0]) for k in kids] + ([(m, content)] if texts else [])
+            mean = sum(w * x for w, x in seen) / sum(w for w, _ in seen)
+            shown = 1.0 if m == 1 else (math.log(m) - sum(c * math.log(c) for c in styles.values()) / m) / math.log(m)
+            weight = 0.9 ** len(kids)
+            return ((1 - weight) * shown * bool(kids) + weight * mean) * (1 - 0.9 * sum(all(b[2] for b in bs) for bs in mine) / m), m
+
+        for node in nodes:
+            want, m = importance(node)
+            assert abs(got[host, node]["importance"] - want) < 1e-9 and got[host, node]["pages"] == m, (host, node)
+            n += 1
+    assert n == len(got) > 40
+
+
+def test_branches_go_and_hosts_of_any_size_are_alike(spark):
+    def page(i, tail):
+        return f"<body><div class=strip><p>Same line</p><span>and same text</span><div class=x{i}>rare {i}</div></div><div class=text><p>Body {i} of its own</p><p>More {i}</p></div>{tail}</body>"
+
+    rows = [(i, "https://h.example/", page(i, "")) for i in range(30)] + [(100 + i, "https://two.example/", page(i, "<footer>Foot</footer>")) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
+    assert got[3].endswith("Body 3 of its own\nMore 3") and "Same line" not in got[3]
+    assert got[100].endswith("Body 0 of its own\nMore 0") and "Foot" not in got[100] and "Same line" not in got[100]
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(pages, most=0).collect()} == got
+
+
+def test_malformed_pages_take_no_time():
+    import time
+
+    began = time.time()
+    for page in ("<a" + ' x="1"' * 5000, "<a " * 100_000, "<div>" * 50_000 + "deep" + "</div>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<li><ul>" + "<b>" * 20_000 + "<li>x</li>" * 20_000, "<script>" + "</script " * 50_000,
+                 "<p " + "='" * 50_001, "<p class=" + " " * 100_000 + "x", "<!--" * 50_000, "&" * 100_000):
+        style_tree.blocks_of(page)
+        style_tree._features(page)
+    assert time.time() - began < 30
+    assert style_tree.blocks_of("<div>" * 600 + "deep" + "</div>" * 600 + "<p>after")[-1][:2] == (">p", "after")
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = [(i, f"https://Host.example/{i}", f"<body><div class=strip>Same line on every page</div><div class=text><p>Body {i} of its own</div></body>") for i in range(12)]
     rows += [(100 + i, "https://copies.example/", "<body><p>All the same</p></body>") for i in range(12)] + [(200, None, None), (201, "https://alone.example/", "<p>Alone</p>")]
