@@ -5,14 +5,15 @@ once. There, rows of (word, position, token) join the table of merges; each roun
 word's leftmost pair of lowest rank, until no word has a pair. A piece that is a token itself is that
 token. Decoding joins ids with the vocabulary and puts the bytes together in the order of positions.
 
-A piece of over 256 bytes (a run of spaces, a line of one letter) would take a round for each merge.
-There a round contracts all occurrences of the word's lowest pair from left to right, which gives the
-same as one after the other unless the new token is part of a token of lower rank; for such tokens it
-contracts the leftmost only.
+A piece of over ``SHORT`` bytes (a run of spaces, a line of letters) is contracted in overlapping windows. Tokens are the
+piece's own exactly if each two neighbours are what their bytes contract to by themselves: the first
+contraction over an edge would happen between the two alone as well. So where two windows have a
+token in common, what is before it in the one and after it in the other join to the ids of both; where
+they have none, a window is taken anew from an edge between tokens, and twice as long if need be.
 
 Defined results: a null text is an empty one, with no ids and no bytes; repeated rows each get their
 row; an empty table gives an empty result. Memory follows the longest text and the bounded table of
-known pieces.
+known pieces; the rows of a query are bounded whatever the pieces are.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ from .common import Kept, documents
 
 #: Pieces whose ids a worker keeps (twice as many at most), and pieces in one query.
 KNOWN, CHUNK = 150_000, 10_000
-#: Bytes of the longest piece that is contracted pair by pair; rows of all rounds of a query on a longer one.
-SHORT, LONG_ROWS = 256, 1_000_000
+#: Bytes of the longest piece that is contracted whole, of a window and of what two windows share, windows looked at together, and rows of all rounds of a query.
+SHORT, WINDOW, SHARED, WINDOWS, ROWS = 96, 64, 32, 4096, 600_000
+#: Ids that are decoded as one list.
+IDS = 8192
+#: Bytes of a longer piece whose ids are kept for the next text; beyond, it stands alone.
+KEEP = 4096
 
 #: Code points below which ``narrow`` spells classes out: Latin letters.
 NARROW = 0x250
@@ -55,8 +60,8 @@ def narrow(pattern: str) -> str:
     return "".join(out)
 
 
-# best: rank, then positions of the pair's left and right token and of the token after them
-_SHORT_SQL = """
+# best: rank, then positions of the pair's left and right token and of the token after them, {bits} each
+_SQL = """
 WITH RECURSIVE state(round, word, pos, nxt, tok) AS (
   SELECT 0, word, pos, pos + 1, tok FROM rows
   UNION ALL
@@ -64,45 +69,22 @@ WITH RECURSIVE state(round, word, pos, nxt, tok) AS (
           CASE WHEN s.pos = p.l THEN p.after ELSE s.nxt END,
           CASE WHEN s.pos = p.l THEN p.id ELSE s.tok END
    FROM state s JOIN (
-     SELECT word, (best >> 42)::INT AS id, (best >> 28) & 16383 AS l, (best >> 14) & 16383 AS r, best & 16383 AS after
-     FROM (SELECT a.word, min((m.id::BIGINT << 42) | (a.pos << 28) | (a.nxt << 14) | b.nxt) AS best
+     SELECT word, (best >> 3 * {bits})::INT AS id, (best >> 2 * {bits}) & {mask} AS l, (best >> {bits}) & {mask} AS r, best & {mask} AS after
+     FROM (SELECT a.word, min((m.id::{wide} << 3 * {bits}) | (a.pos::{wide} << 2 * {bits}) | (a.nxt::{wide} << {bits}) | b.nxt) AS best
            FROM state a
-           JOIN state b ON ((a.word::BIGINT << 14) | a.nxt) = ((b.word::BIGINT << 14) | b.pos)
+           JOIN state b ON ((a.word::BIGINT << {bits}) | a.nxt) = ((b.word::BIGINT << {bits}) | b.pos)
            JOIN merges m ON m.pair = ((a.tok::BIGINT << 32) | b.tok)
            GROUP BY a.word)
    ) p ON s.word = p.word
-   WHERE s.pos <> p.r))
+   WHERE s.pos <> p.r AND s.round < $rounds))
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round)
 GROUP BY word ORDER BY word
 """
 
-# one word; as many rounds as keep the rows of all rounds within bounds
-_LONG_SQL = """
-WITH RECURSIVE state(round, pos, tok, open) AS (
-  SELECT 0, pos, tok, true FROM rows
-  UNION ALL
-  (WITH pairs AS (
-    SELECT p.*, m.id, min(m.id) OVER () AS best
-    FROM (SELECT *, lead(tok) OVER (ORDER BY pos) AS nxt, row_number() OVER (ORDER BY pos) AS nth FROM state WHERE open AND round < $rounds) p
-    LEFT JOIN merges m ON m.pair = ((p.tok::BIGINT << 32) | p.nxt)
-  ), hits AS (
-    SELECT *, id IS NOT NULL AND id = best AS hit FROM pairs
-  ), runs AS (
-    SELECT *, coalesce(max(CASE WHEN NOT hit THEN nth END) OVER (ORDER BY nth), 0) AS miss, min(CASE WHEN hit THEN nth END) OVER () AS leftmost
-    FROM hits
-  ), taken AS (
-    SELECT runs.*, hit AND (nth - miss) % 2 = 1 AND (nth = leftmost OR risky.id IS NULL) AS took FROM runs LEFT JOIN risky ON risky.id = best
-  )
-  SELECT round + 1, pos, CASE WHEN took THEN best ELSE tok END, best IS NOT NULL
-  FROM (SELECT *, lag(took, 1, false) OVER (ORDER BY nth) AS gone FROM taken)
-  WHERE NOT gone))
-SELECT pos, tok, open FROM state WHERE round = (SELECT max(round) FROM state) ORDER BY pos
-"""
-
 _DECODE_SQL = """
 SELECT word, string_agg(hex(v.bytes), '' ORDER BY pos) AS hexed
-FROM ids JOIN vocabulary v USING (id) GROUP BY word
+FROM ids JOIN vocabulary v USING (id) GROUP BY word ORDER BY word
 """
 
 
@@ -118,6 +100,8 @@ class Bpe:
         self.split_narrow, self.wide = re.compile(narrow(pattern)).findall, re.compile(f"[^{chr(0)}-{chr(NARROW - 1)}]").search
         with open(ranks, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.lengths[list(self.ranks.values())] = [len(token) for token in self.ranks]
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.db.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
@@ -127,10 +111,9 @@ class Bpe:
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs))
         self.db.register("given", pa.table({"pair": (left << 32) | right, "id": rank.astype(np.int32)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.register("given", pa.table({"id": np.unique(np.concatenate((left[rank < left], right[rank < right]))).astype(np.int32)}))
-        self.db.execute("CREATE TABLE risky AS SELECT * FROM given")
         self.db.unregister("given")
         self.known = Kept(KNOWN)
+        self.long: list[str] = []
 
     def split(self, text: str) -> list[str]:
         return self.split_any(text) if self.wide(text) else self.split_narrow(text)
@@ -147,52 +130,133 @@ class Bpe:
         """Ids of each piece."""
         whole = [self.ranks.get(w) for w in words]
         out: list = [[] if not w else [i] if i is not None else None for w, i in zip(words, whole)]
-        for sized, contract in ((lambda w: len(w) <= SHORT, self._short), (lambda w: len(w) > SHORT, self._long)):
-            at = [i for i, w in enumerate(words) if out[i] is None and sized(w)]
-            for i in range(0, len(at), CHUNK):
-                part = at[i : i + CHUNK]
-                for k, ids in zip(part, contract([words[k] for k in part])):
-                    out[k] = ids
+        short = [i for i, w in enumerate(words) if out[i] is None and len(w) <= SHORT]
+        for i, ids in zip(short, self._contract([words[i] for i in short])):
+            out[i] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = self._joined(words[i])
         return out
 
-    def _short(self, words: list[bytes]) -> list[list[int]]:
-        self.db.register("rows", self._rows(words))
-        return self.db.sql(_SHORT_SQL).to_arrow_table().column("ids").to_pylist()
-
-    def _long(self, words: list[bytes]) -> list[list[int]]:
-        out = []
-        for w in words:
-            rows = self._rows([w])
-            while True:
-                self.db.register("rows", rows)
-                rows = self.db.sql(_LONG_SQL, params={"rounds": max(1, LONG_ROWS // len(rows))}).to_arrow_table()
-                if not rows.column("open")[0].as_py():
-                    break
-            out.append(rows.column("tok").to_pylist())
+    def _contract(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word by as many queries as keep their rows, at most half the square of a word's bytes each, within bounds."""
+        out: list[list[int]] = []
+        part: list[bytes] = []
+        rows = 0
+        for w in [*words, None]:
+            more = len(w) * (len(w) + 3) // 2 if w is not None else 0
+            if part and (w is None or len(part) == CHUNK or rows + more > ROWS):
+                out += self._query(part)
+                part, rows = [], 0
+            if w is not None:
+                part.append(w)
+                rows += more
         return out
 
+    def _query(self, words: list[bytes]) -> list[list[int]]:
+        longest = max(map(len, words))
+        bits, wide = (14, "BIGINT") if longest < 1 << 14 else (28, "HUGEINT")
+        sql = _SQL.format(bits=bits, mask=(1 << bits) - 1, wide=wide)
+        rounds = max(1, ROWS // longest) if len(words) == 1 else longest
+        rows = self._rows(words)
+        while True:
+            self.db.register("rows", rows)
+            got = self.db.sql(sql, params={"rounds": rounds}).to_arrow_table().column("ids").to_pylist()
+            if len(words) > 1 or len(rows) - len(got[0]) < rounds:
+                return got
+            tokens = np.array(got[0], np.int32)  # a long word goes on where the query left it
+            rows = pa.table({"word": np.zeros(len(tokens), np.int32), "pos": np.arange(len(tokens)), "tok": tokens})
+
+    def _spans(self, start: int, ids: list[int]) -> list[tuple[int, int]]:
+        """(end, id) of each token of a window at ``start``."""
+        ends = start + np.cumsum(self.lengths[ids])
+        return list(zip(ends.tolist(), ids))
+
+    def _joined(self, word: bytes) -> list[int]:
+        """Ids of a long word from those of its windows."""
+        n, step = len(word), WINDOW - SHARED
+        done = self._spans(0, self._contract([word[:WINDOW]])[0])  # ends and ids of the tokens so far; they are those of a part from 0 on
+        known: dict[bytes, list[int]] = {}
+
+        def of(part: bytes) -> list[int]:
+            if part not in known:
+                known[part] = self._contract([part])[0]
+            return known[part]
+
+        def join(start: int, own: list[tuple[int, int]]) -> bool:
+            """Go on with a window at ``start`` after a token that both have."""
+            at = {end: i for i, (end, _) in enumerate(own)}
+            k = len(done) - 1
+            while k >= 0 and done[k][0] > start:
+                i = at.get(done[k][0])
+                if i is not None and own[i][1] == done[k][1]:
+                    if i + 1 < len(own):
+                        done[k + 1 :] = own[i + 1 :]
+                    return True
+                k -= 1
+            return False
+
+        for first in range(0, n, step * WINDOWS):
+            starts = range(max(first, step), min(n, first + step * WINDOWS), step)
+            known = {}
+            parts = list(dict.fromkeys(word[a : a + WINDOW] for a in starts))
+            known.update(zip(parts, self._contract(parts)))
+            for a in starts:
+                b = min(n, a + WINDOW)
+                size = WINDOW
+                if done[-1][0] >= b or join(a, self._spans(a, known[word[a:b]])):
+                    continue
+                while done[-1][0] < b:  # no token in common: from an edge that is sure to be one here
+                    k = len(done) - 1
+                    while k > 0 and done[k - 1][0] > done[-1][0] - size // 2:
+                        k -= 1
+                    start = done[k - 1][0] if k else 0
+                    own = self._spans(start, of(word[start : start + size]))
+                    if not k and start + size >= n:
+                        done[:] = own
+                    elif not k:
+                        if own[-1][0] > done[-1][0]:
+                            done[:] = own
+                        size *= 2
+                    elif not join(start, own) or own[-1][0] <= done[-1][0] < b:
+                        size *= 2
+        return [i for _, i in done]
+
     def unmerge(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out = [b""] * len(ids)
-        self.db.register("ids", pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "pos": np.arange(len(flat)) - starts, "id": flat}))
-        got = self.db.sql(_DECODE_SQL).to_arrow_table()
-        for w, h in zip(got.column("word").to_pylist(), got.column("hexed").to_pylist()):
-            out[w] = bytes.fromhex(h)
-        return out
+        """The bytes of each list of ids; long lists are decoded in parts."""
+        parts = [(n, x[i : i + IDS]) for n, x in enumerate(ids) for i in range(0, len(x), IDS)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        first = 0
+        while first < len(parts):
+            last, size = first, 0
+            while last < len(parts) and size + len(parts[last][1]) <= 16 * IDS:
+                size += len(parts[last][1])
+                last += 1
+            lengths = np.array([len(x) for _, x in parts[first:last]], np.int64)
+            flat = np.fromiter((i for _, x in parts[first:last] for i in x), np.int32, size)
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            self.db.register("ids", pa.table({"word": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), "pos": np.arange(size) - starts, "id": flat}))
+            for h, (n, _) in zip(self.db.sql(_DECODE_SQL).to_arrow_table().column("hexed").to_pylist(), parts[first:last]):
+                out[n].append(bytes.fromhex(h))
+            first = last
+        return [b"".join(x) for x in out]
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards ``known`` has the ids (in decimal, joined) and the decoded bytes of all of them."""
         split = [self.split(t) for t in texts]
         known = self.known
+        for p in self.long:
+            known.pop(p, None)
+            known.old.pop(p, None)
+        self.long = []
         new = known.missing(set().union(*split))
         for i in range(0, len(new), CHUNK):
             part = new[i : i + CHUNK]
             ids = self.merge([p.encode() for p in part])
             for p, x, b in zip(part, ids, self.unmerge(ids)):
                 known[p] = (",".join(map(str, x)), b)
+                if len(b) > KEEP:
+                    self.long.append(p)
         return split
 
 

@@ -179,6 +179,24 @@ def test_bpe(spark, data):
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest())
 
 
+def test_long_pieces_of_bpe(monkeypatch):
+    """Pieces without a place to split at: windows give what the whole gives."""
+    tiktoken = pytest.importorskip("tiktoken")
+    own = bpe_sql.Bpe(RANKS, tokenizers.PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rnd = random.Random(7)
+    cases = ["a" * 5000, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), " " * 3001 + "x", "ab" * 2500, "".join(rnd.choice("ab") for _ in range(5000)), chr(0x65E5) * 2000, "=" * 4000, "-" * 97,
+             "".join(rnd.choice(("the", "ing", "tion", "er")) for _ in range(3000)), "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(2000)), "abcabcabd" * 500, "x" + "ha" * 700 + "h"]
+    for x in cases:
+        assert [i for p in own.split(x) for i in own.merge([p.encode()])[0]] == theirs.encode_ordinary(x), x[:20]
+    cut = [x[:250].encode() for x in cases]
+    want = [own._query([w])[0] for w in cut]
+    monkeypatch.setattr(bpe_sql, "SHARED", 2)  # windows that must grow
+    assert [own._joined(w) for w in cut] == want
+    monkeypatch.setattr(bpe_sql, "ROWS", 5000)  # a word over several queries
+    assert [own._query([w])[0] for w in cut[:3]] == want[:3]
+
+
 def test_bpe_round_trip(odd):
     for r in bpe_sql.decode(bpe_sql.encode(odd.drop("ids"), RANKS, tokenizers.PATTERN), RANKS, tokenizers.PATTERN).collect():
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
