@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Rows of a table of a few fixed-width columns (hashes, ids, counts) that may be broadcast: 200,000
 #: rows of at most 100 bytes are 20 MB. Beyond it the same join is left to a shuffle.
 BROADCAST_ROWS = 200_000
+#: Keys that are treated as hot at most, and rows that a key has at least then.
+HOT_KEYS, HOT_ROWS = 100_000, 100
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` (written; one row a key, with ``n``, the rows of ``rows`` that have it), whatever keys are hot.
+
+    Of ``total`` rows, at most ``HOT_KEYS`` keys have over a ``HOT_KEYS``th each. These are broadcast, and
+    their rows stay where they are; only the others are shuffled by the key. ``n`` is dropped.
+    """
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    most, rest = F.broadcast(table.where(hot).drop("n")), table.where(~hot).drop("n")
+    return rows.join(most, key).unionByName(rows.join(most.select(key), key, "left_anti").join(rest, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

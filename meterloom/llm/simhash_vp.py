@@ -5,16 +5,17 @@ component is what links reach. Distances between unrelated fingerprints of 64 bi
 so a single tree over all bits can prune little. The bits are therefore cut into ``BLOCKS`` blocks,
 and there is a vantage-point tree for every choice of ``KEPT`` of them, over the distance in those
 bits alone: two fingerprints within ``LIMIT`` differ in at most ``radius`` bits in some choice (the
-pigeonhole principle; 6 blocks, 2 kept and limit 4 give radius 0). A node of a tree has a vantage
-point and a bound on the distance to it; by the triangle inequality a fingerprint must be compared
-beyond the bound only if its distance is within the radius of it, and is then sent to both sides. The
-leaves are the shards. In a shard all pairs that the tree cannot tell apart are compared in full, so
-every link is found, and none is emitted more than a constant number of times a fingerprint: long runs
-give stars, not pairs. Vantage points come from a sample of at most 65,536 fingerprints; it decides
-how even the shards are, never what is found.
+pigeonhole principle; 3 blocks, 1 kept and limit 4 give radius 1). A node of a tree has a vantage
+point and a bound on the distance to it. A fingerprint is at home in one leaf; by the triangle inequality
+it also visits a branch across the bound only if its distance is within the radius of it. The leaves are the shards,
+and a second tree, made of those at home, divides a shard in the same way. At the end of both those at home are
+compared in full with all that are there or visit, so every link is found. What a leaf gives is no pairs but stars, a
+row for each fingerprint at most. Vantage points come from a sample of some ``SAMPLE`` fingerprints a shard; it decides
+how even the shards are, never what is found. At the median a quarter to a third of a tree's fingerprints lie within the radius of
+the bound, so they are in about 1.3 ** levels shards, and in as many more leaves.
 
 Copies are folded into one fingerprint before any search. Components are found by large-star and
-small-star rounds over DataFrames, each with a checkpoint.
+small-star rounds over DataFrames, each with a checkpoint; hubs, and fingerprints that many rows share, are joined by broadcasts of bounded size.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; repeated rows are
 linked; a component is named by its smallest key, null where all its keys are null; an empty table
@@ -31,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, hex16, written
+from .common import checkpoint, documents, hex16, joined, written
 
 WORDS, SEED, LIMIT = 4, 42, 4
-BLOCKS, KEPT = 6, 2
-#: Fingerprints of a leaf that the trees aim at, the most levels, and the sample for a leaf.
-LEAF, DEPTH, SAMPLE = 1024, 12, 16
-#: Fingerprints with equal kept bits that are compared one by one; longer runs are searched as groups.
-RUN = 12
+BLOCKS, KEPT = 3, 1
+#: Fingerprints at home in a shard that the trees aim at, the most levels (for 10**9 fingerprints), the sample for a shard, and fingerprints of the last leaf.
+LEAF, DEPTH, SAMPLE, LAST = 4096, 18, 16, 32
 
 
 # fingerprints
@@ -140,39 +139,53 @@ class Tree:
         return at, node
 
 
-def links(fps: np.ndarray, mask: int, reach: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside a shard that connect all that is within ``limit``, at most a constant number for each fingerprint."""
-    own = fps & np.uint64(mask) if reach == 0 else np.zeros_like(fps)
-    order = np.lexsort((fps, own))
-    fps, own = fps[order], own[order]
-    a, b = [], []
-    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    sizes = np.diff([*starts, len(own)])
-    short = np.repeat(sizes <= RUN, sizes)
-    for lag in range(1, RUN):
-        near = (own[lag:] == own[:-lag]) & short[lag:] & (np.bitwise_count(fps[lag:] ^ fps[:-lag]) <= limit)
-        a.append(fps[lag:][near])
-        b.append(fps[:-lag][near])
-    for i, n in zip(starts[sizes > RUN], sizes[sizes > RUN]):
-        rest = fps[i : i + n]
-        while len(rest):  # a component at a time; what has been reached is not compared again
-            root, front, rest = rest[0], rest[:1], rest[1:]
-            while len(front) and len(rest):
-                reached = np.zeros(len(rest), bool)
-                for x in front:
-                    reached |= np.bitwise_count(rest ^ x) <= limit
-                front, rest = rest[reached], rest[~reached]
-                a.append(front)
-                b.append(np.full(len(front), root))
-    return np.concatenate(a or [fps[:0]]), np.concatenate(b or [fps[:0]])
+def links(home: np.ndarray, guests: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect each of ``home`` with all of both within ``limit``, as stars: at most one for each fingerprint."""
+    both = np.concatenate((home, guests))
+    step = max(1, (1 << 20) // max(1, len(both)))
+    alone = np.concatenate([(np.bitwise_count(home[i : i + step, None] ^ both) <= limit).sum(1) == 1 for i in range(0, len(home), step)] or [np.zeros(0, bool)])
+    home, a, b = home[~alone], [], []
+    while len(home):  # a component at a time; what has been reached is not compared again
+        root, front, seen, home = home[0], home[:1], guests[:0], home[1:]
+        while len(front) or len(seen):
+            near, met = np.zeros(len(home), bool), np.zeros(len(guests), bool)
+            for x in front:
+                near |= np.bitwise_count(home ^ x) <= limit
+                met |= np.bitwise_count(guests ^ x) <= limit
+            for x in seen if len(home) else ():
+                near |= np.bitwise_count(home ^ x) <= limit
+            front, home, seen, guests = home[near], home[~near], guests[met], guests[~met]
+            a += [front, seen]
+            b.append(np.full(len(front) + len(seen), root))
+    return np.concatenate(a or [both[:0]]), np.concatenate(b or [both[:0]])
+
+
+def shard_links(home: np.ndarray, guests: np.ndarray, mask: int, reach: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard, found in the leaves of a tree of those at home."""
+    depth = int(np.ceil(np.log2(max(1, len(home) / LAST))))
+    tree = Tree(home, mask, depth, 0)
+    at, leaf = tree.leaves(home, 0)
+    all_ = np.concatenate((home, guests))
+    there, visited = tree.leaves(all_, reach)
+    own = leaf[np.argsort(at)]  # where each at home is
+    other = (there >= len(home)) | (visited != own[np.minimum(there, len(home) - 1)])
+    there, visited = there[other], visited[other]
+    at, there = at[np.argsort(leaf, kind="stable")], there[np.argsort(visited, kind="stable")]
+    leaf, visited = np.sort(leaf), np.sort(visited)
+    out = []
+    for x in np.unique(leaf):
+        (i, j), (k, m) = np.searchsorted(leaf, (x, x + 1)), np.searchsorted(visited, (x, x + 1))
+        out.append(links(home[at[i:j]], all_[there[k:m]], limit))
+    return tuple(np.concatenate([o[n] for o in out] or [home[:0]]) for n in (0, 1))
 
 
 def near_pairs(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, kept: int = KEPT) -> DataFrame:
-    """Links ``(a, b)`` between the distinct fingerprints in the column ``fp`` (written, without repeats)."""
-    reach = radius(limit, blocks, kept)
-    depth = int(min(DEPTH, max(0, np.ceil(np.log2(max(1, fps.count()) / LEAF)))))
-    sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE * 2**depth).collect()
-    sample = np.array([r.fp for r in sample], np.int64).view(np.uint64)
+    """Links ``(a, b)`` that connect the distinct fingerprints in the column ``fp`` (written, without repeats)."""
+    reach, count = radius(limit, blocks, kept), fps.count()
+    depth = int(min(DEPTH, max(0, np.ceil(np.log2(max(1, count) / LEAF)))))
+    share = SAMPLE * 2**depth / max(1, count)
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30))).select("fp").toArrow()
+    sample = np.sort(sample.column("fp").to_numpy().view(np.uint64))
     forest = [Tree(sample, mask, depth, seed) for seed, mask in enumerate(masks(blocks, kept))]
     shared = fps.sparkSession.sparkContext.broadcast(forest)
 
@@ -180,14 +193,19 @@ def near_pairs(fps: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, kept: i
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
             for t, tree in enumerate(shared.value):
-                at, leaf = tree.leaves(own, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own[at].view(np.int64))], ["tree", "leaf", "fp"])
+                at, leaf = tree.leaves(own, 0)
+                own_leaf = leaf[np.argsort(at)]
+                there, visited = tree.leaves(own, reach)
+                guest = visited != own_leaf[there]
+                at, leaf, home = np.concatenate((at, there[guest])), np.concatenate((leaf, visited[guest])), np.arange(len(at) + guest.sum()) < len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own[at].view(np.int64)), pa.array(home)], ["tree", "leaf", "fp", "home"])
 
     def compare(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        a, b = links(shard["fp"].to_numpy().view(np.uint64), masks(blocks, kept)[key[0]], reach, limit)
+        own, home = shard["fp"].to_numpy().view(np.uint64), shard["home"].to_numpy()
+        a, b = shard_links(own[home], own[~home], masks(blocks, kept)[key[0]], reach, limit)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    shards = fps.select("fp").mapInArrow(route, "tree int, leaf int, fp bigint")
+    shards = fps.select("fp").mapInArrow(route, "tree int, leaf int, fp bigint, home boolean")
     return shards.groupBy("tree", "leaf").applyInPandas(compare, "a bigint, b bigint")
 
 
@@ -195,7 +213,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """``(node, root)`` for all ends of ``pairs`` (a, b) but the roots: the smallest node reached.
 
     Large-star and small-star rounds until nothing changes. Only minima are gathered for a node,
-    never its neighbours, so a hub is no large group.
+    never its neighbours, and hubs take them by a broadcast, so a hub is no large group.
     """
     def flat(df):
         return df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -203,14 +221,17 @@ def components(pairs: DataFrame) -> DataFrame:
     def mark(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
+    def least(df):  # the smallest neighbour of each node
+        return written(df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+
     edges = checkpoint(flat(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     before = mark(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = flat(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        own = least(both).withColumn("m", F.least("u", "m"))
+        large = checkpoint(flat(joined(both.where("v > u"), own, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        # a node's smaller neighbours and itself go to the smallest of them
+        small = joined(large, least(large), "u", before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = checkpoint(flat(small.select("e.u", "e.v")))
         after = mark(edges)
         if after == before:
@@ -220,22 +241,23 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def rooted(rows: DataFrame, first: Column, limit: int = LIMIT) -> DataFrame:
-    """``(fp, first, root)`` for every fingerprint of ``rows`` (written): the smallest ``first``, and the fingerprint that its component is known by."""
-    fps = written(rows.groupBy("fp").agg(F.min(first).alias("first")), "fingerprints")
+    """``(fp, first, n, root)`` for every fingerprint of ``rows`` (written): the smallest ``first``, its rows, and the fingerprint that its component is known by."""
+    fps = written(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
     roots = components(near_pairs(fps, limit))
-    return fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
 
 
-def groups(rows: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """``(fp, component_id)`` for every fingerprint of ``rows`` (``key``, ``fp``; written)."""
-    found = rooted(rows, F.col(key), limit)
-    names = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.join(names, "root").select("fp", "component_id")
+def with_component(rows: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
+    """``rows`` (``key``, ``fp``; written) with ``component_id``."""
+    found = written(rooted(rows, F.col(key), limit), "rooted")
+    names = written(found.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    ids = written(joined(found.select("fp", "root", F.col("n").alias("rows")), names, "root", found.count()).select("fp", "component_id", F.col("rows").alias("n")), "ids")
+    return joined(rows, ids, "fp", rows.count())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     rows = written(with_fingerprint(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fp"), "simhash")
-    return rows.join(groups(rows), "fp", "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return with_component(rows).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -276,6 +276,37 @@ def test_forest_finds_every_link(spark, monkeypatch):
         assert [find(i) for i in range(len(fps))] == brute_components(fps)
 
 
+def test_triangle_bounds_prune_and_lose_nothing():
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    near = fps[:3000] ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    fps = np.unique(np.concatenate((fps, near)))
+    assert simhash_vp.radius(simhash_vp.LIMIT, simhash_vp.BLOCKS, simhash_vp.KEPT) >= 1
+    tree = simhash_vp.Tree(fps[::50], simhash_vp.masks()[0], 4, 1)
+    at, leaf = tree.leaves(fps, 1)
+    assert 1.2 * len(fps) < len(at) < 8 * len(fps)  # some go to more leaves, none to all 16
+    a, b = np.concatenate([simhash_vp.shard_links(fps, fps[:0], m, 1, 4) for m in simhash_vp.masks()], 1)
+    group = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        group[max(find(x), find(y))] = min(find(x), find(y))
+    for i, x in enumerate(fps):
+        for y in fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ x) <= 4]:
+            assert find(int(x)) == find(int(y))
+
+
+def test_hot_keys_join_alike(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    table = common.written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m")), "hot")
+    got = common.joined(rows, table, "k", 3000)
+    assert got.count() == 3000 and {r["m"] for r in got.where("k = 7").collect()} == {2997} and got.where("k <> 7 and m <> id").count() == 0
+
+
 def test_components_of_long_chains(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash_vp.components(pairs).collect()}
