@@ -3,22 +3,24 @@
 Two logistic classifiers look at a document from sides that do not share a feature. The content view
 has the frequencies of hashed pairs of bytes. The metadata view has what a listing of the page tells:
 language, source, length, and counts of lines, words, capitals, digits, marks and repeated words. Both
-are fitted to labelled rows; in each round, each picks the rows of an unlabelled pool of which it is
+are fitted to labelled rows; in each round, each picks the rows without a label of which it is
 surest, in the proportion of the classes, and gives them with its label to the other. Each view is
 calibrated on labelled rows that were never trained on (Platt), a third logistic fit on the same rows
 weighs the two, and all documents are scored by it.
 
-Fitting sees bounded samples, by a hash of the key: ``LABELLED`` rows with a label and ``POOL`` rows
-without. Everything else, the scores first of all, covers whole texts of all rows, with no shuffle.
+Fitting sees a bounded sample of labelled rows, ``LABELLED`` by a hash of the key. In every round both views score
+all rows; the surest are a top-k over all that have no label, and only their features, ``GIVEN`` rows for each
+view and round, come to the driver. The scores cover whole texts of all rows, with no shuffle.
 
 Defined results: a null or empty text has all frequencies 0 and is scored like any other; null language
 and source are values of their own; several labels of a key count by their mean, 0.5 upwards as good;
-with no labels, or labels of one class only, every document gets the share of good labels (1 without
+with no labels, fewer than 8 or labels of one class only, every document gets the share of good labels (1 without
 any) and is kept accordingly; repeated rows each get their score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
-#: Bounds of the samples for fitting; the part of the labelled sample that is kept for calibration.
-LABELLED, POOL, CALIBRATION = 6000, 4000, 4
+#: Bound of the labelled sample for fitting; the part of it that is kept for calibration.
+LABELLED, CALIBRATION = 6000, 4
 #: Rounds of exchange, and rows that a view gives away in a round.
 ROUNDS, GIVEN = 4, 200
 #: Buckets of byte pairs, of sources and of languages.
@@ -116,52 +118,60 @@ class Model:
         return _sigmoid(logits[0]), _sigmoid(logits[1]), _sigmoid(_raw(np.stack([np.clip(z, -12, 12) for z in logits], 1), self.both))
 
 
-def cotrain(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, given: int = GIVEN) -> Model:
-    """``xs``, ``pool``: the two views of labelled and unlabelled rows."""
+def cotrain(xs: list[np.ndarray], y: np.ndarray, surest: Callable, rounds: int = ROUNDS, given: int = GIVEN) -> Model:
+    """``xs``: the two views of the labelled rows.
+
+    ``surest(views, bad, good)`` gives for each of the two views what it is surest of and has not been given away: (features
+    in both views, labels) of at most ``bad`` rows that it finds below one half and ``good`` above.
+    """
     kept = np.arange(len(y)) % CALIBRATION == 0
     own = [([x[~kept]], [y[~kept]]) for x in xs]
     views: list = [None, None]
-    open_ = np.ones(len(pool[0]), bool)
     share = float(y[~kept].mean())
     for r in range(rounds + 1):
         for v in (0, 1):
             views[v] = fit_logistic(np.concatenate(own[v][0]), np.concatenate(own[v][1]), views[v], 200 if r == 0 else 60)
-        if r == rounds:
-            break
-        for v in (0, 1):
-            z = _raw(pool[v], views[v])
-            left = np.flatnonzero(open_)
-            left = left[np.argsort(z[left], kind="stable")]
-            bad, good = min(len(left) // 2, max(1, round(given * (1 - share)))), min(len(left) // 2, max(1, round(given * share)))
-            low, high = left[:bad], left[len(left) - good :]
-            low, high = low[z[low] < 0], high[z[high] > 0]
-            for rows, label in ((low, 0), (high, 1)):
-                own[1 - v][0].append(pool[1 - v][rows])
-                own[1 - v][1].append(np.full(len(rows), label))
-                open_[rows] = False
+        if r < rounds:
+            for v, (features, labels) in enumerate(surest(views, max(1, round(given * (1 - share))), max(1, round(given * share)))):
+                own[1 - v][0].append(features[1 - v])
+                own[1 - v][1].append(labels)
     held = [_raw(x[kept], w) for x, w in zip(xs, views)]
     platt = [_platt(z, y[kept]) for z in held]
     both = np.stack([np.clip(a * z + b, -12, 12) for z, (a, b) in zip(held, platt)], 1)
     return Model(views, platt, fit_logistic(both, y[kept], np.array([0.5, 0.5, 0.0]), 100, 1e-3))
 
 
-_FEATURES = "y double, content array<float>, metadata array<float>"
+SIZES = (PAIRS, 14 + LANGUAGES + SOURCES)
+
 
+def _views(part: pa.RecordBatch, text: str = "body", lang: str = "lang", source: str = "source") -> list[np.ndarray]:
+    texts = part.column(text).to_pylist()
+    rows = [content_features(t) for t in texts], [metadata_features(*r) for r in zip(texts, part.column(lang).to_pylist(), part.column(source).to_pylist())]
+    return [np.stack(r) if r else np.zeros((0, n), np.float32) for r, n in zip(rows, SIZES)]
 
-def _featured(rows: DataFrame, text: str):
-    """The two views of a bounded sample of rows, on the driver."""
+
+def _featured(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, list]:
+    """The two views of a bounded number of rows (``key``, ``body``, ``lang``, ``source``, ``y``), on the driver, with ``y`` and the keys."""
     def run(batches):
         for batch in batches:
-            texts, langs, sources = (batch.column(c).to_pylist() for c in ("body", "lang", "source"))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("y"), pa.array([content_features(t) for t in texts], pa.list_(pa.float32())),
-                pa.array([metadata_features(*r) for r in zip(texts, langs, sources)], pa.list_(pa.float32())),
-            ], ["y", "content", "metadata"])
+            features = [pa.array(list(x), pa.list_(pa.float32())) for x in _views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *features], ["key", "y", "content", "metadata"])
+
+    got = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, y double, content array<float>, metadata array<float>").toArrow()
+    views = [np.array(got.column(c).combine_chunks().flatten(), np.float32).reshape(got.num_rows, n) for c, n in zip(("content", "metadata"), SIZES)]
+    return views, np.array(got.column("y").fill_null(0)).astype(np.int64), got.column("key").to_pylist()
+
+
+def _view_scores(rows: DataFrame, views: list[np.ndarray]) -> DataFrame:
+    """``key`` and the raw score of each view for all rows; 24 bytes a row."""
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                zs = [pa.array(_raw(x, w).astype(np.float64)) for x, w in zip(_views(part), views)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *zs], ["key", "content", "metadata"])
 
-    got = rows.mapInArrow(run, _FEATURES).toArrow()
-    sizes = {"content": PAIRS, "metadata": 14 + LANGUAGES + SOURCES}
-    views = [np.array(got.column(c).combine_chunks().flatten(), np.float32).reshape(got.num_rows, n) for c, n in sizes.items()]
-    return views, np.array(got.column("y").fill_null(0)).astype(np.int64)
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, content double, metadata double")
 
 
 def _meta(docs: DataFrame) -> list:
@@ -170,21 +180,38 @@ def _meta(docs: DataFrame) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-        labelled: int = LABELLED, pool: int = POOL) -> Model | float:
+        labelled: int = LABELLED, rounds: int = ROUNDS, given: int = GIVEN) -> Model | float:
     """A model; or, where the labels cannot tell classes apart, the share of good ones."""
+    spark = docs.sparkSession
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     marks = marks.orderBy(F.xxhash64("key"), "key").limit(labelled)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), *_meta(docs))
-    # of repeated keys any one; both samples are bounded, and so is what is sent to join them
+    # of repeated keys any one; what is sent to join them is bounded
     some = rows.join(F.broadcast(marks), "key").dropDuplicates(["key"]).orderBy(F.xxhash64("key"))
-    xs, y = _featured(some.select("body", "lang", "source", "y"), text)
+    xs, y, _ = _featured(some)
     if len(y) < 2 * CALIBRATION or len(np.unique(y)) < 2 or len(np.unique(y[np.arange(len(y)) % CALIBRATION == 0])) < 2 or len(np.unique(y[np.arange(len(y)) % CALIBRATION > 0])) < 2:
         return float(y.mean()) if len(y) else 1.0
-    free = rows.select("key").where("key is not null").join(labels.select(F.col(key).alias("key")), "key", "left_anti").distinct()
-    free = free.orderBy(F.xxhash64("key"), "key").limit(pool)
-    unlabelled = rows.join(F.broadcast(free), "key").dropDuplicates(["key"]).orderBy(F.xxhash64("key"))
-    others, _ = _featured(unlabelled.select("body", "lang", "source", F.lit(None).cast("double").alias("y")), text)
-    return cotrain(xs, y, others if len(others[0]) else [x[:0] for x in xs])
+    marked = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
+    gone: set = set()  # at most 2 * given * rounds keys
+
+    def surest(views, bad, good):
+        free = written(_view_scores(rows.where("key is not null"), views).join(marked, "key", "left_anti"), "view-scores")
+        picked: list[dict] = []
+        for view in ("content", "metadata"):
+            z, own = F.col(view), {}
+            for label, most, there, order in ((0, bad, z < 0, F.asc(view)), (1, good, z > 0, F.desc(view))):
+                # as many more as may be taken already
+                top = free.where(there).select("key", view).distinct().orderBy(order, "key").limit(most + len(gone)).collect()
+                found = dict.fromkeys(r["key"] for r in top if r["key"] not in gone and r["key"] not in own)
+                own |= dict.fromkeys(list(found)[:most], label)
+            gone.update(own)
+            picked.append(own)
+        keys = spark.createDataFrame([(k, float(y)) for own in picked for k, y in own.items()], f"key {rows.schema['key'].dataType.simpleString()}, y double")
+        features, _, order = _featured(rows.join(F.broadcast(keys), "key").dropDuplicates(["key"]))
+        at = {k: i for i, k in enumerate(order)}
+        return [([x[[at[k] for k in sorted(own)]] for x in features], np.array([own[k] for k in sorted(own)], np.int64)) for own in picked]
+
+    return cotrain(xs, y, surest, rounds, given)
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
@@ -200,10 +227,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFram
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = part.column(text).to_pylist()
-                xs = [np.stack([content_features(t) for t in texts]),
-                      np.stack([metadata_features(*r) for r in zip(texts, part.column("view_lang").to_pylist(), part.column("view_source").to_pylist())])]
-                a, b, p = model(xs)
+                a, b, p = model(_views(part, text, "view_lang", "view_source"))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(a), pa.array(b), pa.array(p), pa.array(p >= KEEP)], [*names, *new])
 
     return rows.mapInArrow(run, schema)

@@ -154,6 +154,18 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert got == {"a": ["assign", "hex"], "b": ["assign", "hex"], "c": [], "d": ["hex"]}
 
 
+def test_two_scans_at_once_count_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([("a", "secret=12345678"), ("b", None)], "path string, text string")
+    with monkeypatch.context() as m:
+        m.setattr(secret_ledger, "ledger", lambda spark, path: spark.createDataFrame([], secret_ledger.LEDGER))
+        secret_ledger.scan(docs, path)
+        secret_ledger.scan(docs, path)
+    for most in (secret_ledger.FOUND, 0):
+        monkeypatch.setattr(secret_ledger, "FOUND", most)
+        assert {r["path"]: len(r["found"]) for r in secret_ledger.findings(docs, path).collect()} == {"a": 1, "b": 0}
+
+
 def test_secrets_are_blanked(odd):
     rows = secret_ledger.clean(odd).where("doc_id = 7").collect()
     assert rows[0]["text"] == "[secret]' and [secret] é [secret]" and rows[0]["n_chars"] == 33 and secret_ledger.clean(odd).columns == odd.columns
@@ -409,6 +421,32 @@ def test_classifier(spark):
     assert right >= 0.95 * len(got) and all(0 <= r["p_good"] <= 1 for r in got)
 
 
+def test_cotraining_is_that_of_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    labels = labels.where("doc_id % 4 = 0")
+    got = {r["doc_id"]: r["p_good"] for r in cotrain.score(docs, cotrain.fit(docs, labels, rounds=2, given=40)).select("doc_id", "p_good").collect()}
+    rows = {r["doc_id"]: [cotrain.content_features(r["text"]), cotrain.metadata_features(r["text"], r["lang"], r["source"])] for r in docs.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    known = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r["doc_id"] in rows]
+    taken = set(marks)
+
+    def surest(views, bad, good):
+        out = []
+        for v in (0, 1):
+            z = {i: float(x[v] @ views[v][:-1] + views[v][-1]) for i, x in rows.items() if i not in taken}
+            own = {i: 0 for i in sorted((i for i in z if z[i] < 0), key=lambda i: (z[i], i))[:bad]} | {i: 1 for i in sorted((i for i in z if z[i] > 0), key=lambda i: (-z[i], i))[:good]}
+            taken.update(own)
+            out.append(([np.stack([rows[i][k] for i in sorted(own)]) for k in (0, 1)], np.array([own[i] for i in sorted(own)])))
+        return out
+
+    model = cotrain.cotrain([np.stack([rows[i][k] for i in known]) for k in (0, 1)], np.array([marks[i] for i in known]), surest, 2, 40)
+    assert len(taken) > len(marks) + 100
+    ids = sorted(rows)
+    for i, p in zip(ids, model([np.stack([rows[i][k] for i in ids]) for k in (0, 1)])[2]):
+        assert abs(got[i] - p) < 1e-3
+
+
 def test_classifier_without_classes(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["keep"] for r in cotrain.score(odd, cotrain.fit(odd, none)).collect()} == {True}
