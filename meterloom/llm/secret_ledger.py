@@ -54,6 +54,9 @@ NAMED_RULES = (
 
 RULES = BASE_RULES + NAMED_RULES
 
+#: Blobs with findings, and spans, that may be broadcast: at most some 100 bytes for each of either.
+FOUND = 200_000
+
 SPAN = "struct<kind:string,start:int,end:int>"
 LEDGER = f"blob string, rule string, spans array<{SPAN}>"
 
@@ -114,12 +117,19 @@ def scan(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text:
 
 
 def findings(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``versions`` with ``blob`` and ``found``, all spans of the rules ordered by start, then rule."""
+    """``versions`` with ``blob`` and ``found``, all spans of the rules ordered by start, then rule.
+
+    A pair that two scans at once have both appended counts once. Findings go to the rows, which then
+    stay where they are, up to ``FOUND`` of them; beyond, both are shuffled by blob.
+    """
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))))
     own = ledger(versions.sparkSession, path).where(F.col("rule").isin([r.id for r in rules]) & (F.size("spans") > 0))
-    own = own.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("found"))
+    own = own.groupBy("blob", "rule").agg(F.min("spans").alias("spans")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("found"))
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     own = own.select("blob", F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"))
+    size = own.agg(F.count(F.lit(1)).alias("blobs"), F.sum(F.size("found")).alias("spans")).first()
+    if size["blobs"] <= FOUND and (size["spans"] or 0) <= FOUND:
+        own = F.broadcast(own)
     rows = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     return rows.join(own, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(f"array<{SPAN}>")))
 
@@ -128,9 +138,10 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """``path``: a ledger to go on with; a new one without."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    path = f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}"
     scan(docs, path)
     rows = findings(docs, path)
 
@@ -145,9 +156,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with every secret replaced by ``[secret]``, and ``length`` of those rows counted anew."""
-    path = f"{shared_dir(docs.sparkSession)}/secrets-{uuid.uuid4().hex}"
+def clean(docs: DataFrame, text: str = "text", length: str = "n_chars", path: str | None = None) -> DataFrame:
+    """``docs`` with every secret replaced by ``[secret]``, and ``length`` of those rows counted anew; ``path``: a ledger to go on with."""
+    path = path or f"{shared_dir(docs.sparkSession)}/secrets-{uuid.uuid4().hex}"
     scan(docs, path, text=text)
     body = F.col(f"row.{text}")
     rows = findings(docs.select(F.struct(*docs.columns).alias("row")), path, text=f"row.{text}")
