@@ -1,46 +1,50 @@
-"""Archives: chunks of a user's day as zstd JSON lines, a manifest of them, and reads of live and archived events together."""
+"""Archives: chunks of a user's day as gzip JSON lines, a manifest of them, and reads of live and archived events together."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import day_text
+from ..functions.times import DAY, SECOND, day_text
 from ..schema import EVENT, MANIFEST
-from .filters import EventFilter
+from .filters import EventFilter, day_of
 
-#: zstd level of a chunk, and events of the largest chunk.
-LEVEL, CHUNK = 3, 10_000
+#: Events of the largest chunk, and slots of a day in which events are numbered.
+CHUNK, SLOTS = 10_000, 96
+#: Where a chunk lies, as partition columns.
+PLACE = "archive_run string, archive_user string, archive_day string, archive_chunk int"
 
 
 def write_chunks(events: DataFrame, root: str, created_at: int, chunk: int = CHUNK) -> DataFrame:
     """Write ``events`` below ``root`` and return the manifest rows, counted from what was written.
 
-    Events are numbered inside a user's day, so a day of any size is cut into chunks of at most
-    ``chunk`` events; Spark's JSON writer makes one folder a chunk, compressed by gzip as it has no
+    Events are numbered in the order of time inside a user's day, so a day of any size is cut into chunks of at most
+    ``chunk`` events that follow each other. The numbers are made in slots of the day and moved up by the counts of the
+    slots before, so no task orders a whole day. Spark's JSON writer makes one folder a chunk, compressed by gzip as it has no
     zstd, and every chunk is read back for its figures before anything may be deleted.
     """
     spark = events.sparkSession
     run = uuid.uuid4().hex
     user = F.when(F.coalesce("user_id", F.lit("")) == "", "_none").otherwise(F.col("user_id"))
-    # ts order inside (user, day); a hash of the id spreads a large day over tasks and gives chunks of about the size
-    rows = events.withColumns({"archive_user": user, "archive_day": day_text()})
-    sizes = rows.groupBy("archive_user", "archive_day").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
-    rows = rows.join(sizes.select("archive_user", "archive_day", "chunks"), ["archive_user", "archive_day"])
-    rows = rows.withColumn("archive_chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    path = f"{root}/{run}"
-    rows.hint("rebalance", "archive_user", "archive_day", "archive_chunk").sortWithinPartitions("archive_user", "archive_day", "archive_chunk", "ts_ns", "id").write.partitionBy(
-        "archive_user", "archive_day", "archive_chunk").option("compression", "gzip").json(path)
-    back = spark.read.schema("id string, ts_ns long, archive_user string, archive_day string, archive_chunk int").json(path)
+    rows = events.withColumns({"archive_user": user, "archive_day": day_text(), "archive_slot": F.floor(F.pmod("ts_ns", F.lit(DAY * SECOND)) / F.lit(DAY * SECOND // SLOTS)).cast("int")})
+    keys = ["archive_user", "archive_day", "archive_slot"]
+    before = Window.partitionBy(*keys[:2]).orderBy("archive_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns", "id")) - 1
+    rows = rows.withColumn("archive_nth", nth).join(starts, keys)
+    rows = rows.withColumns({"archive_chunk": F.floor((F.col("start") + F.col("archive_nth")) / F.lit(chunk)).cast("int"), "archive_run": F.lit(run)}).drop("archive_slot", "archive_nth", "start")
+    rows.hint("rebalance", "archive_user", "archive_day", "archive_chunk").sortWithinPartitions("archive_user", "archive_day", "archive_chunk", "ts_ns", "id").write.mode("append").partitionBy(
+        "archive_run", "archive_user", "archive_day", "archive_chunk").option("compression", "gzip").json(root)
+    back = spark.read.schema(f"id string, ts_ns long, {PLACE}").option("basePath", root).json(f"{root}/archive_run={run}")
     files = back.select("archive_user", "archive_day", "archive_chunk", "ts_ns", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
     own = files.groupBy("archive_user", "archive_day", "archive_chunk", "file").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"), F.first("bytes").alias("bytes"))
-    whole = own.groupBy("archive_user", "archive_day", "archive_chunk").agg(F.sum("n").alias("event_count"), F.min("lo").alias("min_ts_ns"), F.max("hi").alias("max_ts_ns"), F.sum("bytes").alias("compressed_bytes"))
+    whole = own.groupBy("archive_user", "archive_day", "archive_chunk").agg(
+        F.sum("n").alias("event_count"), F.min("lo").alias("min_ts_ns"), F.max("hi").alias("max_ts_ns"), F.sum("bytes").alias("compressed_bytes"), F.min("file").alias("file"))
     return whole.select(
         F.concat_ws("-", F.lit(run), "archive_user", "archive_day", F.col("archive_chunk").cast("string")).alias("archive_id"), F.col("archive_user").alias("user_id"),
-        F.col("archive_day").cast("string").alias("day"),
-        F.format_string(f"{path}/archive_user=%s/archive_day=%s/archive_chunk=%d", "archive_user", F.col("archive_day").cast("string"), "archive_chunk").alias("s3_key"),
+        F.col("archive_day").alias("day"), F.concat(F.lit(f"{root}/archive_run="), F.regexp_extract("file", "/archive_run=(.*)/[^/]*$", 1)).alias("s3_key"),
         "event_count", "min_ts_ns", "max_ts_ns", F.col("compressed_bytes").cast("long").alias("compressed_bytes"), F.lit(created_at).cast("long").alias("created_at"),
     )
 
@@ -66,12 +70,29 @@ def overlapping(manifests: DataFrame, user_id: str | None = None, from_ns: int |
     return rows.orderBy("min_ts_ns", "archive_id")
 
 
-def read_chunks(spark: SparkSession, manifests: DataFrame) -> DataFrame:
-    """Events of the archives; gzip and zstd JSON lines are read alike. The paths, not the events, go through the driver."""
-    paths = [r["s3_key"] for r in manifests.select("s3_key").collect()]
-    if not paths:
-        return spark.createDataFrame([], EVENT)
-    return spark.read.schema(EVENT).json(paths)
+def any_overlap(manifests: DataFrame, user_id: str | None = None, from_ns: int | None = None, to_ns: int | None = None) -> DataFrame:
+    """One row, ``archived``: whether any archive's events may lie in the interval."""
+    found = overlapping(manifests, user_id, from_ns, to_ns).limit(1)
+    return found.agg((F.count(F.lit(1)) > 0).alias("archived"))
+
+
+def read_chunks(spark: SparkSession, manifests: DataFrame, skip_bad: bool = False) -> DataFrame:
+    """Events of the archives; gzip and zstd JSON lines are read alike.
+
+    What comes to the driver is a folder for each place where archives were written; the chunks are picked by a join with the
+    manifest, which prunes partitions. ``skip_bad``: leave out files that cannot be read instead of failing.
+    """
+    roots = [r[0] for r in manifests.select(F.regexp_extract("s3_key", "^(.*)/archive_run=", 1)).distinct().collect()]
+    chunks = manifests.select(
+        F.regexp_extract("archive_id", "^([^-]*)-", 1).alias("archive_run"), F.col("user_id").alias("archive_user"), F.col("day").alias("archive_day"),
+        F.regexp_extract("archive_id", "-([0-9]+)$", 1).cast("int").alias("archive_chunk")).distinct()
+    out = spark.createDataFrame([], EVENT)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT.fields)
+    for root in roots:
+        rows = spark.read.schema(f"{names}, {PLACE}").option("basePath", root).option("ignoreCorruptFiles", str(skip_bad).lower()).json(root)
+        rows = rows.join(chunks, ["archive_run", "archive_user", "archive_day", "archive_chunk"], "left_semi").select(*EVENT.names)
+        out = rows if root == roots[0] else out.unionByName(rows)
+    return out
 
 
 def candidates(events: DataFrame, cutoff_ns: int) -> DataFrame:
@@ -80,17 +101,27 @@ def candidates(events: DataFrame, cutoff_ns: int) -> DataFrame:
 
 
 def live_and_archived(live: DataFrame, archived: DataFrame, which: EventFilter) -> DataFrame:
-    """Both under the whole filter, an event that is in both once: the live row."""
+    """Both under the whole filter, an event that is in both once: the live row. Only ids of live events are shuffled."""
     names = [c for c in archived.columns if c in live.columns]
-    both = which.apply(live).select(*names).unionByName(which.apply(archived).select(*names).join(which.apply(live).select("id"), "id", "left_anti"))
-    return both.dropDuplicates(["id"])
+    live = which.apply(live)
+    old = which.apply(archived).select(*names).dropDuplicates(["id"])  # two runs may have archived it
+    return live.select(*names).unionByName(old.join(live.select("id"), "id", "left_anti"))
+
+
+def events_of(live: DataFrame, manifests: DataFrame, which: EventFilter) -> DataFrame:
+    """Live and archived events that match, of the archives only those that the manifest says may hold some."""
+    user = "_none" if which.user_id == "" else which.user_id
+    return live_and_archived(live, read_chunks(live.sparkSession, overlapping(manifests, user, which.from_ns, which.to_ns)), which)
 
 
 def archive(store, root: str, manifest_path: str, cutoff_ns: int, created_at: int) -> int:
     """Write, read back, record, and only then delete: a failure before the end leaves the events live."""
     rows = candidates(store.read(), cutoff_ns)
     made = write_chunks(rows.drop("day"), root, created_at)
-    made = made.sparkSession.createDataFrame(made.collect(), MANIFEST)  # a row for each chunk
     append_manifest(made, manifest_path)
-    archived = read_chunks(store.spark, made).select("id")
-    return store.delete(archived)["deleted"]
+    return store.delete(read_chunks(store.spark, made).select("id"))["deleted"]
+
+
+def due(store, cutoff_ns: int, most_bytes: int | None = None) -> bool:
+    """Whether to archive: some day is wholly older than the cutoff, or the store is larger than ``most_bytes``."""
+    return any(day < day_of(cutoff_ns) for _, day in store.partitions()) or most_bytes is not None and store.size_bytes() > most_bytes

@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.money import clamp_i64
+from ..functions.money import I64_MAX, clamp_i64
 
 #: Rates of a catalog entry, nanodollars for each unit; all but the first two may be null.
 RATES = ["input", "output", "cache_read", "cache_creation", "cache_creation_1h", "cache_creation_above_200k", "cache_read_above_200k", "input_above_200k", "output_above_200k",
          "input_batch", "output_batch", "reasoning", "audio_input", "video_second", "search_query"]
-#: Up to these, nine products of usage and rate fit in int64 and no decimal is needed.
-SMALL_USAGE, SMALL_RATE = 10_000_000, 10**10
-
 Of = Callable[[str], Column]
 
 
 def compute_cost(provider: Column, usage: Of, rate: Of, *, is_batch: Column | bool = False, cache_ttl: Column | str = "minutes5",
                  context_bucket: Column | str = "up_to_200k", geo: Column | str = "us", geo_multiplier: Column | None = None) -> Column:
-    """Nanodollars, saturating.
+    """Nanodollars, saturating: usage and rates are not negative, so a product or a sum beyond int64 is the largest int64. A missing usage counts 0.
 
     Anthropic and Bedrock report input without what caches served, all others with it, so the two
     kinds differ in what is billed at the cache rates and in what a missing cache rate falls back to:
@@ -43,18 +41,10 @@ def compute_cost(provider: Column, usage: Of, rate: Of, *, is_batch: Column | bo
         (usage("reasoning_tokens"), F.coalesce(rate("reasoning"), output_rate)),
         *((usage(u), F.coalesce(rate(r), F.lit(0))) for u, r in (("audio_input_tokens", "audio_input"), ("video_seconds", "video_second"), ("search_queries", "search_query"))),
     ]
-    parts = [(a.cast("long"), b.cast("long")) for a, b in parts]
-    small = (F.greatest(*(a for a, _ in parts)) <= SMALL_USAGE) & (F.greatest(*(b for _, b in parts)) <= SMALL_RATE)
-
-    def total(kind: str) -> Column:
-        out = None
-        for a, b in parts:
-            x = a.cast(kind) * b.cast(kind)
-            x = x.cast("decimal(38,0)") if kind != "long" else x
-            out = x if out is None else out + x
-        return out
-
-    cost = F.when(small, total("long")).otherwise(clamp_i64(total("decimal(19,0)")))
+    zero = F.lit(0).cast("long")
+    terms = [F.try_multiply(F.coalesce(a.cast("long"), zero), F.coalesce(b.cast("long"), zero)) for a, b in parts]
+    # null from here on says that int64 was left; one small method, where a second sum in decimals would keep the compiler out
+    cost = F.coalesce(reduce(F.try_add, terms), F.lit(I64_MAX))
     if geo_multiplier is None:
         return cost
     return F.when(geo_multiplier.isNotNull() & (col(geo) == "non_us"), clamp_i64(F.round(cost.cast("double") * geo_multiplier))).otherwise(cost)

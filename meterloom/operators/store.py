@@ -1,8 +1,7 @@
 """The event store: Parquet by tier and day, a table of tombstones, retention by dropping partitions.
 
 Deleting writes an id; reads leave tombstoned ids out by an anti join. Erasing and garbage collection
-are jobs over partitions. The rollup is a table of its own: archiving and retention leave it as it is,
-erasing a user takes the user out of it.
+are jobs over partitions. The rollup is a table of its own: archiving, retention and erasing leave its sums as they are.
 """
 
 from __future__ import annotations
@@ -97,6 +96,33 @@ class Store:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"tier={tier}/day={day}"), True)
         return gone
 
+    def delete_older(self, now_ns: int, days: int) -> int:
+        """Drop the days of all tiers that end before ``days`` days ago; says how many files went."""
+        if days <= 0:
+            raise ValueError("days must be positive")
+        cutoff = day_of(now_ns - days * DAY * SECOND)
+        fs, root = self._fs(self.events_path)
+        files = 0
+        for tier, day in self.partitions():
+            if day < cutoff:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(root, f"tier={tier}/day={day}")
+                files += sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(path))
+                fs.delete(path, True)
+        return files
+
+    def collect_all_garbage(self, now_ns: int, keep_days: int) -> list[tuple[str, str]]:
+        """Garbage collection where tiers have no times of their own."""
+        return self.collect_garbage(now_ns, {t: keep_days for t, _ in self.partitions()})
+
+    def tier_sizes(self) -> DataFrame:
+        """``tier, day, files, bytes`` of the partitions, from the listing of the files."""
+        rows = []
+        fs, root = self._fs(self.events_path)
+        for tier, day in self.partitions():
+            files = [f.getLen() for f in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"tier={tier}/day={day}")) if f.getPath().getName().startswith("part-")]
+            rows.append((tier, day, len(files), sum(files)))
+        return self.spark.createDataFrame(rows, "tier string, day string, files long, bytes long")
+
     def partitions(self) -> list[tuple[str, str]]:
         """(tier, day) from the folders, without reading a file."""
         fs, path = self._fs(self.events_path)
@@ -109,14 +135,36 @@ class Store:
         return sorted(out)
 
     def compact(self, tier: str, day: str) -> None:
-        """One partition's many small files rewritten; the old ones go when the new are there."""
+        """One partition's many small files rewritten, without what is deleted.
+
+        The new files are written where no reader looks, below the partition. Only when all are there
+        the old ones go and the new take their place; a run that ended between is finished by the next.
+        """
         path = f"{self.events_path}/tier={tier}/day={day}"
-        rows = self.spark.read.parquet(path)
-        new = f"{self.root}/compacting/tier={tier}/day={day}"
+        new = f"{path}/_compacted"
+        self._settle(path, new)
+        rows = alive(self.spark.read.parquet(path), self.tombstones())
         rows.hint("rebalance").sortWithinPartitions("ts_ns").write.mode("overwrite").option("compression", "zstd").parquet(new)
-        fs, old = self._fs(path)
-        fs.delete(old, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(new), old)
+        self._settle(path, new)
+
+    def _settle(self, path: str, new: str) -> None:
+        """Put the files of a whole rewrite in the place of those that it was made from; what is not whole goes."""
+        fs, at = self._fs(path)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        made, moving = hadoop(new), hadoop(f"{path}/_moving")
+        if fs.exists(made) and not fs.exists(hadoop(made, "_SUCCESS")):
+            fs.delete(made, True)
+        if fs.exists(made) and not fs.exists(moving):
+            for f in fs.listStatus(at):
+                if f.getPath().getName().startswith("part-"):
+                    fs.delete(f.getPath(), False)
+            fs.mkdirs(moving)  # from here on the files of the partition are new ones
+        if fs.exists(moving):
+            for f in fs.listStatus(made) if fs.exists(made) else []:
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), hadoop(at, f.getPath().getName()))
+            fs.delete(made, True)
+            fs.delete(moving, True)
 
     def size_bytes(self) -> int:
         fs, path = self._fs(self.root)

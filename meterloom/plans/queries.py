@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,14 +91,18 @@ def _payloads(spark: SparkSession) -> DataFrame:
     return ingest.reasons(lines, F.lit(examples.NOW_NS))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder, where ``spark.checkpoint.dir`` says or, without it, in a test."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='meterloom-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old events archived and read back beside the live ones, under one filter."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='meterloom-')}/archive-{abs(hash((sf_dir, id(spark))))}"
+    """Old events archived and, as far as the manifest says that they may match, read back beside the live ones."""
+    root = _folder(spark, "archive")
     events = priced(spark, sf_dir)
-    made = archive.write_chunks(archive.candidates(events, CUTOFF), root, created_at=0)
-    archived = archive.read_chunks(spark, made).select(*events.columns)
+    archive.append_manifest(archive.write_chunks(archive.candidates(events, CUTOFF), f"{root}/chunks", created_at=0, chunk=40), f"{root}/manifest")
     which = EventFilter(provider="openai", from_ns=CUTOFF - 3 * 86_400 * 10**9, to_ns=CUTOFF + 86_400 * 10**9)
-    return _events(archive.live_and_archived(events.where(F.col("ts_ns") > CUTOFF), archived, which))
+    return _events(archive.events_of(events.where(F.col("ts_ns") > CUTOFF), archive.read_manifest(spark, f"{root}/manifest"), which))
 
 
 def _manifests(events: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ _MANIFESTS = (f"SELECT coalesce(user_id, '_none') AS user_id, {_DAYTEXT} AS day,
 
 
 def _stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='meterloom-')}/stream-{abs(hash((sf_dir, id(spark))))}"
+    base = _folder(spark, "stream")
     rows = facts(spark, sf_dir)
     rows.write.mode("overwrite").parquet(f"{base}/facts")
     return stream_rollup(spark, f"{base}/facts", rows.schema, priced_rows, f"{base}/rollup", f"{base}/checkpoint")
@@ -122,9 +127,21 @@ _CURSOR = (CUTOFF, "00000000000000000000005000")
 _MODELS = ["  GPT-4o ", "Claude\t", "ÀB", "x"]
 _PROVIDERS = ["OpenAI", "opencode-ZEN", "My-Proxy", "bedrock"]
 _NAMES = ["gpt-4o", "gpt-4o-2024-08-06", "GPT-4O-20240806", "gemini-2.0-flash", "gpt-5-mini", "unknown-model"]
+#: Every name under which an entry of the example catalog is found: (name, entry, how it was made, input, output).
+_ALIASES = [
+    ("azure/gpt-5-mini-2025-08-07", "azure/gpt-5-mini-2025-08-07", 0, 900, 9000), ("azure/gpt-5-mini", "azure/gpt-5-mini-2025-08-07", 1, 900, 9000),
+    ("gpt-5-mini-2025-08-07", "azure/gpt-5-mini-2025-08-07", 2, 900, 9000), ("gpt-5-mini", "azure/gpt-5-mini-2025-08-07", 3, 900, 9000),
+    ("claude-sonnet-4-20250514", "claude-sonnet-4-20250514", 0, 3000, 15000), ("claude-sonnet-4", "claude-sonnet-4-20250514", 1, 3000, 15000),
+    ("gemini/gemini-2.0-flash", "gemini/gemini-2.0-flash", 0, 100, 400), ("gemini-2.0-flash", "gemini/gemini-2.0-flash", 2, 100, 400), ("gpt-4o", "gpt-4o", 0, 2500, 10000),
+    ("mixed/case-model", "mixed/case-model", 0, 1000, 0), ("case-model", "mixed/case-model", 2, 1000, 0),
+    ("openai/gpt-5-mini-2025-08-07", "openai/gpt-5-mini-2025-08-07", 0, 250, 2000), ("openai/gpt-5-mini", "openai/gpt-5-mini-2025-08-07", 1, 250, 2000),
+]
 _COSTS = [0, 9, 10, -1, 123456789012, -123456789012, 2**63 - 1, -(2**63)]
 
 
+_TRACES = ["0xABCDEF0123456789abcdef0123456789", "abcdef0123456789abcdef0123456789", "xyz"]
+
+
 def _one(spark, values, name, kind="string"):
     return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
 
@@ -157,6 +174,15 @@ def queries() -> dict:
         "archive_groups": scan(A.archive_groups), "archive_summary": scan(lambda e: A.archive_summary(_manifests(e))), "archive_by_user": scan(lambda e: A.archive_by_user(_manifests(e))),
         "manifest_overlap": scan(lambda e: archive.overlapping(_manifests(e), USER, CUTOFF - 5 * 86_400 * 10**9, CUTOFF).select("archive_id", "event_count")),
         "events_with_archive": _archive_round_trip,
+        "archive_any_overlap": scan(lambda e: archive.any_overlap(_manifests(e), USER, CUTOFF - 5 * 86_400 * 10**9, CUTOFF)),
+        "archive_no_overlap": scan(lambda e: archive.any_overlap(_manifests(e), "nobody", 0, CUTOFF)),
+        "batch_outcomes": lambda s, d: ingest.batch_outcomes(s.createDataFrame(list(enumerate(examples.BATCHES)), "body long, value string"), F.lit(examples.NOW_NS)),
+        "key_tiers": lambda s, d: ingest.authenticated(s.createDataFrame(examples.CALLS, "call long, token string"), s.createDataFrame([(*k, i) for i, k in enumerate(examples.KEYS)], "token string, key_id string, tier string, position long")),
+        "auth_key_ids": lambda s, d: _one(s, ["id:secret", "two:parts:more"], "raw").select("raw", text.key_id(F.col("raw")).alias("key_id")),
+        "events_page_by_offset": scan(lambda e: _events(filters.offset_page(e, [F.desc("ts_ns"), F.desc("id")], 30, 60))),
+        "trace_ids": lambda s, d: _one(s, _TRACES, "raw").select("raw", text.trace_id(F.col("raw")).alias("trace_id")),
+        "stats_ordered": cube(lambda c: A.stats(c, by_model=True).orderBy(*A.ordered(A.STATS_ORDER)).limit(2)),
+        "expired_older_than": scan(lambda e: _events(store.gc_survivors(e, 1_706_745_600 * 10**9, dict.fromkeys(store.TIERS, 10)))),
         "days": scan(lambda e: e.groupBy(day_epoch().alias("day"), day_text().alias("day_text")).agg(F.count(F.lit(1)).alias("n"))),
         "usage_merge_saturating": scan(lambda e: A.usage_merge(e.withColumn("input_tokens", F.col("input_tokens") * 400_000), ["provider"]).select("provider", "input_tokens", "output_tokens")),
         "cost_sum_saturating": scan(lambda e: e.groupBy("provider").agg(money.sum_saturating(F.col("cost_nanodollars").cast("decimal(38,0)") * F.lit(10**9).cast("decimal(12,0)")).alias("cost_nanodollars"))),
@@ -196,7 +222,34 @@ def oracle_sql() -> dict[str, str]:
     ascii_ = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     ts, id_ = _CURSOR
     shown = "CASE WHEN nanos < 0 THEN '-' ELSE '' END || '$' || CAST(abs(CAST(nanos AS HUGEINT)) // 1000000000 AS VARCHAR) || '.' || lpad(CAST((abs(CAST(nanos AS HUGEINT)) % 1000000000) // 10 AS VARCHAR), 8, '0')"
+    recursive = f"WITH RECURSIVE facts AS ({FACTS_DUCKDB}), "
+    survivors = " AND ".join(f"NOT (tier = '{t}' AND {_DAY} < {1_706_745_600 - 10 * 86_400})" for t in store.TIERS)
+    overlap = "SELECT count(*) > 0 AS archived FROM ({m}) WHERE user_id = '{u}' AND max_ts_ns >= {a} AND min_ts_ns <= {b}"
     return {
+        "archive_any_overlap": _with(overlap.format(m=_MANIFESTS, u=USER, a=CUTOFF - 5 * day, b=CUTOFF)), "archive_no_overlap": _with(overlap.format(m=_MANIFESTS, u="nobody", a=0, b=CUTOFF)),
+        "batch_outcomes": f"SELECT CAST(body AS BIGINT) AS body, CAST(position AS BIGINT) AS position, CAST(reason AS VARCHAR) AS reason FROM {_values(examples.OUTCOMES, 'body, position, reason')}",
+        "key_tiers": f"SELECT CAST(call AS BIGINT) AS call, key_id, tier FROM {_values([(0, 'gamma', 'free'), (1, 'beta', 'team'), (2, None, 'free'), (3, None, 'free')], 'call, key_id, tier')}",
+        "auth_key_ids": "SELECT raw, split_part(raw, ':', 1) AS key_id FROM (VALUES ('id:secret'), ('two:parts:more')) AS t(raw)",
+        "events_page_by_offset": events(tail=f"{_NEWEST} LIMIT 30 OFFSET 60"),
+        "trace_ids": f"SELECT raw, nullif(regexp_extract(lower(raw), '^(?:0x)?([0-9a-f]{{32}})$', 1), '') AS trace_id FROM {_values([(t,) for t in _TRACES], 'raw')}",
+        "stats_ordered": _with(f"SELECT * FROM (SELECT provider, model, {_RESUM} FROM cube GROUP BY ALL) ORDER BY cost_nanodollars DESC, provider, model LIMIT 2"),
+        "expired_older_than": events(survivors),
+        "export_ndjson": _with("SELECT '{\"id\":\"' || id || '\",\"ts_ns\":' || ts_ns || ',\"user_id\":\"' || user_id || '\",\"model\":\"' || model || '\",\"provider\":\"' || provider || '\"' || coalesce(',\"http_status\":' || http_status, '') "
+                               "|| ',\"cost_nanodollars\":' || cost_nanodollars || '}' AS value FROM priced WHERE provider = 'gemini'"),
+        "latency_percentiles": _with("SELECT " + ", ".join(f"quantile_disc(total_ms, {q}) AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))) + " FROM priced"),
+        "catalog_alias_expand": f"SELECT model, canonical, CAST(\"rank\" AS INTEGER) AS \"rank\", CAST(\"input\" AS BIGINT) AS \"input\", CAST(\"output\" AS BIGINT) AS \"output\" FROM {_values(_ALIASES, 'model, canonical, \"rank\", \"input\", \"output\"')}",
+        # a row at a time of every user, or key: whether it is taken, and the state after it
+        "idempotent_first_seen": recursive + """rows AS (SELECT id, ts_ns, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, id) AS n FROM facts),
+            walk AS (SELECT id, ts_ns, user_id, n, ts_ns AS last, true AS accepted FROM rows WHERE n = 1
+              UNION ALL SELECT r.id, r.ts_ns, r.user_id, r.n, CASE WHEN r.ts_ns - w.last < 86400000000000 THEN w.last ELSE r.ts_ns END, r.ts_ns - w.last >= 86400000000000
+              FROM walk w JOIN rows r ON r.user_id = w.user_id AND r.n = w.n + 1)
+            SELECT id, ts_ns, user_id, accepted FROM walk""",
+        "token_bucket": recursive + """rows AS (SELECT id, ts_ns, api_key_id, row_number() OVER (PARTITION BY api_key_id ORDER BY ts_ns, id) AS n FROM facts WHERE api_key_id IS NOT NULL),
+            walk AS (SELECT id, ts_ns, api_key_id, n, 2::DOUBLE AS had FROM rows WHERE n = 1
+              UNION ALL SELECT r.id, r.ts_ns, r.api_key_id, r.n, least(2::DOUBLE, CASE WHEN w.had >= 1 THEN w.had - 1 ELSE w.had END + CAST(r.ts_ns - w.ts_ns AS DOUBLE) / 1e9 * 0.0005::DOUBLE)
+              FROM walk w JOIN rows r ON r.api_key_id = w.api_key_id AND r.n = w.n + 1)
+            SELECT id, ts_ns, api_key_id, had >= 1 AS admitted, CASE WHEN had >= 1 THEN 0::DOUBLE ELSE (1 - had) / 0.0005::DOUBLE END AS wait_s FROM walk
+            UNION ALL SELECT id, ts_ns, NULL, true, 0::DOUBLE FROM facts WHERE api_key_id IS NULL""",
         "cost_default": cost(""), "cost_batch": cost("batch"), "cost_long_context": cost("above"), "cost_cache_1h": cost("hour"),
         "cost_geo": _with("SELECT id, CAST(round(cost_nanodollars * 1.25::DOUBLE) AS BIGINT) AS cost_nanodollars FROM priced"),
         "quota_user": quota(f"user_id = '{USER}' AND ts_ns >= {CUTOFF}"), "quota_key": quota(f"api_key_id = '{KEY}'"), "quota_user_and_key": quota(f"user_id = '{USER}' AND api_key_id = 'key_0'"), "quota_empty": quota("user_id = 'nobody'"),

@@ -19,13 +19,43 @@ MAX_BATCH, MAX_TOKENS, MAX_COST = 10_000, 10_000_000, 10**12
 MIN_TS_NS, FUTURE_NS = 1_577_836_800 * SECOND, 86_400 * SECOND
 MAX_MODEL, MAX_PROVIDER, MAX_ATTRIBUTION, MAX_ENDPOINT, MAX_METADATA = 256, 128, 256, 512, 65_536
 U32, U16 = 2**32 - 1, 2**16 - 1
+MAX_KEYS = 100_000
+
+
+def _items(column: str) -> Column:
+    return F.from_json(F.get_json_object(column, "$.events"), "array<string>")
 
 
 def batch_items(batches: DataFrame, column: str = "value") -> DataFrame:
-    """The items of batch bodies ``{"events": [...]}`` with their place; a body with too many or none gives no item."""
-    items = F.from_json(F.get_json_object(column, "$.events"), "array<string>")
-    rows = batches.select(F.posexplode(F.when(F.size(items).between(1, MAX_BATCH), items)).alias("position", "value"))
-    return rows
+    """The items of batch bodies ``{"events": [...]}`` with their place; a body with too many or none gives no item but a row of ``batch_rejects``."""
+    items = _items(column)
+    others = [c for c in batches.columns if c not in (column, "position", "value")]
+    return batches.select(*others, F.posexplode(F.when(F.size(items).between(1, MAX_BATCH), items)).alias("position", "value"))
+
+
+def batch_rejects(batches: DataFrame, column: str = "value") -> DataFrame:
+    """Bodies that are refused as a whole, with ``reason``."""
+    n = F.size(_items(column))
+    reason = F.when(F.coalesce(n, F.lit(-1)) < 0, "malformed batch").when(n == 0, "empty batch").when(n > MAX_BATCH, "too many events")
+    return batches.withColumn("reason", reason).where("reason is not null")
+
+
+def batch_outcomes(batches: DataFrame, now_ns: Column, body: str = "body", column: str = "value") -> DataFrame:
+    """``body, position, reason``: a row for each item, ``reason`` null where it is accepted, and one without position for a body refused as a whole."""
+    items = reasons(batch_items(batches, column), now_ns).select(body, F.col("position").cast("long").alias("position"), "reason")
+    return items.unionByName(batch_rejects(batches, column).select(body, F.lit(None).cast("long").alias("position"), "reason"))
+
+
+def authenticated(calls: DataFrame, keys: DataFrame, token: str = "token", default_tier: str = "free") -> DataFrame:
+    """``calls`` with ``key_id`` (null if no key has the token) and ``tier``, instead of the token.
+
+    ``keys``: ``token, key_id, tier, position``; of equal tokens the last counts. It is configuration, some thousands of rows, broadcast up to ``MAX_KEYS``.
+    """
+    last = keys.groupBy(F.col("token").alias("_token")).agg(F.max_by(F.struct("key_id", "tier"), "position").alias("_key"))
+    if keys.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
+        last = F.broadcast(last)
+    rows = calls.join(last, F.col(token) == F.col("_token"), "left")
+    return rows.withColumns({"key_id": F.col("_key.key_id"), "tier": F.coalesce("_key.tier", F.lit(default_tier))}).drop(token, "_token", "_key")
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -1,7 +1,8 @@
 """Folds over the rows of a key in time order: replays within a time, and token buckets.
 
 Rows are dealt by key and ordered by (key, time); a task walks them in batches and carries one key's
-state from batch to batch. A key with any number of rows takes no more memory than any other.
+state from batch to batch. A key with any number of rows takes no more memory than any other, but it is one
+task's, as each row depends on the one before. Rows without a key depend on none and stay where they are.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ def _fold(rows: DataFrame, key: str, order: list[str], make: Callable, outputs:
         for batch in batches:
             out = []
             for k, *values in zip(batch[key], *(batch[c] for c in order)):
-                if step is None or k != at or k is None:
+                if step is None or k != at:
                     at, step = k, make()
                 out.append(step(*values))
             yield batch.assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    keyed = rows.where(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    alone = rows.where(F.col(key).isNull()).select("*", *(F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(outputs, make()(0, None))))
+    return keyed.unionByName(alone)
 
 
 def first_seen(events: DataFrame, key: str = "idempotency_key", at_ns: str = "ts_ns", id_: str = "id", ttl_s: int = 300) -> DataFrame:

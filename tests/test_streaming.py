@@ -22,6 +22,17 @@ def test_replays(spark):
     assert [got[i] for i in "012345x"] == [True, False, False, True, False, True, True]
 
 
+def test_rollup_of_a_stream_is_the_same_twice(spark, data):
+    first, second = ({tuple(r) for r in queries.queries()["stream_rollup_available_now"](spark, data).collect()} for _ in range(2))
+    assert first == second
+
+
+def test_rows_without_a_key_are_not_shuffled(spark):
+    calls = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("api_key_id"), F.col("id").alias("ts_ns"))
+    got = keyed.token_bucket(calls, rps=1, burst=1)
+    assert got.where("admitted and wait_s = 0").count() == 1000 and got.columns == ["id", "api_key_id", "ts_ns", "admitted", "wait_s"]
+
+
 def test_stream_ingest_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     late = {"model": "gpt-4o", "provider": "openai", "timestamp": "2020-02-02T00:00:00Z", "usage": {"input_tokens": 1}}
