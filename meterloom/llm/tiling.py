@@ -7,8 +7,9 @@ stretch of ``LEAST`` words is left unmarked. Tiles do not overlap on either side
 order, so a passage that was cut up and reordered is still covered. The part of the item's words that
 tiles cover is its coverage; from ``COVERAGE`` on the document holds the item.
 
-The items go to the workers in slices of about ``SEEDS`` seeds, each in a pass over the documents; a
-pass shuffles nothing, and a document's result is made where the document is.
+The items go through the driver to the workers in slices of about ``SEEDS`` seeds, one at a time, each in a pass over the
+documents; a pass shuffles nothing, and a document's result is made where the document is. A benchmark usually is one slice;
+its size does not grow with the corpus.
 
 Defined results: a null text is an empty one; an item without words is never found; an item of fewer
 than ``LEAST`` words is found only as a whole; equal items are each found; repeated documents each get
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 #: Words of the shortest tile and of a seed, and the least part of an item's words that tiles must cover.
 LEAST, COVERAGE = 5, 0.5
@@ -160,17 +161,15 @@ class Items:
         return out
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, least: int, seeds: int) -> list:
-    """The benchmark in slices of about ``seeds`` seeds, each a broadcast; usually one."""
+def _slices(benchmark: DataFrame, item: str, text: str, least: int, seeds: int):
+    """The benchmark in slices of about ``seeds`` seeds, each a broadcast, made when it is asked for, with their number."""
     rows = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     total = rows.agg(F.sum(F.size(F.split("body", r"\W+")))).first()[0] or 0
     n = max(1, math.ceil(total / seeds))
     sc = benchmark.sparkSession.sparkContext
-    out = []
     for i in range(n):
         own = rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == i).collect()
-        out.append(sc.broadcast(Items(sorted(((r["item"], r["body"]) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least)))
-    return out
+        yield sc.broadcast(Items(sorted(((r["item"], r["body"]) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least)), n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text",
@@ -182,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, covered long, n_words long, coverage double, tiles array<struct<doc:int,item:int,words:int>>"
     tile_type = pa.list_(pa.struct([("doc", pa.int32()), ("item", pa.int32()), ("words", pa.int32())]))
     out = None
-    for own in _slices(benchmark, item, text, least, seeds):
+    for own, _ in _slices(benchmark, item, text, least, seeds):
         def run(batches, own=own):
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
@@ -203,14 +202,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text",
                   least: int = LEAST, coverage: float = COVERAGE, seeds: int = SEEDS) -> DataFrame:
-    """``docs`` without the documents that hold an item; a filter, with no shuffle."""
-    for own in _slices(benchmark, item, text, least, seeds):
+    """``docs`` without the documents that hold an item; a filter, with no shuffle, written between slices if there are several."""
+    for own, n in _slices(benchmark, item, text, least, seeds):
         def run(batches, own=own):
             for batch in batches:
                 keep = [not any(f[1] >= coverage * f[2] for f in own.value.found(t)) for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if n > 1:  # a worker holds one slice at a time
+            docs = written(docs, "decontaminated")
+            own.unpersist()
     return docs
 
 

@@ -98,6 +98,31 @@ def test_tiling_is_greedy():
                 assert sorted(tiling.tile(d, item, least)) == brute_tiles(d, item, least)
 
 
+def test_contaminated_is_that_of_brute_force(spark, data):
+    def words(t):
+        return re.findall(r"\w+", (t or "").lower())
+
+    items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    seeds: dict = {}
+    for i, ws in items.items():
+        for k in range(max(0, len(ws) - 4)):
+            seeds.setdefault(tuple(ws[k : k + 5]), set()).add(i)
+    want = {}
+    for d, x in texts(spark, data).items():
+        doc = words(x)
+        near: dict = {}  # places of the document in a seed of the item; no tile leaves them
+        for k in range(len(doc) - 4):
+            for i in seeds.get(tuple(doc[k : k + 5]), ()):
+                near.setdefault(i, set()).update(range(k, k + 5))
+        for i, places in near.items():
+            number = {w: n for n, w in enumerate(dict.fromkeys(items[i]))}
+            tiles = brute_tiles([number[w] if n in places else -1 for n, w in enumerate(doc)], [number[w] for w in items[i]], 5)
+            if 2 * sum(n for n, _, _ in tiles) >= len(items[i]):
+                want[d, i] = sorted((at, start, n) for n, at, start in tiles)
+    got = {(r["doc_id"], r["item_id"]): sorted(tuple(t) for t in r["tiles"]) for r in tiling.query(spark, data).collect()}
+    assert got == want and want
+
+
 def test_contaminated(spark):
     item = " ".join(f"word{i}" for i in range(20))
     half = item.split()
