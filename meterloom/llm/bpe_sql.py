@@ -22,6 +22,7 @@ import base64
 import functools
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ WITH RECURSIVE state(round, word, pos, nxt, tok) AS (
            JOIN merges m ON m.pair = ((a.tok::BIGINT << 32) | b.tok)
            GROUP BY a.word)
    ) p ON s.word = p.word
-   WHERE s.pos <> p.r AND s.round < $rounds))
+   WHERE s.pos <> p.r{more}))
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round)
 GROUP BY word ORDER BY word
@@ -84,7 +85,7 @@ GROUP BY word ORDER BY word
 
 _DECODE_SQL = """
 SELECT word, string_agg(hex(v.bytes), '' ORDER BY pos) AS hexed
-FROM ids JOIN vocabulary v USING (id) GROUP BY word ORDER BY word
+FROM ids JOIN vocabulary v USING (id) GROUP BY word
 """
 
 
@@ -156,12 +157,12 @@ class Bpe:
     def _query(self, words: list[bytes]) -> list[list[int]]:
         longest = max(map(len, words))
         bits, wide = (14, "BIGINT") if longest < 1 << 14 else (28, "HUGEINT")
-        sql = _SQL.format(bits=bits, mask=(1 << bits) - 1, wide=wide)
         rounds = max(1, ROWS // longest) if len(words) == 1 else longest
+        sql = _SQL.format(bits=bits, mask=(1 << bits) - 1, wide=wide, more=f" AND s.round < {rounds}" if rounds < longest else "")
         rows = self._rows(words)
         while True:
             self.db.register("rows", rows)
-            got = self.db.sql(sql, params={"rounds": rounds}).to_arrow_table().column("ids").to_pylist()
+            got = self.db.sql(sql).to_arrow_table().column("ids").to_pylist()
             if len(words) > 1 or len(rows) - len(got[0]) < rounds:
                 return got
             tokens = np.array(got[0], np.int32)  # a long word goes on where the query left it
@@ -224,6 +225,8 @@ class Bpe:
 
     def unmerge(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids; long lists are decoded in parts."""
+        if sum(map(len, ids)) <= 16 * IDS:
+            return self._decode(ids)
         parts = [(n, x[i : i + IDS]) for n, x in enumerate(ids) for i in range(0, len(x), IDS)]
         out: list[list[bytes]] = [[] for _ in ids]
         first = 0
@@ -232,15 +235,22 @@ class Bpe:
             while last < len(parts) and size + len(parts[last][1]) <= 16 * IDS:
                 size += len(parts[last][1])
                 last += 1
-            lengths = np.array([len(x) for _, x in parts[first:last]], np.int64)
-            flat = np.fromiter((i for _, x in parts[first:last] for i in x), np.int32, size)
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self.db.register("ids", pa.table({"word": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), "pos": np.arange(size) - starts, "id": flat}))
-            for h, (n, _) in zip(self.db.sql(_DECODE_SQL).to_arrow_table().column("hexed").to_pylist(), parts[first:last]):
-                out[n].append(bytes.fromhex(h))
+            for b, (n, _) in zip(self._decode([x for _, x in parts[first:last]]), parts[first:last]):
+                out[n].append(b)
             first = last
         return [b"".join(x) for x in out]
 
+    def _decode(self, ids: list[list[int]]) -> list[bytes]:
+        lengths = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out = [b""] * len(ids)
+        self.db.register("ids", pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "pos": np.arange(len(flat)) - starts, "id": flat}))
+        got = self.db.sql(_DECODE_SQL).to_arrow_table()
+        for w, h in zip(got.column("word").to_pylist(), got.column("hexed").to_pylist()):
+            out[w] = bytes.fromhex(h)
+        return out
+
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards ``known`` has the ids (in decimal, joined) and the decoded bytes of all of them."""
         split = [self.split(t) for t in texts]
