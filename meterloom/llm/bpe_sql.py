@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Kept, documents
 
 #: Pieces whose ids a worker keeps (twice as many at most), and pieces in one query.
-KNOWN, CHUNK = 150_000, 10_000
+KNOWN, CHUNK = 300_000, 10_000
 #: Bytes of the longest piece that is contracted whole, of a window and of what two windows share, windows looked at together, and rows of all rounds of a query.
 SHORT, WINDOW, SHARED, WINDOWS, ROWS = 96, 64, 32, 4096, 600_000
 #: Ids that are decoded as one list.
