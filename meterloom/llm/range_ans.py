@@ -161,7 +161,7 @@ def decode(payload: bytes, block: int | None = None, checkpoint: int = 0) -> np.
 # tokenising: white space never is in a token of this vocabulary, so words are encoded once each
 
 #: Words whose ids a worker keeps (twice as many at most), and words in one call.
-KEPT_WORDS, CALL = 400_000, 512
+KEPT_WORDS, CALL = 600_000, 512
 #: ASCII punctuation but the apostrophe between a letter and white space: always tokens of its own.
 _TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[\t-\r ]|$)")
 
