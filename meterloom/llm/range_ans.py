@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,10 +161,10 @@ def decode(payload: bytes, block: int | None = None, checkpoint: int = 0) -> np.
 
 # tokenising: white space never is in a token of this vocabulary, so words are encoded once each
 
-#: Words whose ids a worker keeps (twice as many at most), and words in one call.
-KEPT_WORDS, CALL = 600_000, 512
-#: ASCII punctuation but the apostrophe between a letter and white space: always tokens of its own.
-_TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[\t-\r ]|$)")
+#: Words whose ids a worker keeps (twice as many at most), words in one call, and bytes of text looked at together.
+KEPT_WORDS, CALL, TOGETHER = 600_000, 512, 8_000_000
+#: ASCII punctuation but the apostrophe between a letter and a word's end: always tokens of its own.
+_TAIL = re.compile(r"(?<=[a-z])[!-&(-/:-@\[-`{-~]+\Z")
 
 
 class Words:
@@ -171,9 +172,10 @@ class Words:
 
     Added tokens (``special``: as the library does unless told otherwise) are cut out of a text first,
     as the tokenizer does itself. What is between them is cut at ASCII white space, which the tokenizer
-    drops, letters A-Z are lowered and punctuation is cut from a word's end, which it does too; there
-    are fewer different words then. A vocabulary whose added tokens look at what is around them, or at
-    normalised text, is left to the tokenizer, text by text.
+    drops, and letters A-Z are lowered, which it does too. Arrow does that for many texts at once and
+    numbers the different words, so Python sees each of them once; punctuation is cut from the end of a new
+    one. A vocabulary whose added tokens look at what is around them, or at normalised text, is left to
+    the tokenizer, text by text.
     """
 
     def __init__(self, path: str, special: bool = True):
@@ -187,17 +189,13 @@ class Words:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = self.tokenizer.get_added_tokens_decoder()
         self.whole = any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added.values())
-        found = {t.content: i for i, t in added.items()} if special else {}
-        self.added = sorted(found, key=len, reverse=True)
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
-        #: No word begins with a space, so these are told apart from words.
-        self.own = {b" " + c.encode(): np.array([i], self.dtype).tobytes() for c, i in found.items()}
+        self.added = {t.content: np.array([i], self.dtype) for i, t in added.items()} if special else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
-    def _new(self, words: list[bytes]):
+    def _encoded(self, words: list[str]):
         """(word, ids) of each word. Words of letters are encoded many at a time and told apart by the tokenizer's word numbers."""
-        texts = [w.decode() for w in words]
-        alone = [t for t in texts if not t.isalpha()]
-        letters = [t for t in texts if t.isalpha()]
+        alone = [t for t in words if not t.isalpha()]
+        letters = [t for t in words if t.isalpha()]
         for i in range(0, len(letters), CALL):
             part = letters[i : i + CALL]
             got = self.plain.encode(" ".join(part), add_special_tokens=False)
@@ -214,24 +212,52 @@ class Words:
             for t, e in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False)):
                 yield t, np.array(e.ids, self.dtype).tobytes()
 
-    def _split(self, text: str) -> list[bytes]:
-        if not any(c in text for c in self.added):
-            return _TAIL.sub(rb" \1", text.encode().lower()).split()
-        out: list[bytes] = []
-        for i, part in enumerate(self.cut.split(text)):
-            out += [b" " + part.encode()] if i % 2 else _TAIL.sub(rb" \1", part.encode().lower()).split()
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.whole:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self._split(t) for t in texts]
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of all ``words`` into the table."""
         known = self.known
-        new = known.missing(set().union(*split) - self.own.keys())
-        known.update((t.encode(), ids) for t, ids in self._new(new))
-        known.update(self.own)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        new = known.missing(set(words))
+        tails = {w: m.start() for w in new if (m := _TAIL.search(w))}
+        parts = {w for w in new if w not in tails}
+        for w, at in tails.items():
+            parts |= {w[:at], w[at:]}
+        known.update(self._encoded([p for p in parts if p not in known]))
+        known.update((w, known[w[:at]] + known[w[at:]]) for w, at in tails.items())
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
+        rows = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = rows.flatten().dictionary_encode()
+        words = pc.ascii_lower(coded.dictionary).to_pylist()  # not of texts: wrong for a slice of an array
+        self._learn(words)
+        found = [self.known[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        at = np.concatenate(([0], np.cumsum(size)))
+        of_word = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), self.dtype)))
+        ids = of_word.take(coded.indices).flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size[coded.indices.to_numpy()])))[np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))]
+        return np.split(ids, ends[:-1])
+
+    def _with_added(self, text: str) -> np.ndarray:
+        """Ids of a text that holds added tokens."""
+        parts = self.cut.split(text)
+        between = self._plain(pa.array(parts[::2], pa.string()))
+        return np.concatenate([between[i // 2] if i % 2 == 0 else self.added[p] for i, p in enumerate(parts)])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each of ``texts``, none of which is null."""
+        if not len(texts):
+            return []
+        if self.whole:
+            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._plain(texts)
+        out = self._plain(pc.if_else(pa.array(holds), "", texts))
+        for i in np.flatnonzero(holds):
+            out[i] = self._with_added(texts[int(i)].as_py())
+        return out
 
 
 @functools.cache
@@ -240,6 +266,18 @@ def words(path: str, special: bool) -> Words:
     return Words(path, special)
 
 
+def _together(batches, size: int = TOGETHER):
+    """Parts of the batches with about ``size`` bytes of text each; a longer text is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 FILES = "file int, segment int, n_ids long, keys array<long>, lengths array<long>, payload binary"
 
 
@@ -251,30 +289,28 @@ def encode_files(docs: DataFrame, tokenizer: str, end_id: int, special: bool = T
 
     def write(batches):
         ids_of, file, segment = words(tokenizer, special), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], ids_of.dtype).tobytes()
+        end = np.array([end_id], ids_of.dtype)
         keys: list = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
         size = 0
 
         def row():
-            ids = np.frombuffer(b"".join(coded), ids_of.dtype)
+            ids = np.concatenate(coded)
             return pa.RecordBatch.from_pydict({
                 "file": pa.array([file], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()),
-                "keys": pa.array([keys], pa.list_(pa.int64())), "lengths": pa.array([[len(c) // ids_of.dtype.itemsize for c in coded]], pa.list_(pa.int64())),
+                "keys": pa.array([keys], pa.list_(pa.int64())), "lengths": pa.array([[len(a) + 1 for a in coded[::2]]], pa.list_(pa.int64())),
                 "payload": pa.array([encode(ids)], pa.binary()),
             })
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                for k, c in zip(part.column("key").to_pylist(), ids_of(part.column("body").to_pylist())):
-                    n = len(c) // ids_of.dtype.itemsize + 1
-                    if keys and size + n > SEGMENT:
-                        yield row()
-                        keys, coded, size, segment = [], [], 0, segment + 1
-                    keys.append(k)
-                    coded.append(c + end)
-                    size += n
+        for part in _together(batches):
+            for k, ids in zip(part.column("key").to_pylist(), ids_of(part.column("body"))):
+                n = len(ids) + 1
+                if keys and size + n > SEGMENT:
+                    yield row()
+                    keys, coded, size, segment = [], [], 0, segment + 1
+                keys.append(k)
+                coded += [ids, end]
+                size += n
         if keys:
             yield row()
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -503,7 +504,6 @@ def test_token_files(spark, data):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     got, start = {r["doc_id"]: r for r in range_ans.query(spark, data).collect()}, 0
     for i, x in sorted(texts(spark, data).items()):
         ids = np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4")
@@ -515,8 +515,14 @@ def test_words_are_the_tokenizers_own():
     w = range_ans.Words(WORDS)
     odd = ["It's  the end. he'll!! x.'s don't", "a" + chr(0x301) + " = " + chr(0x338), "a b" + chr(0x1C) + "c", chr(0x130) + " " + chr(0x3A3) + chr(0x3B1) + chr(0x3C2) + ".", "...", "a...'s", "", " ",
            "c'est l'" + chr(0xE9) + "t" + chr(0xE9) + ". <|endoftext|> ", chr(0x65E5) + chr(0x672C) + chr(0x3002) + "x", "a" + chr(0xA0) + "b,", "12ab 1.5, _a_ #tag!!"]
-    for x, got in zip(odd, w(odd)):
-        assert np.frombuffer(got, w.dtype).tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids, x
+    odd += [" ".join(odd[:5]) * 300, "x" * 20_000 + ". Y " + "<|endoftext|> a.b., " * 50]
+    column = pa.array([*odd, *odd[::-1]])
+    for part in (column, column.slice(3), column.slice(9, 2), column.slice(len(odd))):
+        for x, got in zip(part.to_pylist(), w(part), strict=True):
+            assert got.tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids, x[:99]
+    batch = pa.RecordBatch.from_arrays([column], ["body"])
+    parts = list(range_ans._together([batch.slice(2), batch.slice(0, 0)], size=40))
+    assert [x for p in parts for x in p.column("body").to_pylist()] == column.to_pylist()[2:] and len(parts) > 5
 
 
 def test_added_tokens_are_the_librarys(spark):
