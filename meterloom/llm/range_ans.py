@@ -162,7 +162,7 @@ def decode(payload: bytes, block: int | None = None, checkpoint: int = 0) -> np.
 # tokenising: white space never is in a token of this vocabulary, so words are encoded once each
 
 #: Words whose ids a worker keeps (twice as many at most), words in one call, and bytes of text looked at together.
-KEPT_WORDS, CALL, TOGETHER = 600_000, 512, 8_000_000
+KEPT_WORDS, CALL, TOGETHER = 600_000, 512, 16_000_000
 #: ASCII punctuation but the apostrophe between a letter and a word's end: always tokens of its own.
 _TAIL = re.compile(r"(?<=[a-z])[!-&(-/:-@\[-`{-~]+\Z")
 
@@ -191,22 +191,25 @@ class Words:
         self.whole = any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added.values())
         self.added = {t.content: np.array([i], self.dtype) for i, t in added.items()} if special else {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        #: By id: whether a token ends a word. Where the vocabulary does not tell, none does.
+        suffix = getattr(self.plain.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(self.plain.get_vocab().values()) + 1, bool)
+        self.last[[i for t, i in self.plain.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
     def _encoded(self, words: list[str]):
-        """(word, ids) of each word. Words of letters are encoded many at a time and told apart by the tokenizer's word numbers."""
-        alone = [t for t in words if not t.isalpha()]
-        letters = [t for t in words if t.isalpha()]
+        """(word, ids) of each word. Words of letters are encoded many at a time and told apart by the tokens that end a word."""
+        letters = [t for t in words if t.isalpha()] if self.last.any() else []
+        alone = [t for t in words if not t.isalpha()] if letters else words
+        size = self.dtype.itemsize
         for i in range(0, len(letters), CALL):
             part = letters[i : i + CALL]
-            got = self.plain.encode(" ".join(part), add_special_tokens=False)
-            numbers = np.array(got.word_ids)
-            ends = np.searchsorted(numbers, np.arange(len(part)), "right")
-            if numbers[-1] != len(part) - 1 or ends[0] == 0 or not np.diff(ends).all():
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
                 alone += part
                 continue
-            ids, size = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
-            for t, a, b in zip(part, [0, *ends.tolist()], ends.tolist()):
-                yield t, ids[size * a : size * b]
+            raw, at = ids.tobytes(), (size * ends).tolist()
+            yield from zip(part, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)))
         for i in range(0, len(alone), 10_000):
             part = alone[i : i + 10_000]
             for t, e in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False)):
