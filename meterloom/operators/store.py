@@ -42,10 +42,13 @@ class Store:
 
     # writing
 
-    def append(self, events: DataFrame) -> None:
-        """One commit; what it wrote is visible after it and only then. Rows of a day are put together, large days in several files."""
+    def check_room(self) -> None:
         if self.max_bytes is not None and self.size_bytes() >= self.max_bytes:
             raise StorageFull(f"the store has {self.max_bytes} bytes or more")
+
+    def append(self, events: DataFrame) -> None:
+        """One commit; what it wrote is visible after it and only then. Rows of a day are put together, large days in several files."""
+        self.check_room()
         rows = events.withColumn("day", day_text()).withColumn("tier", F.coalesce(F.nullif("tier", F.lit("")), F.lit("free")))
         rows = rows.hint("rebalance", "tier", "day").sortWithinPartitions("tier", "day", "ts_ns")
         rows.write.mode("append").partitionBy("tier", "day").option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#user_id", "true").parquet(self.events_path)

@@ -2,7 +2,8 @@
 
 A micro-batch is written to a place of its own number, so one that runs again after a failure replaces
 itself. The catalog is read anew for each micro-batch and prices only its events. The rollup is a table
-of partial cubes, merged when it is read; late events add to their own day, nothing is dropped.
+of partial cubes, merged when it is read; late events add to their own day, nothing is dropped. A sink
+that is full ends the query; the micro-batch is not committed and comes again at the next start.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.times import day_text
 from ..operators.aggregates import merged, rollup
+from ..operators.store import Store
 from ..sources.ingest import ingest
 
 
@@ -23,6 +25,7 @@ from ..sources.ingest import ingest
 class Sink:
     spark: SparkSession
     root: str
+    max_bytes: int | None = None
 
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/events").drop("batch")
@@ -34,7 +37,8 @@ class Sink:
         return merged(self.spark.read.parquet(f"{self.root}/rollup"))
 
     def write(self, batch: int, events: DataFrame, rejects: DataFrame) -> None:
-        events = events.withColumn("day", day_text())
+        Store(self.spark, self.root, self.max_bytes).check_room()
+        events = events.withColumn("day", day_text()).hint("rebalance", "tier", "day")
         events.sortWithinPartitions("tier", "day", "ts_ns").write.mode("overwrite").partitionBy("tier", "day").parquet(f"{self.root}/events/batch={batch}")
         stored = self.spark.read.schema(events.schema).parquet(f"{self.root}/events/batch={batch}")
         rollup(stored).write.mode("overwrite").parquet(f"{self.root}/rollup/batch={batch}")

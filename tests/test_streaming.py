@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from meterloom.operators import aggregates
@@ -50,3 +52,20 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     cube = sink.rollup()
     assert {tuple(r) for r in cube.collect()} == {tuple(r) for r in aggregates.rollup(sink.events()).select(*cube.columns).collect()}
     assert cube.agg(F.sum("event_count")).first()[0] == n + 1
+
+
+def test_full_sink_ends_the_stream_and_loses_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sink, full = (Sink(spark, str(tmp_path / "out"), most) for most in (None, 1))
+
+    def go(sink, name):
+        line = {"model": "gpt-4o", "provider": "openai", "timestamp": "2024-02-02T00:00:00Z", "usage": {"input_tokens": 1}}
+        (tmp_path / "in" / name).write_text(json.dumps(line))
+        stream_ingest(spark, str(tmp_path / "in"), sink, lambda: queries.example_catalog(spark), str(tmp_path / "check")).awaitTermination()
+
+    go(full, "a.jsonl")
+    with pytest.raises(StreamingQueryException, match="1 bytes or more"):
+        go(full, "b.jsonl")
+    assert sink.events().count() == 1
+    go(sink, "c.jsonl")
+    assert sink.events().count() == 3 and sink.events().select("id").distinct().count() == 3
