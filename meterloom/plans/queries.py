@@ -16,8 +16,10 @@ from ..operators.cost import compute_cost
 from ..operators.filters import EventFilter
 from ..sources import catalog, ingest
 from ..sources.events import FACTS_DUCKDB, facts
+from ..schema import EVENT
 from ..streaming import keyed
-from ..streaming.ingest import stream_rollup
+from ..streaming.calls import Limits, stream_calls
+from ..streaming.ingest import Sink, stream_rollup
 from . import examples
 
 CUTOFF = 1_705_276_800 * 10**9  # 2024-01-15
@@ -120,6 +122,29 @@ def _stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_rollup(spark, f"{base}/facts", rows.schema, priced_rows, f"{base}/rollup", f"{base}/checkpoint")
 
 
+def _after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store with all events, then without those with errors and those of a user."""
+    events = priced(spark, sf_dir)
+    held = store.Store(spark, _folder(spark, "store"))
+    held.append(events.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields if f.name in events.columns)))
+    held.delete(held.read().where("is_error = 1").select("id"))
+    held.erase_user(USER)
+    return _events(held.read())
+
+
+def _stream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored events by user, of a stream of calls whose idempotency key is the user and counts for a day."""
+    base = _folder(spark, "calls")
+    body = F.to_json(F.struct("model", "provider", "user_id"))
+    facts(spark, sf_dir).select(F.to_json(F.struct(F.col("user_id").alias("idempotency_key"), F.col("ts_ns").alias("at_ns"), body.alias("body")))).write.text(f"{base}/lines")
+    sink = Sink(spark, f"{base}/out")
+    stream_calls(spark, f"{base}/lines", sink, lambda: example_catalog(spark), f"{base}/checkpoint", limits=Limits(ttl_s=86_400)).awaitTermination()
+    return A.rollup_rows(sink.rollup()).groupBy("user_id").agg(F.sum("event_count").alias("accepted"))
+
+
+#: What fills in for fields that a payload leaves out: (payload, method, endpoint, output tokens, ms, streaming).
+_DEFAULTS = [(0, "POST", "", 512, 0, 0), (1, "POST", "", 0, 0, 0), (13, "POST", "", 0, 0, 0), (15, "POST", "", 0, 0, 0), (20, "POST", "", 200, 0, 1), (21, "bad method", "", 0, 0, 0)]
+_ENDS = [("anthropic", None, "api.anthropic.com", "x-api-key"), ("openai_compatible", "proxy.invalid", "proxy.invalid", "authorization"), ("ollama", None, "localhost", "authorization"), ("azure_openai", None, "openai.azure.com", "api-key")]
 _KEEP = {"free": 7, "pro": 14}
 _STATUS = EventFilter(status_from=400, status_below=500)
 _ALL = EventFilter(user_id=USER, model="claude-sonnet-4-20250514", provider="anthropic", from_ns=CUTOFF - 86_400 * 10**9 * 10, to_ns=CUTOFF)
@@ -201,7 +226,13 @@ def queries() -> dict:
         "catalog_lookup": lambda s, d: catalog.with_rates(_one(s, _NAMES, "model"), example_catalog(s)).select("model", F.col("rates.canonical").alias("canonical"), F.col("rates.input").alias("input")),
         "idempotent_first_seen": scan(lambda e: keyed.first_seen(e.select("id", "ts_ns", "user_id"), "user_id", ttl_s=86_400)),
         "token_bucket": scan(lambda e: keyed.token_bucket(e.select("id", "ts_ns", "api_key_id"), 0.0005, 2)),
-        "stream_rollup_available_now": _stream_rollup,
+        "stream_rollup_available_now": _stream_rollup, "stream_calls_accepted": _stream_calls,
+        "stats_from_stored_rollup": lambda s, d: A.stats(_stream_rollup(s, d), by_model=True),
+        "stored_rollup_page": lambda s, d: filters.offset_page(A.rollup_rows(_stream_rollup(s, d), user_id=USER), A.ordered(A.ROLLUP_ORDER), 10, 5),
+        "store_after_deletes": _after_deletes,
+        "catalog_limits": lambda s, d: example_catalog(s).where("rank = 0").select("model", "search_query", "max_input_tokens", "mode"),
+        "ingest_defaults": lambda s, d: _payloads(s).where("reason is null").select("n", "event.method", "event.endpoint", "event.usage.output_tokens", "event.latency.total_ms", "event.flags.streaming"),
+        "provider_ends": lambda s, d: s.createDataFrame([e[:2] for e in _ENDS], "provider string, base_url string").select("provider", "base_url", providers.canonical_host(F.col("provider"), F.col("base_url")).alias("host"), providers.auth_header(F.col("provider")).alias("header")),
     }
 
 
@@ -223,6 +254,11 @@ def oracle_sql() -> dict[str, str]:
     ts, id_ = _CURSOR
     shown = "CASE WHEN nanos < 0 THEN '-' ELSE '' END || '$' || CAST(abs(CAST(nanos AS HUGEINT)) // 1000000000 AS VARCHAR) || '.' || lpad(CAST((abs(CAST(nanos AS HUGEINT)) % 1000000000) // 10 AS VARCHAR), 8, '0')"
     recursive = f"WITH RECURSIVE facts AS ({FACTS_DUCKDB}), "
+    first_seen = recursive + """rows AS (SELECT id, ts_ns, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, id) AS n FROM facts),
+            walk AS (SELECT id, ts_ns, user_id, n, ts_ns AS last, true AS accepted FROM rows WHERE n = 1
+              UNION ALL SELECT r.id, r.ts_ns, r.user_id, r.n, CASE WHEN r.ts_ns - w.last < 86400000000000 THEN w.last ELSE r.ts_ns END, r.ts_ns - w.last >= 86400000000000
+              FROM walk w JOIN rows r ON r.user_id = w.user_id AND r.n = w.n + 1)
+            SELECT id, ts_ns, user_id, accepted FROM walk"""
     survivors = " AND ".join(f"NOT (tier = '{t}' AND {_DAY} < {1_706_745_600 - 10 * 86_400})" for t in store.TIERS)
     overlap = "SELECT count(*) > 0 AS archived FROM ({m}) WHERE user_id = '{u}' AND max_ts_ns >= {a} AND min_ts_ns <= {b}"
     return {
@@ -238,12 +274,15 @@ def oracle_sql() -> dict[str, str]:
                                "|| ',\"cost_nanodollars\":' || cost_nanodollars || '}' AS value FROM priced WHERE provider = 'gemini'"),
         "latency_percentiles": _with("SELECT " + ", ".join(f"quantile_disc(total_ms, {q}) AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))) + " FROM priced"),
         "catalog_alias_expand": f"SELECT model, canonical, CAST(\"rank\" AS INTEGER) AS \"rank\", CAST(\"input\" AS BIGINT) AS \"input\", CAST(\"output\" AS BIGINT) AS \"output\" FROM {_values(_ALIASES, 'model, canonical, \"rank\", \"input\", \"output\"')}",
+        "stats_from_stored_rollup": stats("provider, model"), "stored_rollup_page": _with(f"SELECT * FROM cube WHERE user_id = '{USER}' ORDER BY day, user_id, api_key_id, model, provider LIMIT 10 OFFSET 5"),
+        "store_after_deletes": events(f"is_error = 0 AND user_id <> '{USER}'"),
+        "stream_calls_accepted": first_seen.replace("SELECT id, ts_ns, user_id, accepted FROM walk", "SELECT user_id, count(*) AS accepted FROM walk WHERE accepted GROUP BY user_id"),
+        "catalog_limits": "SELECT * FROM (VALUES ('azure/gpt-5-mini-2025-08-07', NULL::BIGINT, NULL::BIGINT, 'chat'), ('claude-sonnet-4-20250514', NULL, NULL, 'chat'), ('gemini/gemini-2.0-flash', NULL, NULL, 'chat'), ('gpt-4o', NULL, NULL, 'chat'), "
+                          "('mixed/case-model', 35000000, 4096, 'chat'), ('openai/gpt-5-mini-2025-08-07', 30000000, NULL, 'chat')) AS t(model, search_query, max_input_tokens, mode)",
+        "ingest_defaults": f"SELECT CAST(n AS BIGINT) AS n, method, endpoint, CAST(output_tokens AS BIGINT) AS output_tokens, CAST(total_ms AS BIGINT) AS total_ms, streaming = 1 AS streaming FROM {_values(_DEFAULTS, 'n, method, endpoint, output_tokens, total_ms, streaming')}",
+        "provider_ends": f"SELECT * FROM {_values(_ENDS, 'provider, base_url, host, header')}",
         # a row at a time of every user, or key: whether it is taken, and the state after it
-        "idempotent_first_seen": recursive + """rows AS (SELECT id, ts_ns, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, id) AS n FROM facts),
-            walk AS (SELECT id, ts_ns, user_id, n, ts_ns AS last, true AS accepted FROM rows WHERE n = 1
-              UNION ALL SELECT r.id, r.ts_ns, r.user_id, r.n, CASE WHEN r.ts_ns - w.last < 86400000000000 THEN w.last ELSE r.ts_ns END, r.ts_ns - w.last >= 86400000000000
-              FROM walk w JOIN rows r ON r.user_id = w.user_id AND r.n = w.n + 1)
-            SELECT id, ts_ns, user_id, accepted FROM walk""",
+        "idempotent_first_seen": first_seen,
         "token_bucket": recursive + """rows AS (SELECT id, ts_ns, api_key_id, row_number() OVER (PARTITION BY api_key_id ORDER BY ts_ns, id) AS n FROM facts WHERE api_key_id IS NOT NULL),
             walk AS (SELECT id, ts_ns, api_key_id, n, 2::DOUBLE AS had FROM rows WHERE n = 1
               UNION ALL SELECT r.id, r.ts_ns, r.api_key_id, r.n, least(2::DOUBLE, CASE WHEN w.had >= 1 THEN w.had - 1 ELSE w.had END + CAST(r.ts_ns - w.ts_ns AS DOUBLE) / 1e9 * 0.0005::DOUBLE)

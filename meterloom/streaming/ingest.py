@@ -34,7 +34,47 @@ class Sink:
         return self.spark.read.parquet(f"{self.root}/rejects").drop("batch")
 
     def rollup(self) -> DataFrame:
-        return merged(self.spark.read.parquet(f"{self.root}/rollup"))
+        """The daily cube as stored; quotas by day, statistics and rollup pages read it and no events."""
+        return self._cells(*self._rollup_parts())
+
+    def compact_rollup(self) -> int | None:
+        """Make one table of the partial cubes of all micro-batches but the newest, which may still come again.
+
+        The table is written under the number of the last micro-batch in it; readers take the largest that is whole and
+        the partial cubes after it, so nothing is counted twice or missed wherever the job ends. Returns that number.
+        """
+        base, later = self._rollup_parts()
+        if len(later) < 2:
+            return base
+        upto = later[-2]
+        self._cells(base, later[:-1]).write.mode("overwrite").parquet(f"{self.root}/rollup_base/upto={upto}")
+        for n in later[:-1]:
+            self.drop(f"rollup/batch={n}")
+        if base is not None:
+            self.drop(f"rollup_base/upto={base}")
+        return upto
+
+    def _rollup_parts(self) -> tuple[int | None, list[int]]:
+        """Number of the compacted table, and of the micro-batches after it."""
+        def numbers(name: str) -> list[int]:
+            fs, path = self.path(name)
+            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+            return sorted(int(f.getPath().getName().split("=")[1]) for f in (fs.listStatus(path) if fs.exists(path) else []) if "=" in f.getPath().getName() and fs.exists(hadoop(f.getPath(), "_SUCCESS")))
+
+        base = max(numbers("rollup_base"), default=None)
+        return base, [n for n in numbers("rollup") if base is None or n > base]
+
+    def _cells(self, base: int | None, later: list[int]) -> DataFrame:
+        paths = [f"{self.root}/rollup/batch={n}" for n in later] + ([f"{self.root}/rollup_base/upto={base}"] if base is not None else [])
+        return merged(self.spark.read.parquet(*paths))
+
+    def path(self, name: str):
+        """The file system and the path of a folder below the root."""
+        return Store(self.spark, self.root)._fs(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        fs, path = self.path(name)
+        fs.delete(path, True)
 
     def write(self, batch: int, events: DataFrame, rejects: DataFrame) -> None:
         Store(self.spark, self.root, self.max_bytes).check_room()

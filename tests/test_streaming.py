@@ -1,6 +1,7 @@
 """Streams give what batches give; folds over a key match a plain loop."""
 
 import json
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from meterloom.operators import aggregates
 from meterloom.plans import examples, queries
 from meterloom.streaming import keyed
+from meterloom.streaming.calls import Limits, stream_calls
 from meterloom.streaming.ingest import Sink, stream_ingest
 
 
@@ -69,3 +71,51 @@ def test_full_sink_ends_the_stream_and_loses_nothing(spark, tmp_path):
     assert sink.events().count() == 1
     go(sink, "c.jsonl")
     assert sink.events().count() == 3 and sink.events().select("id").distinct().count() == 3
+
+
+def test_calls_are_let_in_as_one_after_the_other(spark, tmp_path):
+    """Keys, buckets and replays over several micro-batches, one of them run again, as in a plain loop over all calls."""
+    (tmp_path / "in").mkdir()
+    sink, rng, at = Sink(spark, str(tmp_path / "out")), random.Random(5), 1_700_000_000 * 10**9
+    keys = {"t1": "alpha", "t2": "beta"}
+    limits, tokens, seen, want = Limits(rps=0.5, burst=3, ttl_s=20), {}, {}, []
+    table = spark.createDataFrame([(t, k, "pro", i) for i, (t, k) in enumerate(keys.items())], "token string, key_id string, tier string, position int")
+
+    def go():
+        stream_calls(spark, str(tmp_path / "in"), sink, lambda: queries.example_catalog(spark), str(tmp_path / "check"), lambda: table, limits).awaitTermination()
+
+    for batch in range(3):
+        lines = []
+        for _ in range(40):
+            at += rng.choice([1, 300, 2000]) * 10**6
+            n, token, idem, model = len(want), rng.choice(["t1", "t1", "t2", "nobody", None]), rng.choice(["a", "b", "c", None]), rng.choice(["gpt-4o", "gpt-4o", ""])
+            lines.append(json.dumps({"token": token, "idempotency_key": idem, "at_ns": at, "body": json.dumps({"model": model, "provider": "openai", "user_id": str(n)})}))
+            key, reason = keys.get(token), None
+            if key:
+                had, last = tokens.get(key, (3.0, at))
+                had = min(3.0, had + (at - last) / 1e9 * 0.5)
+                tokens[key] = (had - 1 if had >= 1 else had, at)
+                reason = None if had >= 1 else "rate limited"
+            else:
+                reason = "unauthorized"
+            reason = reason or (None if model else "model is required")
+            if not reason and idem:
+                if idem in seen and at - seen[idem] < 20 * 10**9:
+                    reason = "replayed"
+                else:
+                    seen[idem] = at
+            want.append((str(n), key, reason))
+        (tmp_path / "in" / f"{batch}.jsonl").write_text("\n".join(lines))
+        go()
+        if batch == 1:  # as if the commit had been lost: the micro-batch comes again
+            for name in ("1", ".1.crc"):
+                (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+            go()
+    got = [(r["user_id"], r["api_key_id"], None) for r in sink.events().collect()]
+    got += [(json.loads(r["value"])["user_id"], r["key_id"], r["reason"]) for r in sink.rejects().collect()]
+    assert sorted(got, key=lambda r: int(r[0])) == want
+    assert {r for _, _, r in want} == {None, "unauthorized", "rate limited", "model is required", "replayed"}
+    assert {r["tier"] for r in sink.events().select("tier").distinct().collect()} == {"pro"}
+    before = {tuple(r) for r in sink.rollup().collect()}
+    assert sink.compact_rollup() == 1 and {tuple(r) for r in sink.rollup().collect()} == before and sink.compact_rollup() == 1
+    assert sink.rollup().agg(F.sum("event_count")).first()[0] == sum(r is None for _, _, r in want)
