@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .text import cut_bytes
 
 KINDS = ["rate_limited", "invalid_request", "auth_failed", "context_length_exceeded", "content_filtered", "upstream_timeout", "upstream_unavailable", "other"]
+#: Statuses that say what happened, and, tried in this order where they do not, parts of the type that the body names.
+STATUSES = [("auth_failed", [401, 403]), ("rate_limited", [429]), ("upstream_timeout", [408, 504]), ("upstream_unavailable", [502, 503])]
+PARTS = [("rate_limited", ["rate_limit", "too_many_requests", "throttling"]), ("auth_failed", ["auth", "permission"]), ("context_length_exceeded", ["context_length", "too_long", "context_window"]),
+         ("content_filtered", ["content_filter", "safety", "blocked"]), ("upstream_timeout", ["timeout"])]
 TYPE = "struct<t:string,m:string,r:bigint,l:bigint,s:int>"
 
 
@@ -41,25 +45,11 @@ def from_response(status: Column, body: Column) -> Column:
     wait = F.coalesce(_number(v, "$.error.retry_after"), _number(v, "$.retry_after"))
     limit = F.coalesce(_number(v, "$.error.param.limit"), _number(v, "$.error.limit"))
     limit = F.when(limit <= 2**32 - 1, limit)
-    t = F.lower(kind)
-
-    def has(*words):
-        return t.rlike("|".join(words))
-
     rest = cut_bytes(F.coalesce(message, body), 256)
-    return (
-        F.when(status.isin(401, 403), make("auth_failed"))
-        .when(status == 429, make("rate_limited", wait=wait))
-        .when(status.isin(408, 504), make("upstream_timeout"))
-        .when(status.isin(502, 503), make("upstream_unavailable"))
-        .when(has("rate_limit", "too_many_requests", "throttling"), make("rate_limited", wait=wait))
-        .when(has("auth", "permission"), make("auth_failed"))
-        .when(has("context_length", "too_long", "context_window"), make("context_length_exceeded", limit=F.coalesce(limit, F.lit(0))))
-        .when(has("content_filter", "safety", "blocked"), make("content_filtered", F.coalesce(message, kind)))
-        .when(has("timeout"), make("upstream_timeout"))
-        .when(status == 400, make("invalid_request", rest))
-        .otherwise(make("other", rest, status=status))
-    )
+    with_fields = {"rate_limited": {"wait": wait}, "context_length_exceeded": {"limit": F.coalesce(limit, F.lit(0))}, "content_filtered": {"message": F.coalesce(message, kind)}}
+    rules = [(status.isin(*found), k) for k, found in STATUSES] + [(F.lower(kind).rlike("|".join(parts)), k) for k, parts in PARTS]
+    said = F.coalesce(*(F.when(rule, make(k, **with_fields.get(k, {}))) for rule, k in rules))
+    return F.coalesce(said, F.when(status == 400, make("invalid_request", rest)), make("other", rest, status=status))
 
 
 def from_wire(kind: Column, message: Column, status: Column) -> Column:

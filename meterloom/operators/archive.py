@@ -122,6 +122,16 @@ def archive(store, root: str, manifest_path: str, cutoff_ns: int, created_at: in
     return store.delete(read_chunks(store.spark, made).select("id"))["deleted"]
 
 
+def reachable(spark: SparkSession, root: str) -> bool:
+    """Whether the place of the archives answers; one where nothing has been written yet does."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    except Exception:  # whatever the file system of the place throws
+        return False
+    return True
+
+
 def due(store, cutoff_ns: int, most_bytes: int | None = None) -> bool:
     """Whether to archive: some day is wholly older than the cutoff, or the store is larger than ``most_bytes``."""
     return any(day < day_of(cutoff_ns) for _, day in store.partitions()) or most_bytes is not None and store.size_bytes() > most_bytes

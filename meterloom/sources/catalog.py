@@ -82,7 +82,7 @@ def with_names(priced: DataFrame) -> DataFrame:
     return spread.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
-_HELD: dict[tuple, DataFrame] = {}
+_HELD: dict[tuple, tuple[DataFrame, bool]] = {}  # a catalog's names and whether they are few enough to be broadcast
 
 
 def held(spark: SparkSession, entry: DataFrame, version: str) -> DataFrame:
@@ -92,8 +92,17 @@ def held(spark: SparkSession, entry: DataFrame, version: str) -> DataFrame:
         named = with_names(rates(entry))
         rows = named.limit(BROADCAST_NAMES + 1).collect()
         _HELD.clear()
-        _HELD[key] = spark.createDataFrame(rows, named.schema) if len(rows) <= BROADCAST_NAMES else named
-    return _HELD[key]
+        small = len(rows) <= BROADCAST_NAMES
+        _HELD[key] = (spark.createDataFrame(rows, named.schema) if small else named, small)
+    return _HELD[key][0]
+
+
+def _is_small(catalog: DataFrame) -> bool:
+    """Whether the names fit a broadcast; those of a held catalog are counted already."""
+    for names, small in _HELD.values():
+        if names is catalog:
+            return small
+    return catalog.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
 
 
 def with_rates(events: DataFrame, catalog: DataFrame, model: str = "model") -> DataFrame:
@@ -102,7 +111,7 @@ def with_rates(events: DataFrame, catalog: DataFrame, model: str = "model") -> D
     The whole entry is chosen first: a rate that the exact entry lacks is never taken from the other.
     """
     names = catalog.select(F.col("model").alias("name"), F.struct("canonical", *RATES).alias("found"))
-    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+    if _is_small(catalog):
         names = F.broadcast(names)
     key = ascii_lower(F.trim(F.col(model)))
     rows = events.withColumns({"_exact": key, "_bare": strip_date_suffix(key)})

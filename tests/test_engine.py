@@ -227,6 +227,10 @@ def test_compaction_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
     assert s.collect_all_garbage(1_700_000_000_000_000_000 + 30 * 86_400 * 10**9, 28) and {d for _, d in s.partitions()} == {"2023-11-16"}
 
 
+def test_archives_are_reachable(spark, tmp_path):
+    assert archive.reachable(spark, str(tmp_path / "none yet")) and not archive.reachable(spark, "no-such-scheme://place/x")
+
+
 def test_manifest_overlap(spark):
     rows = spark.createDataFrame([("a", "u", 10, 20), ("b", "u", 30, 40), ("c", "w", 10, 20)], "archive_id string, user_id string, min_ts_ns long, max_ts_ns long")
     assert [r["archive_id"] for r in archive.overlapping(rows, "u", 15, 30).collect()] == ["a", "b"] and archive.overlapping(rows, "u", 21, 29).count() == 0
