@@ -148,7 +148,7 @@ class Joined:
         if not len(at):
             return
         new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | split[1:]
+        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | (windows.text_of[at[1:]] != windows.text_of[at[:-1]]) | split[1:]
         runs = np.flatnonzero(new)
         begin, last = at[runs], at[np.append(runs[1:], len(at)) - 1]
         own = windows.text_of[begin]
