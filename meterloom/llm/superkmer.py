@@ -29,14 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import documents
 
 K, M = 13, 3
-#: Bytes of text that are hashed at once, that a task joins before it sends, and that make a bin.
-CHUNK, JOIN, BIN = 4 << 20, 32 << 20, 8 << 20
+#: Bytes of text that are read at once, that a task joins before it sends, and that make a bin; bytes that are hashed at once, and of a word that is hashed alone.
+CHUNK, JOIN, BIN, STEP, LONG = 2 << 20, 16 << 20, 4 << 20, 1 << 20, 1 << 16
 #: Words of a piece of a long text. Times its share that a bin may have, and windows that it has then at least. Bits of the bins that are counted.
-PIECE, HEAVY, LEAST, COUNTED = 400_000, 4, 50_000, 16
+PIECE, HEAVY, LEAST, COUNTED = 100_000, 4, 50_000, 16
 BLOCKS = "bin int, strings binary, keys array<long>, counts array<long>, at array<int>, print array<long>, start array<int>, end array<int>"
 RANGES = "key long, print long, start int, end int"
 
@@ -69,6 +70,22 @@ def _spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return _mixed((sums[last] - sums[first]) * inverse[first])
 
 
+def _words(text: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word; memory depends on ``STEP`` and ``LONG``, not on the text."""
+    out = np.empty(len(starts), np.uint64)
+    alone = np.flatnonzero(ends - starts > LONG)
+    steps = np.searchsorted(starts, np.arange(0, len(raw), STEP))
+    cuts = np.unique(np.concatenate([[0, len(starts)], alone, alone + 1, steps]))
+    single = set(alone.tolist())
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        if a in single:
+            out[a] = xxh64_intdigest(text[starts[a] : ends[a]])
+        else:
+            at = starts[a]
+            out[a:b] = _spans(raw[at : ends[b - 1]].astype(np.uint64), starts[a:b] - at, ends[a:b] - at)
+    return out
+
+
 class Windows:
     """The windows of texts in one buffer: words parted by a space, texts by a line feed."""
 
@@ -78,14 +95,14 @@ class Windows:
         self.starts, self.ends = np.append(0, ends + 1), np.append(ends, len(raw))
         self.text_of = np.append(0, np.cumsum(raw[ends] == 10)).astype(np.int32)
         n = len(self.starts) - k + 1
-        words = _spans(raw.astype(np.uint64), self.starts, self.ends)
+        words = _words(text, raw, self.starts, self.ends)
         self.first = np.flatnonzero(self.text_of[: max(n, 0)] == self.text_of[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
         self.hashes = _spans(words, self.first, self.first + k)
         grams = _spans(words, np.arange(len(words) - m + 1), np.arange(m, len(words) + 1)) if n > 0 else words
         width, wide = k - m + 1, 1
         while 2 * wide <= width:  # the least of a window, from windows half as wide
             grams, wide = np.minimum(grams[: len(grams) - wide], grams[wide:]), 2 * wide
-        self.least = np.minimum(grams[self.first], grams[self.first + width - wide])
+        self.least = _mixed(np.minimum(grams[self.first], grams[self.first + width - wide]))  # minima are small numbers; mixed they fill the bins evenly
 
 
 class Bins:

@@ -113,3 +113,16 @@ def test_odd_rows_have_their_values(spark, odd, odd_rows=None):
     assert got == brute(rows)
     assert {c for c in odd.columns if c != "text"} < set(superkmer.dedup(odd).columns)
     assert hashlib.sha256(b"").hexdigest() in {r["kept_sha256"] for r in superkmer.dedup(odd).selectExpr("sha2(kept, 256) AS kept_sha256").collect()}
+
+
+def test_hashes_do_not_depend_on_what_is_around(monkeypatch):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.choice([1, 2, 40, 90]))) for _ in range(400)]
+    text = " ".join(words).encode()
+    monkeypatch.setattr(superkmer, "LONG", 64)
+    whole = superkmer.Windows(text, 5, 2)
+    monkeypatch.setattr(superkmer, "STEP", 100)
+    assert (superkmer.Windows(text, 5, 2).hashes == whole.hashes).all()
+    for at in (0, 57, 200):
+        part = superkmer.Windows(" ".join(words[at : at + 30]).encode(), 5, 2)
+        assert part.hashes.tolist() == whole.hashes[at : at + 26].tolist() and part.least.tolist() == whole.least[at : at + 26].tolist()
