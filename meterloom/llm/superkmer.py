@@ -33,7 +33,7 @@ from xxhash import xxh64_intdigest
 
 from .common import documents
 
-K, M = 13, 3
+K, M = 13, 2
 #: Bytes of text that are read at once, that a task joins before it sends, and that make a bin; bytes that are hashed at once, and of a word that is hashed alone.
 CHUNK, JOIN, BIN, STEP, LONG = 2 << 20, 16 << 20, 4 << 20, 1 << 20, 1 << 16
 #: Words of a piece of a long text. Times its share that a bin may have, and windows that it has then at least. Bits of the bins that are counted.
@@ -202,7 +202,7 @@ class Joined:
             block = np.ones(len(order), bool)  # of one bin, and of a chunk's size at most or of one string
             block[1:] = (np.diff(self.bins[order]) != 0) | (np.diff(sizes // CHUNK) != 0)
             bounds = np.append(np.flatnonzero(block), len(order))
-            press = zstandard.ZstdCompressor(level=1)
+            press = zstandard.ZstdCompressor(level=3)
             packed = [press.compress(b"\n".join(strings[order[a:b]])) for a, b in zip(bounds, bounds[1:])]
             ids, prints, start = (np.concatenate(x) for x in zip(*self.own))
             place = np.empty(len(order), np.int64)
