@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, cotrain, digest, ppm, range_ans, secret_ledger, sharding, simhash_vp, style_tree, superkmer, tiling
+from . import bpe_sql, cotrain, digest, exponion, merkle, ppm, range_ans, secret_ledger, sharding, simhash_vp, style_tree, superkmer, tiling
 
 
 def queries() -> dict:
@@ -18,8 +18,13 @@ def queries() -> dict:
         "op9_style_tree": style_tree.query,
         "op10_canonical_digest": digest.query,
         "op11_super_kmers": superkmer.query,
+        "op12_fractal_merkle": merkle.query,
+        "op13_exponion_codes": exponion.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secret_ledger.oracle_sql(), "op11_super_kmers": superkmer.oracle_sql()}
+    return {
+        "op2_secret_ledger": secret_ledger.oracle_sql(), "op11_super_kmers": superkmer.oracle_sql(),
+        "op12_fractal_merkle": merkle.oracle_sql(), "op13_exponion_codes": exponion.oracle_sql(),
+    }
