@@ -17,7 +17,7 @@ from ..operators.filters import EventFilter
 from ..sources import catalog, ingest
 from ..sources.events import FACTS_DUCKDB, facts
 from ..schema import EVENT
-from ..streaming import keyed
+from ..streaming import keyed, stateful
 from ..streaming.calls import Limits, stream_calls
 from ..streaming.ingest import Sink, stream_rollup
 from . import examples
@@ -142,6 +142,24 @@ def _stream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rollup_rows(sink.rollup()).groupBy("user_id").agg(F.sum("event_count").alias("accepted"))
 
 
+def _in_batches(walk):
+    """A stateful walk over the facts in the order of time, in micro-batches of a fourth of them, with a restart after each second one."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = _folder(spark, "walk")
+        rows = facts(spark, sf_dir).select("id", "ts_ns", "user_id", "api_key_id")
+        cuts = sorted(set(rows.agg(F.percentile_approx("ts_ns", [0.25, 0.5, 0.75])).first()[0] or []))
+        for n, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):
+            part = rows.where(F.lit(True) if lo is None else F.col("ts_ns") > lo).where(F.lit(True) if hi is None else F.col("ts_ns") <= hi)
+            part.coalesce(1).write.parquet(f"{base}/in/part={n}")
+            if n % 2 or hi is None:
+                with stateful.rocksdb(spark):
+                    lines = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/part=*").select(*rows.columns)
+                    walk(lines).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{base}/out")
+
+    return run
+
+
 #: What fills in for fields that a payload leaves out: (payload, method, endpoint, output tokens, ms, streaming).
 _DEFAULTS = [(0, "POST", "", 512, 0, 0), (1, "POST", "", 0, 0, 0), (13, "POST", "", 0, 0, 0), (15, "POST", "", 0, 0, 0), (20, "POST", "", 200, 0, 1), (21, "bad method", "", 0, 0, 0)]
 _ENDS = [("anthropic", None, "api.anthropic.com", "x-api-key"), ("openai_compatible", "proxy.invalid", "proxy.invalid", "authorization"), ("ollama", None, "localhost", "authorization"), ("azure_openai", None, "openai.azure.com", "api-key")]
@@ -226,6 +244,8 @@ def queries() -> dict:
         "catalog_lookup": lambda s, d: catalog.with_rates(_one(s, _NAMES, "model"), example_catalog(s)).select("model", F.col("rates.canonical").alias("canonical"), F.col("rates.input").alias("input")),
         "idempotent_first_seen": scan(lambda e: keyed.first_seen(e.select("id", "ts_ns", "user_id"), "user_id", ttl_s=86_400)),
         "token_bucket": scan(lambda e: keyed.token_bucket(e.select("id", "ts_ns", "api_key_id"), 0.0005, 2)),
+        "stream_first_seen_state": _in_batches(lambda r: stateful.first_seen(r.select("id", "ts_ns", "user_id"), "user_id", ttl_s=86_400)),
+        "stream_token_bucket_state": _in_batches(lambda r: stateful.token_bucket(r.select("id", "ts_ns", "api_key_id"), 0.0005, 2)),
         "stream_rollup_available_now": _stream_rollup, "stream_calls_accepted": _stream_calls,
         "stats_from_stored_rollup": lambda s, d: A.stats(_stream_rollup(s, d), by_model=True),
         "stored_rollup_page": lambda s, d: filters.offset_page(A.rollup_rows(_stream_rollup(s, d), user_id=USER), A.ordered(A.ROLLUP_ORDER), 10, 5),
@@ -261,6 +281,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, ts_ns, user_id, accepted FROM walk"""
     survivors = " AND ".join(f"NOT (tier = '{t}' AND {_DAY} < {1_706_745_600 - 10 * 86_400})" for t in store.TIERS)
     overlap = "SELECT count(*) > 0 AS archived FROM ({m}) WHERE user_id = '{u}' AND max_ts_ns >= {a} AND min_ts_ns <= {b}"
+    token_bucket = recursive + """rows AS (SELECT id, ts_ns, api_key_id, row_number() OVER (PARTITION BY api_key_id ORDER BY ts_ns, id) AS n FROM facts WHERE api_key_id IS NOT NULL),
+            walk AS (SELECT id, ts_ns, api_key_id, n, 2::DOUBLE AS had FROM rows WHERE n = 1
+              UNION ALL SELECT r.id, r.ts_ns, r.api_key_id, r.n, least(2::DOUBLE, CASE WHEN w.had >= 1 THEN w.had - 1 ELSE w.had END + CAST(r.ts_ns - w.ts_ns AS DOUBLE) / 1e9 * 0.0005::DOUBLE)
+              FROM walk w JOIN rows r ON r.api_key_id = w.api_key_id AND r.n = w.n + 1)
+            SELECT id, ts_ns, api_key_id, had >= 1 AS admitted, CASE WHEN had >= 1 THEN 0::DOUBLE ELSE (1 - had) / 0.0005::DOUBLE END AS wait_s FROM walk
+            UNION ALL SELECT id, ts_ns, NULL, true, 0::DOUBLE FROM facts WHERE api_key_id IS NULL"""
     return {
         "archive_any_overlap": _with(overlap.format(m=_MANIFESTS, u=USER, a=CUTOFF - 5 * day, b=CUTOFF)), "archive_no_overlap": _with(overlap.format(m=_MANIFESTS, u="nobody", a=0, b=CUTOFF)),
         "batch_outcomes": f"SELECT CAST(body AS BIGINT) AS body, CAST(position AS BIGINT) AS position, CAST(reason AS VARCHAR) AS reason FROM {_values(examples.OUTCOMES, 'body, position, reason')}",
@@ -283,12 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "provider_ends": f"SELECT * FROM {_values(_ENDS, 'provider, base_url, host, header')}",
         # a row at a time of every user, or key: whether it is taken, and the state after it
         "idempotent_first_seen": first_seen,
-        "token_bucket": recursive + """rows AS (SELECT id, ts_ns, api_key_id, row_number() OVER (PARTITION BY api_key_id ORDER BY ts_ns, id) AS n FROM facts WHERE api_key_id IS NOT NULL),
-            walk AS (SELECT id, ts_ns, api_key_id, n, 2::DOUBLE AS had FROM rows WHERE n = 1
-              UNION ALL SELECT r.id, r.ts_ns, r.api_key_id, r.n, least(2::DOUBLE, CASE WHEN w.had >= 1 THEN w.had - 1 ELSE w.had END + CAST(r.ts_ns - w.ts_ns AS DOUBLE) / 1e9 * 0.0005::DOUBLE)
-              FROM walk w JOIN rows r ON r.api_key_id = w.api_key_id AND r.n = w.n + 1)
-            SELECT id, ts_ns, api_key_id, had >= 1 AS admitted, CASE WHEN had >= 1 THEN 0::DOUBLE ELSE (1 - had) / 0.0005::DOUBLE END AS wait_s FROM walk
-            UNION ALL SELECT id, ts_ns, NULL, true, 0::DOUBLE FROM facts WHERE api_key_id IS NULL""",
+        "token_bucket": token_bucket, "stream_first_seen_state": first_seen, "stream_token_bucket_state": token_bucket,
         "cost_default": cost(""), "cost_batch": cost("batch"), "cost_long_context": cost("above"), "cost_cache_1h": cost("hour"),
         "cost_geo": _with("SELECT id, CAST(round(cost_nanodollars * 1.25::DOUBLE) AS BIGINT) AS cost_nanodollars FROM priced"),
         "quota_user": quota(f"user_id = '{USER}' AND ts_ns >= {CUTOFF}"), "quota_key": quota(f"api_key_id = '{KEY}'"), "quota_user_and_key": quota(f"user_id = '{USER}' AND api_key_id = 'key_0'"), "quota_empty": quota("user_id = 'nobody'"),

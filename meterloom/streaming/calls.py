@@ -2,9 +2,11 @@
 
 A line is ``{"token", "idempotency_key", "at_ns", "body"}``: what the client sent beside its JSON body, and
 when it arrived. A call is checked as a service would check it: its key, its key's token bucket, its
-body, and whether its idempotency key was accepted within the time before. What a micro-batch must
-know of those before it is a table of its own number, one row for each key whose state still matters;
-it is read from the micro-batch before, so one that runs again finds the same.
+body, and whether its idempotency key was accepted within the time before. Buckets and idempotency keys are states
+of the query (``stateful``), so a micro-batch that runs again finds the same.
+
+A line that is no such object, or has no arrival time, is refused with its text as it came; it takes no
+token and no key. The keys are read when the query starts.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..sources.ingest import authenticated, normalise, reasons
 from .ingest import Sink
-from .keyed import first_seen, token_bucket
+from .stateful import first_seen, rocksdb, token_bucket
 
 CALL = "token string, idempotency_key string, at_ns long, body string"
-SEEN, BUCKETS = "key string, at_ns long", "key string, tokens double, at_ns long"
 
 
 @dataclass(frozen=True)
@@ -33,79 +34,50 @@ class Limits:
     ttl_s: int = 300
 
 
-@dataclass(frozen=True)
-class State:
-    """What is carried from one micro-batch to the next, below the sink's root."""
-
-    spark: SparkSession
-    root: str
-
-    def read(self, name: str, batch: int, schema: str) -> DataFrame:
-        sink = Sink(self.spark, self.root)
-        fs, path = sink.path(f"state/{name}/batch={batch}")
-        return self.spark.read.schema(schema).parquet(path.toString()) if fs.exists(path) else self.spark.createDataFrame([], schema)
-
-    def write(self, name: str, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/state/{name}/batch={batch}")
-
+def decided(lines: DataFrame, keys: DataFrame | None, limits: Limits, lateness: str = "1 hour") -> DataFrame:
+    """Streaming ``lines`` (``value``) as ``seq, at_ns, line, value, key_id, tier, reason``; ``reason`` is null for what is stored.
 
-def admitted(calls: DataFrame, seen: DataFrame, buckets: DataFrame, limits: Limits, now_ns: str = "at_ns") -> DataFrame:
-    """``calls`` (``value, id, key_id, idempotency_key, known`` and the time) with ``reason``, null for what is stored, and ``tokens``, what the key has left."""
-    rows = calls
-    if limits.rps > 0:
-        had = buckets.select(F.col("key").alias("key_id"), F.col("tokens").alias("had"), F.col("at_ns").alias("had_at"))
-        rows = rows.join(had, "key_id", "left").withColumns({"had": F.coalesce("had", F.lit(limits.burst)), "had_at": F.coalesce("had_at", F.lit(-1))})
-        rows = token_bucket(rows, limits.rps, limits.burst, "key_id", now_ns, had=("had", "had_at"), left="tokens").drop("had", "had_at", "wait_s")
+    Calls of one time are ordered by a hash of their line; equal lines can stand for each other.
+    """
+    c = F.col("c")
+    rows = lines.select(F.xxhash64("value").alias("seq"), F.col("value").alias("line"), F.from_json("value", CALL).alias("c"))
+    rows = rows.select("seq", "line", c["token"].alias("token"), c["idempotency_key"].alias("idempotency_key"), F.coalesce(c["at_ns"], F.lit(0)).alias("at_ns"), c["body"].alias("value"),
+                       F.when(c["at_ns"].isNull(), "malformed call").alias("refused"))
+    if keys is None:
+        rows = rows.drop("token").withColumns({"key_id": F.lit(None).cast("string"), "tier": F.lit("free")})
     else:
-        rows = rows.withColumns({"admitted": F.lit(True), "tokens": F.lit(None).cast("double")})
-    before = F.when(~F.col("known"), "unauthorized").when(~F.col("admitted"), "rate limited")
-    rows = reasons(rows, F.col(now_ns)).withColumn("reason", F.coalesce(before, "reason")).drop("event", "known", "admitted")
-    if limits.ttl_s <= 0:
-        return rows
-    # only what would be stored takes an idempotency key
-    rows = rows.withColumn("taking", F.when(F.col("reason").isNull(), F.col("idempotency_key")))
-    rows = rows.join(seen.select(F.col("key").alias("taking"), F.col("at_ns").alias("since")), "taking", "left").withColumn("since", F.coalesce("since", F.lit(-1)))
-    rows = first_seen(rows, "taking", now_ns, ttl_s=limits.ttl_s, since="since")
-    return rows.withColumn("reason", F.coalesce("reason", F.when(~F.col("accepted"), "replayed"))).drop("taking", "since", "accepted")
-
-
-def carried(rows: DataFrame, seen: DataFrame, buckets: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
-    """(seen, buckets) after a micro-batch, without keys whose time is over or whose bucket is full again."""
-    newest = rows.agg(F.coalesce(F.max("at_ns"), F.lit(0))).first()[0]
-    took = rows.where("reason is null and idempotency_key is not null").select(F.col("idempotency_key").alias("key"), "at_ns")
-    seen = took.unionByName(seen).groupBy("key").agg(F.max("at_ns").alias("at_ns")).where(F.col("at_ns") > newest - limits.ttl_s * 10**9)
-    last = F.max_by(F.struct("tokens", "at_ns"), F.struct("at_ns", "id"))
-    used = rows.where("key_id is not null and tokens is not null").groupBy(F.col("key_id").alias("key")).agg(last.alias("s")).select("key", "s.tokens", "s.at_ns")
-    kept = used.unionByName(buckets.join(used.select("key"), "key", "left_anti"))
-    return seen, kept.where(F.col("tokens") + (F.lit(newest) - F.col("at_ns")) / F.lit(1e9) * F.lit(limits.rps) < F.lit(limits.burst))
+        rows = authenticated(rows, keys).withColumn("refused", F.coalesce("refused", F.when(F.col("key_id").isNull(), "unauthorized")))
+    watermark = lateness
+    if limits.rps > 0:
+        rows = rows.withColumn("bucket", F.when(F.col("refused").isNull(), F.col("key_id")))
+        rows = token_bucket(rows, limits.rps, limits.burst, "bucket", "at_ns", "seq", watermark)
+        rows = rows.withColumn("refused", F.coalesce("refused", F.when(~F.col("admitted"), "rate limited"))).drop("bucket", "admitted", "wait_s")
+        watermark = None
+    rows = reasons(rows, F.col("at_ns")).withColumn("reason", F.coalesce("refused", "reason")).drop("event", "refused")
+    if limits.ttl_s > 0:  # only what would be stored takes an idempotency key
+        rows = rows.withColumn("taking", F.when(F.col("reason").isNull(), F.col("idempotency_key")))
+        rows = first_seen(rows, "taking", "at_ns", "seq", limits.ttl_s, watermark)
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.col("accepted"), "replayed"))).drop("taking", "accepted")
+    return rows.drop("idempotency_key")
 
 
 def stream_calls(spark: SparkSession, lines_path: str, sink: Sink, catalog: Callable[[], DataFrame], checkpoint: str, keys: Callable[[], DataFrame] | None = None,
                  limits: Limits = Limits(), max_files: int = 64, every: str | None = None) -> StreamingQuery:
-    """Start the query. ``keys`` is read anew for each micro-batch, like the catalog; without it all calls are let in, without a key of their own.
+    """Start the query. The catalog is read anew for each micro-batch; without ``keys`` all calls are let in, without a key of their own.
 
-    Refused calls are rejects with their reason. A call of an unknown key has no bucket and takes none.
+    Refused calls are rejects with their reason, their body and the line as it came. A call of an unknown key has no bucket and takes none.
     """
-    state = State(spark, sink.root)
-
     def each(batch: DataFrame, number: int) -> None:
-        id_ = F.concat(F.lpad(F.lit(str(number)), 10, "0"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
-        calls = batch.select(F.from_json("value", CALL).alias("c"), id_.alias("id")).select("id", "c.token", "c.idempotency_key", F.coalesce("c.at_ns", F.lit(0)).alias("at_ns"), F.col("c.body").alias("value"))
-        if keys is None:
-            calls = calls.drop("token").withColumns({"key_id": F.lit(None).cast("string"), "tier": F.lit("free"), "known": F.lit(True)})
-        else:
-            calls = authenticated(calls, keys()).withColumn("known", F.col("key_id").isNotNull())
-        seen, buckets = state.read("seen", number - 1, SEEN), state.read("buckets", number - 1, BUCKETS)
-        # written once: events, rejects and the state are all made of it
-        state.write("calls", number, admitted(calls, seen, buckets, limits))
-        rows = spark.read.parquet(f"{sink.root}/state/calls/batch={number}")
+        staged = f"{sink.root}/state/calls/batch={number}"
+        batch.write.mode("overwrite").parquet(staged)  # once, as each use of the micro-batch would walk its states again
+        rows = spark.read.schema(batch.schema).parquet(staged)
+        rows = rows.withColumn("id", F.concat(F.lpad(F.lit(str(number)), 10, "0"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")))
         good = reasons(rows.where("reason is null").drop("reason"), F.col("at_ns")).drop("reason")
         events = normalise(good, catalog(), F.col("at_ns"), F.col("id"), F.col("tier"), F.col("key_id"))
-        sink.write(number, events, rows.where("reason is not null").select("id", "value", "key_id", "reason"))
-        for name, after in zip(("seen", "buckets"), carried(rows, seen, buckets, limits)):
-            state.write(name, number, after)
-        for name, old in (("seen", number - 2), ("buckets", number - 2), ("calls", number - 1)):
-            sink.drop(f"state/{name}/batch={old}")
-
-    writer = spark.readStream.option("maxFilesPerTrigger", max_files).text(lines_path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        sink.write(number, events, rows.where("reason is not null").select("id", "value", "line", "key_id", "reason"))
+        sink.drop(f"state/calls/batch={number - 1}")
+
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(lines_path)
+    with rocksdb(spark):
+        writer = decided(lines, keys() if keys else None, limits).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators import aggregates
 from meterloom.plans import examples, queries
-from meterloom.streaming import keyed
+from meterloom.streaming import keyed, stateful
 from meterloom.streaming.calls import Limits, stream_calls
 from meterloom.streaming.ingest import Sink, stream_ingest
 
@@ -119,3 +119,45 @@ def test_calls_are_let_in_as_one_after_the_other(spark, tmp_path):
     before = {tuple(r) for r in sink.rollup().collect()}
     assert sink.compact_rollup() == 1 and {tuple(r) for r in sink.rollup().collect()} == before and sink.compact_rollup() == 1
     assert sink.rollup().agg(F.sum("event_count")).first()[0] == sum(r is None for _, _, r in want)
+
+
+def _walk(spark, tmp_path, walk, batches, schema):
+    """Rows out of a stateful walk that starts anew for each batch of rows, and the rows of its states after each."""
+    states, reader = [], spark.readStream.schema(schema)
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        with stateful.rocksdb(spark):
+            query = walk(reader.parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        operators = query.lastProgress["stateOperators"]
+        assert all(o["numRowsDroppedByWatermark"] == 0 for o in operators)
+        states.append({r["key"]["k"] for r in spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "check")).collect()})
+    return spark.read.parquet(str(tmp_path / "out")).collect(), states
+
+
+def test_state_ends_with_its_time(spark, tmp_path):
+    schema, second = "id string, k string, ts_ns long", 10**9
+    batches = [[("a", "x", 0), ("b", "x", 5 * second), ("c", "y", 9 * second), ("n", None, 0)], [("d", "x", 11 * second), ("e", "z", 100 * second)], [("f", "z", 105 * second), ("g", "late", 2 * second), ("h", "x", 112 * second)]]
+    rows, states = _walk(spark, tmp_path, lambda r: stateful.first_seen(r, "k", ttl_s=10, lateness="1 second"), batches, schema)
+    assert {r["id"]: r["accepted"] for r in rows} == dict(a=True, b=False, c=True, n=True, d=True, e=True, f=False, g=True, h=True)
+    # the watermark of a micro-batch is that of the one before: x and y end when z has moved it
+    assert states[0] == {"x", "y"} and states[1] == {"x", "y", "z"} and states[2] == {"x", "z"}  # what comes late is over at once
+
+
+def test_buckets_that_are_full_have_no_state(spark, tmp_path):
+    schema, second = "id string, k string, ts_ns long", 10**9
+    batches = [[("a", "x", 0), ("b", "x", 1)], [("c", "y", 60 * second)], [("d", "y", 61 * second), ("e", "x", 62 * second), ("f", "x", 62 * second)]]
+    rows, states = _walk(spark, tmp_path, lambda r: stateful.token_bucket(r, rps=1, burst=1, key="k", lateness="1 second"), batches, schema)
+    assert {r["id"]: r["admitted"] for r in rows} == dict(a=True, b=False, c=True, d=True, e=True, f=False)
+    assert states[0] == {"x"} and states[1] == {"x", "y"} and states[2] == {"x", "y"}
+
+
+def test_refused_lines_are_kept_as_they_came(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    body = json.dumps({"model": "gpt-4o", "provider": "openai"})
+    lines = ["no json at all", json.dumps({"body": body}), json.dumps({"body": body, "at_ns": "soon"}), json.dumps({"at_ns": 1_700_000_000 * 10**9, "body": body}), json.dumps({"at_ns": 1_700_000_000 * 10**9}), "[1]"]
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines))
+    sink = Sink(spark, str(tmp_path / "out"))
+    stream_calls(spark, str(tmp_path / "in"), sink, lambda: queries.example_catalog(spark), str(tmp_path / "check")).awaitTermination()
+    assert {(r["line"], r["reason"]) for r in sink.rejects().collect()} == {(lines[0], "malformed call"), (lines[1], "malformed call"), (lines[2], "malformed call"), (lines[4], "malformed"), (lines[5], "malformed call")}
+    assert [r["ts_ns"] for r in sink.events().collect()] == [1_700_000_000 * 10**9]
