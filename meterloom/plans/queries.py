@@ -14,7 +14,7 @@ from ..operators import aggregates as A
 from ..operators import archive, filters, store
 from ..operators.cost import compute_cost
 from ..operators.filters import EventFilter
-from ..sources import catalog, ingest
+from ..sources import catalog, ingest, versions
 from ..sources.events import FACTS_DUCKDB, facts
 from ..schema import EVENT
 from ..streaming import keyed, stateful
@@ -41,6 +41,13 @@ def priced_rows(rows: DataFrame, **options) -> DataFrame:
     return rows.withColumn("cost_nanodollars", cost.cast("long")).drop("rates")
 
 
+def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What events cost at the prices of their time."""
+    rows = versions.with_rates_as_of(facts(spark, sf_dir), spark.createDataFrame(examples.VERSIONS, "at_ns long, json string"))
+    cost = F.when(F.col("rates").isNotNull(), compute_cost(F.col("provider"), usage_of_facts, catalog.rate_of)).otherwise(0)
+    return rows.select("id", F.col("rates.canonical").alias("canonical"), cost.cast("long").alias("cost_nanodollars"))
+
+
 def priced(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return priced_rows(facts(spark, sf_dir), **options)
 
@@ -63,6 +70,10 @@ def _with(body: str, which: str = "") -> str:
     return f"WITH facts AS ({FACTS_DUCKDB}), priced AS (SELECT *, CAST({_cost_sql(which)} AS BIGINT) AS cost_nanodollars FROM facts), cube AS ({_CUBE}) {body}"
 
 
+#: (from, model, entry, input, output, cache read, cache creation) of the versions of the example catalog; nulls where a version has no entry.
+_PRICES = ", ".join(f"({at}, {row})" for (at, _), rows in zip(examples.VERSIONS, [
+    ["'gpt-4o', 'gpt-4o', 2500, 10000, 1250, NULL", "'claude-sonnet-4-20250514', 'claude-sonnet-4-20250514', 3000, 15000, 300, 3750", "'gemini-2.0-flash', 'gemini/gemini-2.0-flash', 100, 400, 100, NULL"],
+    ["'gpt-4o', 'gpt-4o', 2000, 8000, 1000, NULL", "'gemini-2.0-flash', NULL, NULL, NULL, NULL, NULL"], ["'gemini-2.0-flash', 'gemini/gemini-2.0-flash', 200, 800, 200, NULL"]]) for row in rows)
 _DAY = "ts_ns // 1000000000 - (ts_ns // 1000000000) % 86400"
 _DAYTEXT = "strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d')"
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cost_nanodollars"))
@@ -199,6 +210,7 @@ def queries() -> dict:
     return {
         "cost_default": _cost(), "cost_batch": _cost(is_batch=True), "cost_long_context": _cost(context_bucket="above_200k"), "cost_cache_1h": _cost(cache_ttl="hours1"),
         "cost_geo": (lambda s, d: priced(s, d, geo="non_us", geo_multiplier=F.lit(1.25)).select("id", "cost_nanodollars")),
+        "cost_as_of_versions": _as_of,
         "quota_user": scan(lambda e: A.quota(e, user_id=USER, from_ns=CUTOFF)), "quota_key": scan(lambda e: A.quota(e, api_key_id=KEY)),
         "quota_user_and_key": scan(lambda e: A.quota(e, USER, "key_0")), "quota_empty": scan(lambda e: A.quota(e, "nobody")),
         "rollup_daily": lambda s, d: A.rollup(priced(s, d)),
@@ -311,6 +323,10 @@ def oracle_sql() -> dict[str, str]:
         "idempotent_first_seen": first_seen,
         "token_bucket": token_bucket, "stream_first_seen_state": first_seen, "stream_token_bucket_state": token_bucket,
         "cost_default": cost(""), "cost_batch": cost("batch"), "cost_long_context": cost("above"), "cost_cache_1h": cost("hour"),
+        "cost_as_of_versions": f"""WITH facts AS ({FACTS_DUCKDB}), prices(at_ns, of, canonical, i, o, r, w) AS (VALUES {_PRICES})
+            SELECT id, canonical, CAST(coalesce(CASE provider WHEN 'anthropic' THEN input_tokens * i + cache_read_input_tokens * r + cache_creation_input_tokens * w
+              ELSE greatest(input_tokens - cache_read_input_tokens, 0) * i + cache_read_input_tokens * r END + (output_tokens + reasoning_tokens) * o, 0) AS BIGINT) AS cost_nanodollars
+            FROM facts ASOF LEFT JOIN prices ON model = of AND ts_ns >= at_ns""",
         "cost_geo": _with("SELECT id, CAST(round(cost_nanodollars * 1.25::DOUBLE) AS BIGINT) AS cost_nanodollars FROM priced"),
         "quota_user": quota(f"user_id = '{USER}' AND ts_ns >= {CUTOFF}"), "quota_key": quota(f"api_key_id = '{KEY}'"), "quota_user_and_key": quota(f"user_id = '{USER}' AND api_key_id = 'key_0'"), "quota_empty": quota("user_id = 'nobody'"),
         "rollup_daily": _with("SELECT * FROM cube"), "stream_rollup_available_now": _with("SELECT * FROM cube"),

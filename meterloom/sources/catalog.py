@@ -41,8 +41,8 @@ def _number(v: Column, field: str, bad: list[Column]) -> Column:
     return F.try_variant_get(v, f"$.{field}", "double")
 
 
-def rates(entry: DataFrame) -> DataFrame:
-    """One row for each entry that can be priced: ``canonical``, the rates, limits and descriptions.
+def rates(entry: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each entry that can be priced: ``canonical``, the rates, limits and descriptions, and the columns ``by`` as they are.
 
     The example entry, entries with a field of the wrong kind and entries without input and output
     rates are left out.
@@ -63,7 +63,7 @@ def rates(entry: DataFrame) -> DataFrame:
         broken = broken | F.coalesce(b, F.lit(False))
     rows = entry.where((F.col("entry") != "sample_spec") & ~broken & (dollars["input"].isNotNull() | dollars["output"].isNotNull()))
     return rows.select(
-        ascii_lower(F.trim("entry")).alias("canonical"),
+        *by, ascii_lower(F.trim("entry")).alias("canonical"),
         *(dollars_to_nanos(F.coalesce(d, F.lit(0.0)) if r in ("input", "output") else d).alias(r) for r, d in dollars.items()),
         dollars_to_nanos(search).alias("search_query"),
         limit("max_input_tokens").alias("max_input_tokens"), limit("max_output_tokens").alias("max_output_tokens"),
@@ -71,14 +71,14 @@ def rates(entry: DataFrame) -> DataFrame:
     )
 
 
-def with_names(priced: DataFrame) -> DataFrame:
-    """A row for every name under which an entry is found, ``model``; the smallest entry of the best rank has it."""
+def with_names(priced: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for every name under which an entry is found, ``model``; the smallest entry of the best rank has it, in each group ``by``."""
     c = F.col("canonical")
     short = F.when(c.contains("/"), F.expr("substr(canonical, locate('/', canonical) + 1)"))
     names = [c, F.when(strip_date_suffix(c) != c, strip_date_suffix(c)), short, F.when(strip_date_suffix(short) != short, strip_date_suffix(short))]
     spread = priced.select("*", F.explode(F.array(*(F.struct(n.alias("model"), F.lit(i).alias("rank")) for i, n in enumerate(names)))).alias("name"))
     spread = spread.select("*", "name.model", "name.rank").drop("name").where("model is not null")
-    first = Window.partitionBy("model").orderBy("rank", "canonical", *RATES)
+    first = Window.partitionBy(*by, "model").orderBy("rank", "canonical", *RATES)
     return spread.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
@@ -106,10 +106,7 @@ def _is_small(catalog: DataFrame) -> bool:
 
 
 def with_rates(events: DataFrame, catalog: DataFrame, model: str = "model") -> DataFrame:
-    """``events`` with a struct ``rates``: the entry of the model's name, else of the name without its date, else null.
-
-    The whole entry is chosen first: a rate that the exact entry lacks is never taken from the other.
-    """
+    """``events`` with a struct ``rates``: the entry of the model's name, else of the name without its date, else null."""
     names = catalog.select(F.col("model").alias("name"), F.struct("canonical", *RATES).alias("found"))
     if _is_small(catalog):
         names = F.broadcast(names)
@@ -117,7 +114,11 @@ def with_rates(events: DataFrame, catalog: DataFrame, model: str = "model") -> D
     rows = events.withColumns({"_exact": key, "_bare": strip_date_suffix(key)})
     exact = names.select(F.col("name").alias("_exact"), F.col("found").alias("_exact_found"))
     bare = names.select(F.col("name").alias("_bare"), F.col("found").alias("_bare_found"))
-    rows = rows.join(exact, "_exact", "left").join(bare, "_bare", "left")
+    return chosen(rows.join(exact, "_exact", "left").join(bare, "_bare", "left"))
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """The whole entry is chosen first: a rate that the exact entry lacks is never taken from the other."""
     return rows.withColumn("rates", F.when(F.col("_exact_found").isNotNull(), F.col("_exact_found")).otherwise(F.col("_bare_found"))).drop("_exact", "_bare", "_exact_found", "_bare_found")
 
 
