@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import sum_saturating, sum_u32
-from ..functions.times import day_epoch, day_text
-from ..schema import ROLLUP_KEYS, USAGE
+from ..functions.times import DAY, SECOND, day_epoch, day_text
+from ..schema import ROLLUP_KEYS, ROLLUP_SUMS, USAGE
 from .filters import EventFilter
 
 
@@ -19,6 +19,31 @@ def quota(events: DataFrame, user_id: str | None = None, api_key_id: str | None
     return rows.agg(F.coalesce(sum_saturating(F.col("cost_nanodollars")), F.lit(0)).alias("cost_nanodollars"), F.count(F.lit(1)).alias("event_count"))
 
 
+def quota_from(cube: DataFrame, events: DataFrame, user_id: str | None = None, api_key_id: str | None = None, from_ns: int = 0, to_ns: int | None = None) -> DataFrame:
+    """The same from ``from_ns`` to ``to_ns`` (inclusive), whole days from the daily cube and only what is left of a first and a last day from ``events``."""
+    if user_id is None and api_key_id is None:
+        raise ValueError("a quota needs a user or a key")
+    day = DAY * SECOND
+    first, last = -(-from_ns // day) * day, None if to_ns is None else (to_ns + 1) // day * day  # whole days from first to before last
+    if last is not None and last <= first:
+        edges, cells = [(from_ns, to_ns)], None
+    else:
+        edges = [(from_ns, first - 1)] * (from_ns < first) + ([(last, to_ns)] if to_ns is not None and last <= to_ns else [])
+        cells = rollup_rows(cube, first // SECOND, None if last is None else last // SECOND - DAY, user_id, api_key_id)
+    parts = [EventFilter(user_id=user_id, api_key_id=api_key_id, from_ns=a, to_ns=b).apply(events).select("cost_nanodollars", F.lit(1).cast("long").alias("event_count")) for a, b in edges]
+    parts += [cells.select("cost_nanodollars", "event_count")] if cells is not None else []
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.agg(F.coalesce(sum_saturating(F.col("cost_nanodollars")), F.lit(0)).alias("cost_nanodollars"), F.coalesce(F.sum("event_count"), F.lit(0)).alias("event_count"))
+
+
+def less(cube: DataFrame, taken: DataFrame) -> DataFrame:
+    """``cube`` without the events of the cube ``taken``; cells that are empty then go."""
+    negative = taken.select(*ROLLUP_KEYS, *((-F.col(c)).alias(c) for c in ROLLUP_SUMS))
+    return merged(cube.select(*ROLLUP_KEYS, *ROLLUP_SUMS).unionByName(negative)).where("event_count > 0")
+
+
 def _sums(count: Column, errors: Column) -> list[Column]:
     plain = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
     return [count.alias("event_count"), errors.alias("error_count"), *(F.sum(c).alias(c) for c in plain), sum_saturating(F.col("cost_nanodollars")).alias("cost_nanodollars")]

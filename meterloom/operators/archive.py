@@ -116,10 +116,10 @@ def events_of(live: DataFrame, manifests: DataFrame, which: EventFilter) -> Data
 
 def archive(store, root: str, manifest_path: str, cutoff_ns: int, created_at: int) -> int:
     """Write, read back, record, and only then delete: a failure before the end leaves the events live."""
-    rows = candidates(store.read(), cutoff_ns)
+    rows = candidates(store.read(EventFilter(to_ns=cutoff_ns)), cutoff_ns)
     made = write_chunks(rows.drop("day"), root, created_at)
     append_manifest(made, manifest_path)
-    return store.delete(read_chunks(store.spark, made).select("id"))["deleted"]
+    return store.delete(read_chunks(store.spark, made).select("id"), counted=True)["deleted"]
 
 
 def reachable(spark: SparkSession, root: str) -> bool:

@@ -1,21 +1,27 @@
 """The event store: Parquet by tier and day, a table of tombstones, retention by dropping partitions.
 
-Deleting writes an id; reads leave tombstoned ids out by an anti join. Erasing and garbage collection
-are jobs over partitions. The rollup is a table of its own: archiving, retention and erasing leave its sums as they are.
+Deleting writes a tombstone; reads leave tombstoned ids out by an anti join. Erasing and garbage collection
+are jobs over partitions. What a stream has written, ``batch=N/tier=.../day=...``, is read, deleted and dropped like the rest.
+
+The rollup is a table of its own. A tombstone holds what its event had added to the rollup, written with the id in one
+commit, so a rollup is corrected by what was deleted without reading an event; archiving and retention leave its sums as they are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, SECOND, day_text
-from ..schema import EVENT
-from .filters import EventFilter, day_of
+from ..schema import EVENT, ROLLUP_KEYS, ROLLUP_SUMS
+from .aggregates import rollup
+from .filters import DEFAULT_EVENTS, EventFilter, day_of, newest
 
-TOMBSTONES = "id string"
+#: Columns of an event that the rollup counts; in a tombstone they are null if the event stays counted.
+COUNTED = ["ts_ns", *ROLLUP_KEYS[1:], "is_error", *ROLLUP_SUMS[2:]]
+TOMBSTONES = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT.fields if f.name in ("id", *COUNTED))
 #: Ids up to which the tombstones are broadcast to the readers instead of shuffled with the events.
 BROADCAST_IDS = 200_000
 #: Tiers that always exist.
@@ -53,19 +59,27 @@ class Store:
         rows = rows.hint("rebalance", "tier", "day").sortWithinPartitions("tier", "day", "ts_ns")
         rows.write.mode("append").partitionBy("tier", "day").option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#user_id", "true").parquet(self.events_path)
 
-    def delete(self, ids: DataFrame) -> dict[str, int]:
-        """Tombstones for the ids; ids that are unknown or deleted already do no harm. Says how many were asked for and how many were there."""
+    def delete(self, ids: DataFrame, counted: bool = False) -> dict[str, int]:
+        """Tombstones for the live events with the ids; ids that are unknown or deleted already do no harm. Says how many were asked for and how many were there.
+
+        ``counted``: the rollup goes on counting them, as those that are archived.
+        """
         ids = ids.select(F.col("id").cast("string").alias("id"))
-        asked, there = ids.count(), self.read().join(ids.distinct(), "id", "left_semi").select("id").count()
-        ids.distinct().write.mode("append").parquet(self.tombstones_path)
-        return {"asked": asked, "deleted": there}
+        return {"asked": ids.count(), "deleted": self._bury(self.read().join(ids.distinct(), "id", "left_semi"), counted)}
 
     def erase_user(self, user_id: str) -> int:
-        """Tombstones for all live events of a user, in one pass; archives keep theirs."""
-        rows = self.read(EventFilter(user_id=user_id)).select("id")
-        n = rows.count()
-        rows.write.mode("append").parquet(self.tombstones_path)
-        return n
+        """Tombstones for all live events of a user, in one pass, which also take them out of the rollup; archives keep theirs."""
+        return self._bury(self.read(EventFilter(user_id=user_id)), False)
+
+    def _bury(self, rows: DataFrame, counted: bool) -> int:
+        n = Observation()
+        rows = rows.select("id", *(F.lit(None).cast(EVENT[c].dataType).alias(c) if counted else F.col(c) for c in COUNTED))
+        rows.observe(n, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.tombstones_path)
+        return n.get["n"]
+
+    def taken(self) -> DataFrame:
+        """The cube of all that was deleted and is no longer counted, each event once."""
+        return rollup(self.tombstones().where("ts_ns IS NOT NULL").dropDuplicates(["id"]))
 
     # reading
 
@@ -80,10 +94,42 @@ class Store:
     def tombstones(self) -> DataFrame:
         return self._table(self.tombstones_path, TOMBSTONES)
 
+    def _stored(self, days: list[str] | None = None) -> DataFrame:
+        """All events with ``day``, those that were appended and those of a stream's micro-batches; of some days, only their folders are listed."""
+        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT.fields)
+        if days is None:
+            paths = {top: [f"{self.events_path}/{top}=*"] for top in self._tops()}
+        else:
+            paths = {}
+            for tier, day in self.partitions():
+                for _, path in self._places(tier, day) if day in days else ():
+                    paths.setdefault("batch" if path.getParent().getParent().getName().startswith("batch=") else "tier", []).append(path.toString())
+        reader = self.spark.read.option("basePath", self.events_path)
+        found = [reader.schema(f"{names}, day string{more}").parquet(*paths[top]).drop("batch") for top, more in (("tier", ""), ("batch", ", batch string")) if top in paths]
+        if not found:
+            return self.spark.createDataFrame([], f"{names}, day string")
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
     def read(self, which: EventFilter = EventFilter()) -> DataFrame:
         """Events that match and are not deleted; the filter is under the anti join, tiers and days prune partitions."""
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT.fields)
-        return alive(which.apply(self._table(self.events_path, f"{names}, day string")), self.tombstones())
+        return alive(which.apply(self._stored()), self.tombstones())
+
+    def newest(self, which: EventFilter = EventFilter(), limit: int = DEFAULT_EVENTS, cursor: tuple[int, str | None] | None = None) -> DataFrame:
+        """The newest live events that match, at most ``limit``, from as few days as it takes.
+
+        Days are read from the newest on, twice as many each time, until ``limit`` rows are found or no day is left: whatever is in an older
+        day is older. The bounds of the filter and the cursor leave out days without reading them.
+        """
+        tiers = None if which.tier is None else {which.tier}
+        days = sorted({d for t, d in self.partitions() if tiers is None or t in tiers}, reverse=True)
+        hi = min(x for x in (which.to_ns, cursor[0] if cursor else None, 2**63 - 1) if x is not None)
+        days = [d for d in days if d <= day_of(hi) and (which.from_ns is None or d >= day_of(which.from_ns))]
+        at, step = 0, 1
+        while True:
+            at, step = at + step, 2 * step
+            found = newest(alive(which.apply(self._stored(days[:at])), self.tombstones()), limit=limit, cursor=cursor)
+            if at >= len(days) or found.select("id").count() >= limit:
+                return found
 
     # retention
 
@@ -94,9 +140,9 @@ class Store:
             if days > 0:
                 cutoff = day_of(now_ns - days * DAY * SECOND)
                 gone += [(tier, d) for t, d in self.partitions() if t == tier and d < cutoff]
-        fs, path = self._fs(self.events_path)
         for tier, day in gone:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"tier={tier}/day={day}"), True)
+            for fs, path in self._places(tier, day):
+                fs.delete(path, True)
         return gone
 
     def delete_older(self, now_ns: int, days: int) -> int:
@@ -104,11 +150,9 @@ class Store:
         if days <= 0:
             raise ValueError("days must be positive")
         cutoff = day_of(now_ns - days * DAY * SECOND)
-        fs, root = self._fs(self.events_path)
         files = 0
         for tier, day in self.partitions():
-            if day < cutoff:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(root, f"tier={tier}/day={day}")
+            for fs, path in self._places(tier, day) if day < cutoff else ():
                 files += sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(path))
                 fs.delete(path, True)
         return files
@@ -120,30 +164,45 @@ class Store:
     def tier_sizes(self) -> DataFrame:
         """``tier, day, files, bytes`` of the partitions, from the listing of the files."""
         rows = []
-        fs, root = self._fs(self.events_path)
         for tier, day in self.partitions():
-            files = [f.getLen() for f in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"tier={tier}/day={day}")) if f.getPath().getName().startswith("part-")]
+            files = [f.getLen() for fs, path in self._places(tier, day) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")]
             rows.append((tier, day, len(files), sum(files)))
         return self.spark.createDataFrame(rows, "tier string, day string, files long, bytes long")
 
+    def _folders(self, path) -> list:
+        """Folders of partitions below a path."""
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath() for f in (fs.listStatus(path) if fs.exists(path) else []) if "=" in f.getPath().getName()]
+
+    def _tops(self) -> set[str]:
+        """What the folders below the events are of: ``tier`` where events were appended, ``batch`` where a stream wrote them."""
+        return {p.getName().split("=")[0] for p in self._folders(self._fs(self.events_path)[1])}
+
+    def _roots(self) -> list:
+        """The folders that have those of tiers in them."""
+        fs, path = self._fs(self.events_path)
+        return [path, *(p for p in self._folders(path) if p.getName().startswith("batch="))]
+
+    def _places(self, tier: str, day: str) -> list:
+        """(file system, folder) of a day of a tier, one for each micro-batch that had some of it."""
+        fs, path = self._fs(self.events_path)
+        made = [self.spark._jvm.org.apache.hadoop.fs.Path(root, f"tier={tier}/day={day}") for root in self._roots()]
+        return [(fs, p) for p in made if fs.exists(p)]
+
     def partitions(self) -> list[tuple[str, str]]:
         """(tier, day) from the folders, without reading a file."""
-        fs, path = self._fs(self.events_path)
-        if not fs.exists(path):
-            return []
-        out = []
-        for tier in fs.listStatus(path):
-            if (t := tier.getPath().getName()).startswith("tier="):
-                out += [(t[5:], d.getPath().getName()[4:]) for d in fs.listStatus(tier.getPath())]
-        return sorted(out)
+        tiers = [t for root in self._roots() for t in self._folders(root) if t.getName().startswith("tier=")]
+        return sorted({(t.getName()[5:], d.getName()[4:]) for t in tiers for d in self._folders(t)})
 
     def compact(self, tier: str, day: str) -> None:
-        """One partition's many small files rewritten, without what is deleted.
+        """One partition's many small files rewritten, without what is deleted. What a stream wrote stays by micro-batches.
 
         The new files are written where no reader looks, below the partition. Only when all are there
         the old ones go and the new take their place; a run that ended between is finished by the next.
         """
         path = f"{self.events_path}/tier={tier}/day={day}"
+        if not self._fs(path)[0].exists(self._fs(path)[1]):
+            return
         new = f"{path}/_compacted"
         self._settle(path, new)
         rows = alive(self.spark.read.parquet(path), self.tombstones())

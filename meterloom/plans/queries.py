@@ -143,6 +143,54 @@ def _after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(held.read())
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store with all events."""
+    events = priced(spark, sf_dir)
+    held = store.Store(spark, _folder(spark, "store"))
+    held.append(events.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields if f.name in events.columns)))
+    return held
+
+
+def _sunk(spark: SparkSession, sf_dir: str) -> Sink:
+    """All events as a stream's sink has them, of two micro-batches."""
+    events = priced(spark, sf_dir)
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in EVENT.fields if f.name not in events.columns}
+    events = events.withColumns(missing).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields))
+    sink = Sink(spark, _folder(spark, "sink"))
+    for batch in range(2):
+        sink.write(batch, events.where(F.pmod(F.crc32("id"), F.lit(2)) == batch), spark.createDataFrame([], "id string, value string, reason string"))
+    return sink
+
+
+def _quota_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quota for each of some bounds, from the stored rollup and the edges."""
+    sink, rows = _sunk(spark, sf_dir), None
+    for n, (lo, hi) in enumerate(_BOUNDS):
+        row = sink.quota(USER, from_ns=lo, to_ns=hi).select(F.lit(n).alias("bound"), "cost_nanodollars", "event_count")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def _rollup_after_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink = _sunk(spark, sf_dir)
+    sink.store.erase_user(USER)
+    sink.store.delete(sink.events().where("is_error = 1").select("id"))
+    return sink.rollup()
+
+
+def _streamed_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of streamed events after a user was erased and days that are too old were dropped."""
+    sink = _sunk(spark, sf_dir)
+    sink.store.erase_user(USER)
+    sink.store.collect_garbage(1_706_745_600 * 10**9, _KEEP)
+    return _events(sink.events())
+
+
+#: Bounds of quotas: inside two days, on days, inside one day, open.
+_BOUNDS = [(CUTOFF - 3 * 86_400 * 10**9 + 12_345, CUTOFF + 5 * 86_400 * 10**9 + 77), (CUTOFF, CUTOFF + 86_400 * 10**9 - 1), (CUTOFF + 3_600 * 10**9, CUTOFF + 40_000 * 10**9), (CUTOFF + 1, None)]
+_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+
+
 def _stream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored events by user, of a stream of calls whose idempotency key is the user and counts for a day."""
     base = _folder(spark, "calls")
@@ -211,6 +259,9 @@ def queries() -> dict:
         "cost_default": _cost(), "cost_batch": _cost(is_batch=True), "cost_long_context": _cost(context_bucket="above_200k"), "cost_cache_1h": _cost(cache_ttl="hours1"),
         "cost_geo": (lambda s, d: priced(s, d, geo="non_us", geo_multiplier=F.lit(1.25)).select("id", "cost_nanodollars")),
         "cost_as_of_versions": _as_of,
+        "quota_from_rollup": _quota_bounds, "rollup_after_erasure": _rollup_after_erasure, "streamed_after_retention": _streamed_after_retention,
+        "events_newest_by_days": lambda s, d: _events(_kept(s, d).newest(EventFilter(provider="openai"), 100)),
+        "latency_by_provider_and_day": lambda s, d: _sunk(s, d).latency(["provider", "day"], _QUANTILES), "latency_by_tier": lambda s, d: _sunk(s, d).latency(["tier"], _QUANTILES),
         "quota_user": scan(lambda e: A.quota(e, user_id=USER, from_ns=CUTOFF)), "quota_key": scan(lambda e: A.quota(e, api_key_id=KEY)),
         "quota_user_and_key": scan(lambda e: A.quota(e, USER, "key_0")), "quota_empty": scan(lambda e: A.quota(e, "nobody")),
         "rollup_daily": lambda s, d: A.rollup(priced(s, d)),
@@ -285,6 +336,12 @@ def oracle_sql() -> dict[str, str]:
     ascii_ = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     ts, id_ = _CURSOR
     shown = "CASE WHEN nanos < 0 THEN '-' ELSE '' END || '$' || CAST(abs(CAST(nanos AS HUGEINT)) // 1000000000 AS VARCHAR) || '.' || lpad(CAST((abs(CAST(nanos AS HUGEINT)) % 1000000000) // 10 AS VARCHAR), 8, '0')"
+    quantile = "v - v % CAST(2 ** greatest(length(bin(v)) - 8, 0) AS BIGINT)"
+
+    def latency(keys: str) -> str:
+        own = ", ".join(f"list_transform([quantile_disc(total_ms, {q})], lambda v: {quantile})[1] AS {n}" for n, q in _QUANTILES.items())
+        return _with(f"SELECT {keys}, count(*) AS n, {own} FROM (SELECT *, {_DAY} AS day FROM priced) GROUP BY ALL")
+
     recursive = f"WITH RECURSIVE facts AS ({FACTS_DUCKDB}), "
     first_seen = recursive + """rows AS (SELECT id, ts_ns, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, id) AS n FROM facts),
             walk AS (SELECT id, ts_ns, user_id, n, ts_ns AS last, true AS accepted FROM rows WHERE n = 1
@@ -332,6 +389,10 @@ def oracle_sql() -> dict[str, str]:
         "rollup_daily": _with("SELECT * FROM cube"), "stream_rollup_available_now": _with("SELECT * FROM cube"),
         "rollup_user_page": _with(f"SELECT * FROM cube WHERE user_id = '{USER}' ORDER BY day, user_id, api_key_id, model, provider LIMIT 10 OFFSET 5"),
         "stats_total": stats("''"), "stats_by_model": stats("provider, model"), "stats_provider": stats("provider, model", "provider = 'gemini'"), "stats_empty": stats("''", "provider = 'nobody'"),
+        "quota_from_rollup": " UNION ALL ".join(f"(SELECT CAST({n} AS INTEGER) AS bound, * FROM ({quota(f"user_id = '{USER}' AND ts_ns >= {lo} AND ts_ns <= {2**63 - 1 if hi is None else hi}")}))" for n, (lo, hi) in enumerate(_BOUNDS)),
+        "rollup_after_erasure": _with(f"SELECT * FROM cube").replace("FROM priced GROUP BY ALL", f"FROM priced WHERE user_id <> '{USER}' AND is_error = 0 GROUP BY ALL"),
+        "streamed_after_retention": events(" AND ".join([f"user_id <> '{USER}'", *(f"NOT (tier = '{t}' AND {_DAY} < {c})" for t, c in keep.items())])),
+        "events_newest_by_days": events("provider = 'openai'", f"{_NEWEST} LIMIT 100"), "latency_by_provider_and_day": latency("provider, day"), "latency_by_tier": latency("tier"),
         "events_recent": events(tail=f"{_NEWEST} LIMIT 50"),
         "events_filter_all": events(f"user_id = '{USER}' AND model = 'claude-sonnet-4-20250514' AND provider = 'anthropic' AND ts_ns BETWEEN {CUTOFF - 10 * day} AND {CUTOFF}"),
         "events_status_range": events("http_status >= 400 AND http_status < 500"), "events_status_none": events("coalesce(http_status, 0) < 200"), "events_without_key": events("api_key_id IS NULL AND user_tag = 'blue'"),

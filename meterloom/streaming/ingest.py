@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.times import day_text
-from ..operators.aggregates import merged, rollup
+from ..functions import histogram
+from ..functions.times import day_epoch, day_text
+from ..operators.aggregates import less, merged, quota_from, rollup
+from ..operators.filters import EventFilter
 from ..operators.store import Store
 from ..sources.ingest import ingest
 
@@ -27,15 +29,29 @@ class Sink:
     root: str
     max_bytes: int | None = None
 
-    def events(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/events").drop("batch")
+    @property
+    def store(self) -> Store:
+        """The same events with all that a store can do: listings, deletion, retention, archives."""
+        return Store(self.spark, self.root, self.max_bytes)
+
+    def events(self, which: EventFilter = EventFilter()) -> DataFrame:
+        """Events that match and are not deleted."""
+        return self.store.read(which)
 
     def rejects(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/rejects").drop("batch")
 
     def rollup(self) -> DataFrame:
-        """The daily cube as stored; quotas by day, statistics and rollup pages read it and no events."""
-        return self._cells(*self._rollup_parts())
+        """The daily cube as stored, less what was deleted; quotas by day, statistics and rollup pages read it and no events."""
+        return less(self._cells(*self._rollup_parts()), self.store.taken())
+
+    def quota(self, user_id: str | None = None, api_key_id: str | None = None, from_ns: int = 0, to_ns: int | None = None) -> DataFrame:
+        """Spend and number of events of a user, a key or both: whole days from the rollup, the rest of a day from its events."""
+        return quota_from(self.rollup(), self.events(), user_id, api_key_id, from_ns, to_ns)
+
+    def latency(self, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+        """Quantiles of the time of calls by some of ``day, tier, provider``, from stored histograms; deleted events count on."""
+        return histogram.quantiles(self.spark.read.parquet(f"{self.root}/latency"), keys, wanted)
 
     def compact_rollup(self) -> int | None:
         """Make one table of the partial cubes of all micro-batches but the newest, which may still come again.
@@ -82,6 +98,7 @@ class Sink:
         events.sortWithinPartitions("tier", "day", "ts_ns").write.mode("overwrite").partitionBy("tier", "day").parquet(f"{self.root}/events/batch={batch}")
         stored = self.spark.read.schema(events.schema).parquet(f"{self.root}/events/batch={batch}")
         rollup(stored).write.mode("overwrite").parquet(f"{self.root}/rollup/batch={batch}")
+        histogram.counts(stored, [day_epoch().alias("day"), "tier", "provider"], "total_ms").write.mode("overwrite").parquet(f"{self.root}/latency/batch={batch}")
         rejects.write.mode("overwrite").parquet(f"{self.root}/rejects/batch={batch}")
 
 

@@ -1,6 +1,7 @@
 """Scalar functions, prices, ingest, store and archive on small hand-made rows."""
 
 import json
+import math
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -242,3 +243,85 @@ def test_config():
     assert config.Config().warnings()
     with pytest.raises(ValueError):
         config.load("nonsense = 1")
+
+
+def _files_read(frame):
+    """Files that the scans of a plan read, after it ran."""
+    def scans(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return scans(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return scans(plan.plan())
+        own = plan.metrics().get("numFiles").get().value() if kind == "FileSourceScanExec" else 0
+        return own + sum(scans(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    frame.collect()
+    return scans(frame._jdf.queryExecution().executedPlan())
+
+
+def test_newest_reads_as_few_days_as_it_takes(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    day, start = 86_400 * 10**9, 1_700_006_400 * 10**9
+    rows = spark.range(3000).select(F.format_string("%05d", "id").alias("id"), (F.lit(start) + F.col("id") * (day // 100)).alias("ts_ns"), F.lit("free").alias("tier"), F.when(F.col("id") % 100 == 7, "rare").otherwise("often").alias("user_id"))
+    s.append(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.EVENT.fields)))
+
+    def days(frame):
+        return {f.split("/day=")[1][:10] for f in frame.inputFiles() if "/day=" in f}
+
+    first = s.newest(limit=50)
+    assert [r["id"] for r in first.collect()] == [f"{i:05d}" for i in range(2999, 2949, -1)] and len(days(first)) == 1
+    assert len(days(s.newest(limit=150))) == 3  # one day, then two more
+    assert len(days(s.newest(filters.EventFilter(user_id="rare"), 5))) == 7
+    assert s.newest(filters.EventFilter(user_id="none"), 5).count() == 0 and s.newest(filters.EventFilter(tier="pro")).count() == 0
+    old = s.newest(filters.EventFilter(from_ns=start + 3 * day, to_ns=start + 5 * day), 10)
+    assert [r["id"] for r in old.collect()] == [f"{i:05d}" for i in range(500, 490, -1)] and len(days(old)) <= 3
+    s.delete(spark.createDataFrame([("02999",)], "id string"))
+    seen, cursor = [], None
+    while page := s.newest(filters.EventFilter(user_id="rare"), 7, cursor).collect():
+        seen += [r["id"] for r in page]
+        cursor = (page[-1]["ts_ns"], page[-1]["id"])
+    assert seen == [f"{i:05d}" for i in range(2907, 0, -100)]
+    assert s.newest(limit=1).first()["id"] == "02998"
+
+
+def test_quota_reads_only_the_edges(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    s.append(_events(spark, 30))
+    cube, start, day = aggregates.rollup(s.read()), 1_700_000_000_000_000_000, 86_400 * 10**9
+    for lo, hi in ((start, None), (start + 1, start + 3 * day), (0, start + 4 * day - 1), (start // day * day + day, start // day * day + 2 * day - 1), (start, start), (start + 5, start + 6)):
+        got = aggregates.quota_from(cube, s.read(), "u1", from_ns=lo, to_ns=hi).first()
+        want = filters.EventFilter(user_id="u1", from_ns=lo, to_ns=hi).apply(s.read()).agg(F.coalesce(F.sum("cost_nanodollars"), F.lit(0)), F.count("id")).first()
+        assert tuple(got) == tuple(want), (lo, hi)
+    written = spark.createDataFrame(cube.collect(), cube.schema)
+
+    def files(lo, hi=None):
+        return _files_read(aggregates.quota_from(written, s.read(), "u1", from_ns=lo, to_ns=hi))
+
+    every = _files_read(s.read())
+    assert every == 30 and files(start + 1, start + 3 * day) == 6 and files(start // day * day) == 0
+    with pytest.raises(ValueError):
+        aggregates.quota_from(cube, s.read())
+
+
+def test_histograms_merge_and_keep_their_bound(spark):
+    import random
+
+    from meterloom.functions import histogram
+
+    rng = random.Random(1)
+    values = [(rng.choice("ab"), int(rng.expovariate(1) * 10 ** rng.randint(0, 9))) for _ in range(4000)] + [("a", None), ("a", -3), ("c", 2**62)]
+    rows = spark.createDataFrame(values, "k string, v long").repartition(3)
+    for bits in (3, 7):
+        names = {r["v"]: r["b"] for r in rows.where("v >= 0").select("v", histogram.bucket(F.col("v"), bits).alias("b")).collect()}
+        assert all(b <= v < b + max(b >> bits, 1) or b == v for v, b in names.items()) and all(b == v for v, b in names.items() if v < 2 ** (bits + 1))
+        cut = max(v.bit_length() for v in names) - bits
+        assert len(set(names.values())) <= 2**bits * (cut + 1)
+    halves = histogram.counts(rows.where("v % 2 = 0"), ["k"], "v").unionByName(histogram.counts(rows.where("v % 2 != 0"), ["k"], "v"))
+    got = {r["k"]: r for r in histogram.quantiles(halves, ["k"], {"p1": 0.01, "p50": 0.5, "p999": 0.999, "all": 1.0}).collect()}
+    for k in "abc":
+        own = sorted(max(v, 0) for x, v in values if x == k and v is not None)
+        assert got[k]["n"] == len(own)
+        for name, q in (("p1", 0.01), ("p50", 0.5), ("p999", 0.999), ("all", 1.0)):
+            exact = own[max(math.ceil(q * len(own)), 1) - 1]
+            assert got[k][name] <= exact <= got[k][name] * (1 + 2**-7)

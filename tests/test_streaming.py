@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from meterloom.operators import aggregates
+from meterloom.operators import aggregates, archive, filters
 from meterloom.plans import examples, queries
 from meterloom.streaming import keyed, stateful
 from meterloom.streaming.calls import Limits, stream_calls
@@ -161,3 +161,38 @@ def test_refused_lines_are_kept_as_they_came(spark, tmp_path):
     stream_calls(spark, str(tmp_path / "in"), sink, lambda: queries.example_catalog(spark), str(tmp_path / "check")).awaitTermination()
     assert {(r["line"], r["reason"]) for r in sink.rejects().collect()} == {(lines[0], "malformed call"), (lines[1], "malformed call"), (lines[2], "malformed call"), (lines[4], "malformed"), (lines[5], "malformed call")}
     assert [r["ts_ns"] for r in sink.events().collect()] == [1_700_000_000 * 10**9]
+
+
+def test_a_sink_is_a_store(spark, tmp_path):
+    """What a stream wrote is listed, deleted, archived and dropped like the rest, and its rollup follows."""
+    (tmp_path / "in").mkdir()
+    sink, start, day = Sink(spark, str(tmp_path / "out")), 1_700_000_000, 86_400
+
+    def lines(name, seconds):
+        rows = [{"model": "gpt-4o", "provider": "openai", "user_id": f"u{i % 2}", "timestamp": (start + s) * 10**9, "usage": {"input_tokens": 100 + i}, "latency": {"total_ms": 1000 + i}} for i, s in enumerate(seconds)]
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+        stream_ingest(spark, str(tmp_path / "in"), sink, lambda: queries.example_catalog(spark), str(tmp_path / "check")).awaitTermination()
+
+    def rebuilt():
+        cube = sink.rollup()
+        return {tuple(r) for r in cube.collect()} == {tuple(r) for r in aggregates.rollup(sink.events()).select(*cube.columns).collect()}
+
+    lines("a.jsonl", [0, 1, day, 2 * day])
+    lines("b.jsonl", [5, day + 5, 3 * day])
+    s, days = sink.store, [filters.day_of((start + i * day) * 10**9) for i in range(4)]
+    assert s.partitions() == [("free", d) for d in days] and rebuilt()
+    assert sum(r["files"] for r in s.tier_sizes().collect()) >= 6
+    gone = s.newest(limit=2)
+    assert s.delete(gone.select("id")) == {"asked": 2, "deleted": 2} and sink.events().count() == 5 and rebuilt()
+    assert s.delete(gone.select("id"))["deleted"] == 0 and s.erase_user("u1") == 2 and {r["user_id"] for r in sink.events().collect()} == {"u0"} and rebuilt()
+    assert sink.quota("u1").first().asDict() == {"cost_nanodollars": 0, "event_count": 0} and sink.quota("u0", from_ns=(start + 1) * 10**9).first()["event_count"] == 2
+    assert sink.latency(["provider"], {"p100": 1.0}).first()["n"] == 7
+    before = {tuple(r) for r in sink.rollup().collect()}
+    assert archive.due(s, (start + day) * 10**9) and archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", (start + 10) * 10**9, 1) == 2
+    assert {tuple(r) for r in sink.rollup().collect()} == before and sink.events().count() == 1  # archived events stay counted
+    assert s.delete_older((start + 10 * day) * 10**9, 9) >= 2 and {d for _, d in s.partitions()} == set(days[1:])
+    assert s.collect_garbage((start + 30 * day) * 10**9, {"free": 7}) and sink.events().count() == 0
+    lines("c.jsonl", [4 * day])
+    assert sink.events().count() == 1 and s.partitions() == [("free", filters.day_of((start + 4 * day) * 10**9))]
+    s.append(sink.events().drop("day").withColumn("id", F.concat("id", F.lit("x"))))  # both kinds in one store
+    assert s.read().count() == 2 and s.newest(limit=5).count() == 2
