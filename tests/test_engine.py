@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -178,7 +179,7 @@ def test_archive_round_trip(spark, tmp_path):
     s.append(_events(spark, 12))
     before = {r["id"] for r in s.read().collect()}
     cutoff = 1_700_000_000_000_000_000 + 2 * 86_400 * 10**9
-    assert archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", cutoff, 1) == 9
+    assert archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", cutoff, 1)["archived"] == 9
     manifests = archive.read_manifest(spark, f"{tmp_path}/manifest")
     assert aggregates.archive_summary(manifests).first()["archives"] == 6 and {r["user_id"] for r in manifests.collect()} == {"u0", "u1"}
     both = archive.live_and_archived(s.read(), archive.read_chunks(spark, manifests), filters.EventFilter())
@@ -200,12 +201,55 @@ def test_chunks_are_bounded_and_in_time_order(spark, tmp_path):
     got = archive.events_of(live, manifests.unionByName(manifests), span)
     assert got.count() == 201 == got.select("id").distinct().count()
     assert archive.any_overlap(manifests, "a/b=c", 0, 10**18 * 2).first()[0] and not archive.any_overlap(manifests, "nobody").first()[0]
-    broken = next((tmp_path / "chunks").rglob("*.json.gz"))
-    broken.write_bytes(b"not gzip")
+    broken = next((tmp_path / "chunks").rglob("*.jsonl.zst"))
+    broken.write_bytes(b"not zstd")
     (broken.parent / f".{broken.name}.crc").unlink(missing_ok=True)
     assert archive.read_chunks(spark, manifests, skip_bad=True).count() in (2200, 2400)
 
 
+def test_a_chunk_that_fails_leaves_its_events_live(spark, tmp_path):
+    s = store.Store(spark, f"{tmp_path}/store")
+    s.append(_events(spark, 12))
+    cutoff = 1_700_000_000_000_000_000 + 2 * 86_400 * 10**9
+    (tmp_path / "chunks" / "u1").mkdir(parents=True)
+    (tmp_path / "chunks" / "u1" / "2023-11-15").write_text("in the way of a folder")
+    first = archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", cutoff, 1)
+    assert first["failed"] == 2 and first["archived"] == 7 and first["chunks"] == 5 and first["compressed_bytes"] > 0
+    live = {r["id"]: (r["user_id"], filters.day_of(r["ts_ns"])) for r in s.read().collect()}
+    assert len(live) == 5 and sum(v == ("u1", "2023-11-15") for v in live.values()) == 2
+    (tmp_path / "chunks" / "u1" / "2023-11-15").unlink()
+    second = archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", cutoff, 2)
+    assert (second["archived"], second["failed"]) == (2, 0)
+    manifests = archive.read_manifest(spark, f"{tmp_path}/manifest")
+    ids = [r["id"] for r in archive.read_chunks(spark, manifests).collect()]
+    assert len(ids) == len(set(ids)) == 9 and manifests.count() == 6 and s.read().count() == 3
+
+
+def test_bad_chunks_are_rows_of_error(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    made = archive.write_chunks(_events(spark, 15), str(tmp_path / "chunks"), 1).drop("error").collect()
+    places = sorted(r["s3_key"] for r in made)
+    n = {r["s3_key"]: r["event_count"] for r in made}
+    text = archive.unpacked(open(places[4], "rb").read()).decode()
+    open(places[0], "wb").write(b"garbled")
+    open(places[1], "wb").write(zstandard.ZstdCompressor().compress(b"x" * 5000))
+    os.remove(places[2])
+    open(places[3], "wb").write(zstandard.ZstdCompressor().compress(b'{"id":"only"}\n' * n[places[3]]))
+    open(places[4], "wb").write(gzip.compress(text.encode()))  # older archives
+    manifests = spark.createDataFrame(made, schema.MANIFEST)
+    rows = archive.read_all(spark, manifests, most=4000).collect()
+    errors_ = {r["archive_id"]: r["archive_error"] for r in rows if r["archive_error"]}
+    by_place = {r["s3_key"]: errors_.get(r["archive_id"]) for r in made}
+    assert all(by_place[p] for p in places[:4]) and not any(by_place[p] for p in places[4:])
+    assert "4000 bytes" in by_place[places[1]] and "no event" in by_place[places[3]]
+    assert sum(r["id"] is not None for r in rows) == sum(n[p] for p in places[4:]) == archive.read_chunks(spark, manifests, skip_bad=True).count()
+    with pytest.raises(Exception, match="archive|chunk|zstd|No such|error"):
+        archive.read_chunks(spark, manifests).collect()
+
+
 def test_compaction_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
     s = store.Store(spark, str(tmp_path))
     for _ in range(2):

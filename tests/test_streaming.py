@@ -188,7 +188,7 @@ def test_a_sink_is_a_store(spark, tmp_path):
     assert sink.quota("u1").first().asDict() == {"cost_nanodollars": 0, "event_count": 0} and sink.quota("u0", from_ns=(start + 1) * 10**9).first()["event_count"] == 2
     assert sink.latency(["provider"], {"p100": 1.0}).first()["n"] == 7
     before = {tuple(r) for r in sink.rollup().collect()}
-    assert archive.due(s, (start + day) * 10**9) and archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", (start + 10) * 10**9, 1) == 2
+    assert archive.due(s, (start + day) * 10**9) and archive.archive(s, f"{tmp_path}/chunks", f"{tmp_path}/manifest", (start + 10) * 10**9, 1)["archived"] == 2
     assert {tuple(r) for r in sink.rollup().collect()} == before and sink.events().count() == 1  # archived events stay counted
     assert s.delete_older((start + 10 * day) * 10**9, 9) >= 2 and {d for _, d in s.partitions()} == set(days[1:])
     assert s.collect_garbage((start + 30 * day) * 10**9, {"free": 7}) and sink.events().count() == 0
