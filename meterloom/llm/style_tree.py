@@ -10,13 +10,17 @@ unless something there is surely important (``SURE``), and so are texts of low c
 element that stays. What repeats is only removed where the host has something that repeats less, twice as important: where all
 pages are copies, nothing is chrome. Hosts of every size go this one way.
 
-The trees hold all blocks of a page, and pages of a host with the same main text count once. What the
-page itself says of a node lowers its importance by the share of its pages where that is so: by ``LOWERED`` where
-its tag or class is that of navigation, page headers, footers, asides, forms, adverts, notices or reader
-comments, by ``OUTSIDE`` where it stands outside the article that has most of the text. An element that
-holds most of a page's text is never taken for chrome by its name unless an article elsewhere has text.
+The trees hold all blocks of a page, and pages of a host with the same main text count once. Where all that surrounds the main text is
+drawn anew for each page, entropies cannot tell it apart, so a node has a structural weight beside its importance, learned over the pages of its
+host and, with the weight of ``PRIOR`` pages, over all hosts that have the same node: the main node is the deepest that holds most
+of the pages' text without having it as its own; outside it a branch weighs as much as its share of the text (in full from ``SMALL`` on),
+and everywhere what is links weighs less (``LINKS``), unless it holds most of the main node. What counts for removal is importance times weight.
+
+Names break ties inside the main node, where structure says nothing of reader comments, say: an element whose tag, or all words of a token of whose class, id or role,
+name navigation, page headers, footers, asides, forms, adverts, notices or comments has its importance lowered by ``LOWERED``.
+An element that holds most of a page's text is never taken for chrome by its name unless an article elsewhere has text.
 A block is what stands between the starts and ends of block elements; scripts and styles are no text.
-Elements nested deeper than ``LEVELS`` blocks are parts of their ancestor there, as are those beyond ``DEPTH`` elements.
+Blocks deeper than ``LEVELS`` are nodes of their own below their ancestor there, told apart by a hash of their path.
 
 Statistics are counts by (host, node, text), so a host with a third of all pages is spread by its
 texts. The second pass reads each page once more; the nodes to remove go to it as hashes of 8 bytes, and beyond
@@ -41,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if_small, written
 
 GAMMA, LOW, SURE = 0.9, 0.15, 0.5
-#: What a name that is always that of chrome, and a place outside the article, take off a node's importance, as shares of it.
-LOWERED, OUTSIDE = 0.9, 0.5
-#: Elements nested in one another, and blocks among them, that are told apart; nodes to remove that go to the workers.
-DEPTH, LEVELS, GONE = 512, 32, 1_000_000
+#: What a name that is always that of chrome takes off a node's importance, what being links takes off its weight, and the share of text from which a branch outside weighs in full.
+LOWERED, LINKS, SMALL = 0.9, 0.9, 0.7
+#: Pages that what all hosts say of a node counts for. Shares are counted in thousandths.
+PRIOR, UNIT = 20, 1000
+#: Levels of blocks whose nodes are written out; nodes to remove that go to the workers.
+LEVELS, GONE = 32, 1_000_000
 
 #: Elements by what they do to text.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -62,8 +68,6 @@ CHROME_WORDS = frozenset("""ad ads adbox advert adverts advertisement advertisin
 navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices popup modal overlay newsletter
 subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies respond
 pagination pager toolbar widget skip complementary contentinfo search""".split())
-#: First words of class tokens that say how something is laid out, or that it has none of it: with-sidebar, no-sidebar, category-search.
-LAYOUT = frozenset("with without no has not is category tag type format hide".split())
 #: Elements that never are around the main text, whatever they hold.
 HEADS = frozenset("head title".split())
 #: What ends an open element of the same list when it starts.
@@ -91,7 +95,7 @@ def _named(tag: str, names: str, article: bool) -> bool:
         return False
     if tag == "article":  # its classes list categories and tags; only a name as a whole counts
         return not CHROME_WORDS.isdisjoint(names.split())
-    return any(words[0] not in LAYOUT and not CHROME_WORDS.isdisjoint(words) for words in map(_WORDS.findall, names.split()) if words)
+    return any(CHROME_WORDS.issuperset(words) for words in map(_WORDS.findall, names.split()) if words)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
@@ -100,27 +104,41 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
     Chrome is what stands in an element whose name says so, unless that element holds more than half of
     the page's text and no article or main element outside of named ones has text.
     """
-    # an element: tag, node, the named elements around it (numbers), inside an article, inside an article or main
-    out, stack, parts = [], [("", "", (), False, False)], []
-    open_: Counter = Counter()  # elements on the stack, and those that stand too deep for it
-    deep: Counter = Counter()
-    named = 0
-    heads: set[int] = set()
+    return [b[:4] for b in _parsed(page)]
+
+
+def _parsed(page: str | None) -> list[tuple[str, str, bool, bool, int, bool]]:
+    """The blocks with the characters in links and whether the block is of the head; in time that goes with the page's length."""
+    # an open element: tag, node, its deep path's hash, the innermost named element around it, inside an article, inside an article or main
+    out, stack, parts = [], [("", "", b"", 0, False, False)], []
+    at: dict[str, list[int]] = {}  # places of the open elements of each tag
+    scopes, blocks = [0], [0]  # of those that stop a search, and of block elements
+    ups, heads = [0], [False]  # of named elements: the one around it, whether it is of the head
+    links = 0
 
     def close(i):
-        open_.subtract(e[0] for e in stack[i:])
+        for tag, *_ in stack[i:]:
+            at[tag].pop()
         del stack[i:]
+        for line in (scopes, blocks):
+            while line[-1] >= i:
+                line.pop()
 
     def flush():
+        nonlocal links
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((*next(s for s in reversed(stack) if s[0] in BLOCKS or not s[0])[1:], text))
+            _, path, _, *rest = stack[blocks[-1]]
+            out.append((path, *rest, text, min(links, len(text))))
+        links = 0
 
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
         if text is not None:
             parts.append(html.unescape(text))
+            if at.get("a"):
+                links += len(parts[-1].strip())
             continue
         if not m["tag"]:
             continue
@@ -128,15 +146,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
         if m["end"]:
             if tag in BLOCKS:
                 flush()
-            if deep[tag]:
-                deep[tag] -= 1
-                continue
-            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES and tag not in SCOPES:
-                    break
+            if at.get(tag) and (tag in SCOPES or scopes[-1] <= at[tag][-1]):
+                close(at[tag][-1])
             continue
         if tag in VOID:
             if tag == "hr":
@@ -146,48 +157,50 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
             continue
         if tag in BLOCKS:
             flush()
-        for i in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ENDED.get(tag, ())) else ():
-            if tag in ENDS.get(stack[i][0], ()):
-                close(i)
-                break
-            if stack[i][0] in SCOPES:
-                break
+        ended = max((at[t][-1] for t in ENDED.get(tag, ()) if at.get(t)), default=0)
+        if ended and ended >= scopes[-1]:
+            close(ended)
         names = " ".join(sorted(v.strip("\"'").lower().replace(">", " ") for _, v in _NAMES.findall(m["attrs"]))) if m["attrs"] else ""
-        _, path, around, article, core = stack[-1]
+        _, path, deep, around, article, core = stack[-1]
         if _named(tag, names, article):
-            named += 1
-            around = (*around, named)
-            if tag in HEADS:
-                heads.add(named)
+            ups.append(around)
+            heads.append(heads[around] or tag in HEADS)
+            around = len(ups) - 1
         article, core = article or tag == "article", core or tag in ("article", "main")
-        if tag in BLOCKS and path.count(">") < LEVELS:
-            path = f"{path}>{tag}.{names}" if names else f"{path}>{tag}"
+        if tag in BLOCKS:
+            own = f"{tag}.{names}" if names else tag
+            if not deep and path.count(">") < LEVELS:
+                path = f"{path}>{own}"
+            else:
+                deep = blake2b(deep + own.encode(), digest_size=8).digest()
+                path = f"{path.rpartition('>#')[0] or path}>#{deep.hex()}"
         if not m["attrs"].endswith("/") or tag in BLOCKS:
-            if len(stack) > DEPTH:
-                deep[tag] += 1
-                continue
-            stack.append((tag, path, around, article, core))
-            open_[tag] += 1
+            at.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((tag, path, deep, around, article, core))
     flush()
-    return _judged(out, heads)
+    return _judged(out, ups, heads)
 
 
-def _judged(found: list[tuple], heads: set[int]) -> list[tuple[str, str, bool, bool]]:
+def _judged(found: list[tuple], ups: list[int], heads: list[bool]) -> list[tuple[str, str, bool, bool, int, bool]]:
     """The blocks with the named elements around them judged by what they hold."""
-    held: dict[int, int] = {}
-    cored: set[int] = set()
-    total, free = 0, False
-    for _, around, _, core, text in found:
-        if not heads.isdisjoint(around):
-            continue
-        total += len(text)
-        free |= core and not around
-        for i in around:
-            held[i] = held.get(i, 0) + len(text)
-            if core:
-                cored.add(i)
-    most = {i for i, n in held.items() if 2 * n > total and (i in cored or not free)}
-    return [(path, text, not most.issuperset(around), article) for path, around, article, _, text in found]
+    held, cored, total, free = [0] * len(ups), [False] * len(ups), 0, False
+    for _, around, _, core, text, _ in found:
+        if not heads[around]:
+            total += len(text)
+            free |= core and not around
+            held[around] += len(text)
+            cored[around] |= core
+    for i in range(len(ups) - 1, 0, -1):  # an element comes after those around it
+        held[ups[i]] += held[i]
+        cored[ups[i]] |= cored[i]
+    chrome = [False] * len(ups)
+    for i in range(1, len(ups)):
+        chrome[i] = chrome[ups[i]] or not (2 * held[i] > total and (cored[i] or not free))
+    return [(path, text, chrome[around], article, links, heads[around]) for path, around, article, _, text, links in found]
 
 
 def host_of(url: Column) -> Column:
@@ -209,40 +222,67 @@ def _main(page) -> list[tuple[str, str]]:
 
 def _features(page) -> tuple[bytes, bytes, list[dict]]:
     """Hashes of the main text and of all blocks, and what each node of the page has, each once."""
-    blocks = blocks_of(page)
-    free = [b for b in blocks if not b[2]]
-    article = 2 * sum(len(b[1]) for b in free if b[3]) > sum(len(b[1]) for b in free)
+    parsed = _parsed(page)
+    blocks = [b[:4] for b in parsed]
+    total = sum(len(b[1]) for b in parsed if not b[5]) or 1
     seen: set = set()
     children: dict[str, list[str]] = {}
-    nodes, plain, core = set(), set(), set()
-    for path, text, chrome, inside in blocks:
+    nodes, plain = set(), set()
+    own: Counter = Counter()
+    share: Counter = Counter()
+    linked: Counter = Counter()
+    for path, text, chrome, _, links, head in parsed:
+        own[path] += len(text) * (not head)
         seen.add((path, "text", crc32(text.encode()) << 24 | crc32(text[::-1].encode()) & 0xFFFFFF))
         while True:
             nodes.add(path)
+            share[path] += len(text) * (not head)
+            linked[path] += links * (not head)
             if not chrome:
                 plain.add(path)
-            if inside or not article:
-                core.add(path)
             if not path:
                 break
-            path, _, own = path.rpartition(">")
-            if (line := children.setdefault(path, []))[-1:] != [own]:
-                line.append(own)
+            path, _, last = path.rpartition(">")
+            if (line := children.setdefault(path, []))[-1:] != [last]:
+                line.append(last)
     for up, line in children.items():
         seen.add((up, "style", crc32(" ".join(line).encode())))
         seen |= {(up, "child", crc32(c.encode())) for c in line}
-    for kind, found in (("page", nodes), ("named", nodes - plain), ("outside", nodes - core)):
+    for kind, found in (("page", nodes), ("named", nodes - plain)):
         seen |= {(n, kind, 0) for n in found}
+    for kind, chars in (("share", share), ("own", own), ("linked", linked)):
+        seen |= {(n, kind, round(UNIT * c / total)) for n, c in chars.items() if c}
     main = "\n".join(t for _, t in _ruled(blocks)).encode()
     whole = "\n".join(f"{b[0]} {b[1]}" for b in blocks).encode()
     return blake2b(main, digest_size=16).digest(), blake2b(whole, digest_size=16).digest(), [{"node": n, "kind": k, "feature": f} for n, k, f in sorted(seen)]
 
 
+def _weighed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``weight``, from where the text of the host's pages is and what of it is links."""
+    sums = ["share", "own", "linked"]
+    everywhere = nodes.groupBy("node").agg(F.sum("pages").alias("all_pages"), *(F.sum(c).alias(f"all_{c}") for c in sums))
+    rows = nodes.join(broadcast_if_small(written(everywhere, "style-tree-everywhere"), 50_000), "node")
+
+    def smooth(c: str) -> Column:
+        return (F.col(c) + PRIOR * F.col(f"all_{c}") / F.col("all_pages")) / (F.col("pages") + PRIOR) / UNIT
+
+    rows = written(rows.withColumns({c: smooth(c) for c in sums}).drop("all_pages", *(f"all_{c}" for c in sums)), "style-tree-shares")
+    hosts = rows.where("node = ''").select("host", F.col("pages").alias("host_pages"))
+    holds = (F.col("share") * F.least(F.lit(1.0), F.col("pages") / F.col("host_pages")) > 0.5) & (2 * F.col("own") < F.col("share"))
+    main = rows.join(broadcast_if_small(hosts), "host").where(holds).groupBy("host").agg(F.max_by(F.struct("node", "share"), "depth").alias("main"))
+    rows = rows.join(broadcast_if_small(written(main, "style-tree-main")), "host", "left")
+    place, way = F.concat("node", F.lit(">")), F.concat(F.coalesce("main.node", F.lit("")), F.lit(">"))
+    inside, around = F.startswith(place, way), F.startswith(way, place)
+    links = F.when(around | inside & (2 * F.col("share") > F.col("main.share")), 1.0).otherwise(1 - LINKS * F.least(F.lit(1.0), F.coalesce(F.try_divide("linked", "share"), F.lit(0.0))))
+    # what is of the head only has no share at all
+    return rows.withColumn("weight", links * F.when(F.col("share") == 0, 0.0).when(inside | around, 1.0).otherwise(F.least(F.lit(1.0), F.col("share") / SMALL))).drop("main", *sums)
+
+
 def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, node, pages, named, importance, content, top`` of every node.
+    """``host, node, pages, named, weight, importance, content, top`` of every node.
 
-    ``pages``: different pages with the node; ``named``: those where all its text is chrome by its names;
-    ``importance``: of the branch; ``content``: of the node's own texts, null without; ``top``: the most of both in the branch.
+    ``pages``: different pages with the node; ``named``: those where all its text is chrome by its names; ``weight``: by its place and links;
+    ``importance``: of the branch, without its weight; ``content``: of the node's own texts with it, null without; ``top``: the most of both in the branch, with it.
     """
     def features(batches):
         for batch in batches:
@@ -261,17 +301,17 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
 
     n = F.col("n")
     nodes = counts.groupBy("host", "node").agg(
-        of("page", n).alias("pages"), F.coalesce(of("named", n), F.lit(0)).alias("named"), F.coalesce(of("outside", n), F.lit(0)).alias("outside"),
+        of("page", n).alias("pages"), F.coalesce(of("named", n), F.lit(0)).alias("named"), *(F.coalesce(of(k, n * F.col("feature")), F.lit(0)).alias(k) for k in ("share", "own", "linked")),
         of("text", F.lit(1)).alias("texts"), of("text", F.log(n)).alias("spread"), of("style", n * F.log(n)).alias("styles"), of("child", F.lit(1)).alias("children"),
     )
     log = F.when(F.col("pages") > 1, F.log("pages"))
-    by_itself = (1 - LOWERED * F.col("named") / F.col("pages")) * (1 - OUTSIDE * F.col("outside") / F.col("pages"))
-    nodes = written(nodes.select(
-        "host", "node", (F.size(F.split("node", ">")) - 1).alias("depth"), F.regexp_replace("node", ">[^>]*$", "").alias("up"), "pages", "named", "children", by_itself.alias("by_itself"),
+    by_itself = 1 - LOWERED * F.col("named") / F.col("pages")
+    nodes = written(_weighed(nodes.select(
+        "host", "node", (F.size(F.split("node", ">")) - 1).alias("depth"), F.regexp_replace("node", ">[^>]*$", "").alias("up"), "pages", "named", "share", "own", "linked", "children", by_itself.alias("by_itself"),
         # -sum (n / m) log_m (n / m), with m the pages of the node
         F.when(F.col("children").isNotNull(), F.coalesce((F.log("pages") - F.col("styles") / F.col("pages")) / log, F.lit(1.0))).alias("presentation"),
         F.when(F.col("texts").isNotNull(), F.coalesce(1 - F.col("spread") / F.col("texts") / log, F.lit(1.0))).alias("raw"),
-    ), "style-tree")
+    )), "style-tree")
     levels: list[DataFrame] = []
     for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
         own = nodes.where(F.col("depth") == depth)
@@ -281,8 +321,9 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
         texts = F.when(F.col("raw").isNotNull(), F.col("pages")).otherwise(0)
         mean = (F.coalesce("sum", F.lit(0.0)) + texts * F.coalesce("raw", F.lit(0.0))) / (F.coalesce("of", F.lit(0)) + texts)
         weight = F.pow(F.lit(GAMMA), F.coalesce("children", F.lit(0)))
-        own = own.withColumns({"importance": ((1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * mean) * F.col("by_itself"), "content": F.col("raw") * F.col("by_itself")})
-        own = own.select("host", "node", "up", "pages", "named", "importance", "content", F.greatest("importance", "content", "most").alias("top"))
+        own = own.withColumns({"importance": ((1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * mean) * F.col("by_itself"), "content": F.col("raw") * F.col("by_itself") * F.col("weight")})
+        top = F.greatest(F.col("importance") * F.col("weight"), "content", "most")
+        own = own.select("host", "node", "up", "pages", "named", "weight", "by_itself", "importance", "content", top.alias("top"))
         levels.append(written(own, f"style-tree-{depth}"))
     return reduce(DataFrame.unionAll, levels)
 
@@ -292,9 +333,9 @@ def removed(trees: DataFrame, low: float = LOW) -> DataFrame:
     best = trees.where("node = ''").select("host", F.col("top").alias("best"))
 
     def weak(c: Column) -> Column:
-        return (c < low) & ((2 * F.col("named") >= F.col("pages")) | (F.col("best") >= F.greatest(F.lit(low), 2 * c)))
+        return (c < low) & ((F.col("by_itself") * F.col("weight") < 0.5) | (F.col("best") >= F.greatest(F.lit(low), 2 * c)))
 
-    what = F.when(weak(F.col("importance")) & (F.col("top") < SURE), "branch").when(weak(F.col("content")), "text")
+    what = F.when(weak(F.col("importance") * F.col("weight")) & (F.col("top") < SURE), "branch").when(weak(F.col("content")), "text")
     return trees.join(best, "host").select("host", "node", what.alias("what")).where("what is not null")
 
 
