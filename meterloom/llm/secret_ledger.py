@@ -7,7 +7,8 @@ kept under a thousand paths or in a hundred versions is scanned once.
 
 Defined results: a null text is an empty one; an empty text and an empty table find nothing; repeated
 rows each get their findings; positions count code points, the end is exclusive. Memory follows the
-longest text and its matches.
+longest text and its matches; arrays grow in stretches of ``STRETCH``, so that a text with n matches takes
+n * ``STRETCH`` steps, not their square.
 """
 
 from __future__ import annotations
@@ -57,6 +58,9 @@ RULES = BASE_RULES + NAMED_RULES
 #: Blobs with findings, and spans, that may be broadcast: at most some 100 bytes for each of either.
 FOUND = 200_000
 
+#: Matches that are put in one array one after the other.
+STRETCH = 256
+
 SPAN = "struct<kind:string,start:int,end:int>"
 LEDGER = f"blob string, rule string, spans array<{SPAN}>"
 
@@ -72,7 +76,8 @@ def spans(text: Column, rule: Rule) -> Column:
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("piece"), matches.alias("match"), counted.alias("value")
     )
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    def length(part: Column) -> Column:
+        return F.length(part["piece"]) + F.coalesce(F.length(part["match"]), F.lit(0))
 
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["piece"])
@@ -83,7 +88,30 @@ def spans(text: Column, rule: Rule) -> Column:
             F.when(F.length(part["value"]) >= rule.least, F.concat(state["out"], found)).otherwise(state["out"]).alias("out"),
         )
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, none, step, lambda s: s["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def own(stretch: Column, start: Column) -> Column:
+        return F.aggregate(stretch, F.struct(start.cast("int").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda s: s["out"])
+
+    found = bound(stretches(parts), lambda all_: F.flatten(F.zip_with(all_, before(all_, lambda s: F.aggregate(s, F.lit(0), lambda n, p: n + length(p)), lambda at, n: at + n), own)))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)``, where ``value`` is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def stretches(values: Column) -> Column:
+    """An array cut into arrays of ``STRETCH`` elements."""
+    starts = lambda all_: F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STRETCH).cast("int"))
+    return bound(values, lambda all_: F.when(F.size(all_) > 0, F.transform(starts(all_), lambda i: F.slice(all_, i * STRETCH + 1, F.lit(STRETCH)))).otherwise(F.array(all_)))
+
+
+def before(all_: Column, of, along) -> Column:
+    """For each stretch, ``along`` the ints ``of`` those before it, from 0."""
+    def step(s: Column, stretch: Column) -> Column:
+        return F.struct(along(s["at"], of(stretch)).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    return F.aggregate(all_, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -163,16 +191,21 @@ def clean(docs: DataFrame, text: str = "text", length: str = "n_chars", path: st
     body = F.col(f"row.{text}")
     rows = findings(docs.select(F.struct(*docs.columns).alias("row")), path, text=f"row.{text}")
 
-    def step(s: Column, f: Column) -> Column:
-        before = F.substring(body, s["at"] + 1, f["start"] - s["at"])
-        return (
-            F.when(f["end"] <= s["at"], s)
-            .when(f["start"] < s["at"], F.struct(f["end"].alias("at"), s["out"].alias("out")))
-            .otherwise(F.struct(f["end"].alias("at"), F.concat(s["out"], before, F.lit("[secret]")).alias("out")))
-        )
+    def furthest(stretch: Column) -> Column:
+        return F.aggregate(stretch, F.lit(0), lambda n, f: F.greatest(n, f["end"]))
+
+    def masked_stretch(stretch: Column, start: Column) -> Column:
+        """The text from where the stretches before end to where this one does, of which a part is cut out once."""
+        def step(s: Column, f: Column) -> Column:
+            piece = F.concat(F.substring(s["text"], s["at"] - start + 1, f["start"] - s["at"]), F.lit("[secret]"))
+            out = F.when(f["start"] >= s["at"], F.concat(s["out"], F.array(piece))).otherwise(s["out"])
+            return F.struct(F.greatest(f["end"], s["at"]).alias("at"), s["text"].alias("text"), out.alias("out"))
+
+        own = F.substring(body, start + 1, F.greatest(furthest(stretch) - start, F.lit(0)))
+        return F.aggregate(stretch, F.struct(start.alias("at"), own.alias("text"), F.array().cast("array<string>").alias("out")), step, lambda s: F.array_join(s["out"], ""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+    parts = bound(stretches(F.col("found")), lambda all_: F.array_join(F.zip_with(all_, before(all_, furthest, F.greatest), masked_stretch), ""))
+    masked = F.concat(parts, F.substring(body, furthest(F.col("found")) + 1, F.length(body)))
     hit = F.size("found") > 0
     rows = rows.withColumn("masked", F.when(hit, masked))
     new = {text: F.when(hit, F.col("masked")).otherwise(body)}

@@ -1,9 +1,10 @@
 """Operator 1, benchmark decontamination by greedy string tiling.
 
 Texts are sequences of words in lower case. A document and a benchmark item become candidates by a
-shared seed, ``LEAST`` words in a row. A candidate is tiled: running Karp-Rabin finds the common
-stretches of unmarked words, the longest are marked first, and the search length falls until no common
-stretch of ``LEAST`` words is left unmarked. Tiles do not overlap on either side and may come in any
+shared seed, ``LEAST`` words in a row. A candidate is tiled: running Karp-Rabin finds how long the longest common
+stretch of unmarked words is, by halving the lengths that it may have, and all of that length are marked from the left; then come shorter ones, until no common
+stretch of ``LEAST`` words is left unmarked. A round takes time that goes with document and item, whatever repeats in them, and tiles of one
+length are of one round, so an item of n words has some 1.4 sqrt(n) rounds at most. Tiles do not overlap on either side and may come in any
 order, so a passage that was cut up and reordered is still covered. The part of the item's words that
 tiles cover is its coverage; from ``COVERAGE`` on the document holds the item.
 
@@ -18,7 +19,6 @@ their rows; an empty table of documents or items finds nothing.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import defaultdict
@@ -32,73 +32,99 @@ from .common import documents, written
 
 #: Words of the shortest tile and of a seed, and the least part of an item's words that tiles must cover.
 LEAST, COVERAGE = 5, 0.5
-#: Seeds of a slice of the benchmark, and the search length with which tiling starts.
-SEEDS, SEARCH = 500_000, 20
+#: Seeds of a slice of the benchmark.
+SEEDS = 500_000
 
 words = re.compile(r"\w+").findall
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
-def _stretches(doc: list[int], item: list[int], s: int, free_doc: bytearray, free_item: bytearray) -> list[tuple[int, int, int]]:
-    """Maximal common stretches of at least ``s`` unmarked words: (length, start in ``doc``, start in ``item``)."""
-    def windows(seq, free):
-        top, h, run = pow(_BASE, s - 1, _MOD), 0, 0
-        for i, x in enumerate(seq):
-            if not free[i] or x < 0:
-                h = run = 0
-                continue
-            if run >= s:
-                h -= (seq[i - s] + 1) * top
-            h, run = (h * _BASE + x + 1) % _MOD, run + 1
-            if run >= s:
+def _runs(seq: list[int], free: bytearray, least: int) -> list[tuple[int, int]]:
+    """Bounds of the runs of ``least`` or more unmarked words that the other side may have."""
+    out, a = [], 0
+    for b, x in enumerate([*seq, -1]):
+        if x < 0 or not free[b]:
+            if b - a >= least:
+                out.append((a, b))
+            a = b + 1
+    return out
+
+
+def _windows(seq: list[int], runs: list[tuple[int, int]], s: int):
+    """(start, running hash) of every ``s`` words in the runs."""
+    top = pow(_BASE, s, _MOD)
+    for a, b in runs:
+        h = 0
+        for i in range(a, b):
+            h = (h * _BASE + seq[i] + 1) % _MOD
+            if i - a >= s:
+                h = (h - (seq[i - s] + 1) * top) % _MOD
+            if i - a >= s - 1:
                 yield i - s + 1, h
 
-    table = defaultdict(list)
-    for i, h in windows(item, free_item):
+
+def _longest(doc: list[int], item: list[int], in_doc: list[tuple[int, int]], in_item: list[tuple[int, int]], least: int, most: int) -> int:
+    """Words of the longest common stretch of runs, 0 if none has ``least``. If there is one, there are shorter ones of each length."""
+    def common(s: int) -> bool:
+        starts = {h: i for i, h in _windows(item, in_item, s)}
+        for d, h in _windows(doc, in_doc, s):
+            i = starts.get(h)
+            if i is not None and doc[d : d + s] == item[i : i + s]:
+                return True
+        return False
+
+    lo, hi = least - 1, most
+    while lo < hi:
+        s = hi if hi == most and lo < least else (lo + hi + 1) // 2  # whole items are common
+        if common(s):
+            lo = s
+        else:
+            hi = s - 1
+    return lo if lo >= least else 0
+
+
+def _mark(doc: list[int], item: list[int], in_doc: list[tuple[int, int]], in_item: list[tuple[int, int]], s: int, free_doc: bytearray, free_item: bytearray) -> list[tuple[int, int, int]]:
+    """Mark the common stretches of ``s`` words, the longest there are, from the left: (length, start, start)."""
+    table, top, out = defaultdict(list), pow(_BASE, s, _MOD), []
+    for i, h in _windows(item, in_item, s):
         table[h].append(i)
-    out = []
-    for d, h in windows(doc, free_doc):
-        for i in table.get(h, ()):
-            if d and i and free_doc[d - 1] and free_item[i - 1] and doc[d - 1] == item[i - 1]:
-                continue  # part of a stretch that starts earlier
-            n = 0
-            while d + n < len(doc) and i + n < len(item) and free_doc[d + n] and free_item[i + n] and doc[d + n] == item[i + n]:
-                n += 1
-            if n >= s:
-                out.append((n, d, i))
+    for own in table.values():
+        own.reverse()  # the leftmost is taken from the end
+    for a, b in in_doc:
+        d, h = a, None
+        while d + s <= b and table:
+            if h is None:
+                h = 0
+                for x in doc[d : d + s]:
+                    h = (h * _BASE + x + 1) % _MOD
+            own = table.get(h)
+            while own and free_item.find(0, own[-1], own[-1] + s) >= 0:
+                own.pop()  # marked since
+            if own is not None and not own:
+                del table[h]
+            i = next((i for i in reversed(own or ()) if doc[d : d + s] == item[i : i + s] and free_item.find(0, i, i + s) < 0), None)
+            if i is not None:
+                out.append((s, d, i))
+                free_doc[d : d + s] = free_item[i : i + s] = bytes(s)
+                d, h = d + s, None
+            else:
+                if d + s < b:
+                    h = (h * _BASE + doc[d + s] + 1 - (doc[d] + 1) * top) % _MOD
+                d += 1
     return out
 
 
 def tile(doc: list[int], item: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of numbers (below 0: no word of the item): (length, start, start)."""
-    free_doc, free_item = bytearray(b"\1" * len(doc)), bytearray(b"\1" * len(item))
-    tiles, s = [], max(least, min(SEARCH, len(item)))
+    free_doc, free_item = bytearray(b"\1" * (len(doc) + 1)), bytearray(b"\1" * (len(item) + 1))
+    tiles, most = [], len(item)
     while True:
-        found = _stretches(doc, item, s, free_doc, free_item)
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * s:
-            s = longest
-            continue
-        heap = [(-n, d, i) for n, d, i in found]
-        heapq.heapify(heap)
-        while heap:
-            n, d, i = heapq.heappop(heap)
-            free = [free_doc[d + j] and free_item[i + j] for j in range(-n)]
-            if all(free):
-                tiles.append((-n, d, i))
-                free_doc[d : d - n] = free_item[i : i - n] = bytes(-n)
-                continue
-            run = 0  # what longer tiles left of it competes again
-            for j, x in enumerate([*free, 0]):
-                if x:
-                    run += 1
-                    continue
-                if run >= s:
-                    heapq.heappush(heap, (-run, d + j - run, i + j - run))
-                run = 0
-        if s == least:
+        in_doc, in_item = _runs(doc, free_doc, least), _runs(item, free_item, least)
+        most = min([most, *(max((b - a for a, b in runs), default=0) for runs in (in_doc, in_item))])
+        most = _longest(doc, item, in_doc, in_item, least, most)
+        if not most:
             return tiles
-        s = max(least, s // 2)
+        tiles += _mark(doc, item, in_doc, in_item, most, free_doc, free_item)
 
 
 class Items:

@@ -79,7 +79,7 @@ def test_weights_are_those_of_a_plain_count(spark):
     pages = []
     for i in range(30):
         body = "".join(f"<p>{'w%d ' % rnd.randrange(10**6) * rnd.randint(5, 30)}</p>" for _ in range(rnd.randint(2, 6)))
-        pages.append((i, f"https://h{i % 2}.example/", f"<body><div class=a><a href="/">{'l%d ' % i * 3}</a></div><div class=b>{body}</div><div class=c>{'c%d ' % i * rnd.randint(1, 9)}</div></body>"))
+        pages.append((i, f"https://h{i % 2}.example/", f"<body><div class=a><a href=x>{'l%d ' % i * 3}</a></div><div class=b>{body}</div><div class=c>{'c%d ' % i * rnd.randint(1, 9)}</div></body>"))
     tree = {(r["host"], r["node"]): r for r in style_tree.style_trees(spark.createDataFrame(pages, PAGES)).collect()}
     leaf = {"a": ">body>div.a", "b": ">body>div.b", "p": ">body>div.b>p", "c": ">body>div.c"}
     shares: dict = {}
