@@ -306,12 +306,12 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
     )
     log = F.when(F.col("pages") > 1, F.log("pages"))
     by_itself = 1 - LOWERED * F.col("named") / F.col("pages")
-    nodes = written(_weighed(nodes.select(
+    nodes = written(_weighed(written(nodes.select(
         "host", "node", (F.size(F.split("node", ">")) - 1).alias("depth"), F.regexp_replace("node", ">[^>]*$", "").alias("up"), "pages", "named", "share", "own", "linked", "children", by_itself.alias("by_itself"),
         # -sum (n / m) log_m (n / m), with m the pages of the node
         F.when(F.col("children").isNotNull(), F.coalesce((F.log("pages") - F.col("styles") / F.col("pages")) / log, F.lit(1.0))).alias("presentation"),
         F.when(F.col("texts").isNotNull(), F.coalesce(1 - F.col("spread") / F.col("texts") / log, F.lit(1.0))).alias("raw"),
-    )), "style-tree")
+    ), "style-tree-nodes")), "style-tree")
     levels: list[DataFrame] = []
     for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
         own = nodes.where(F.col("depth") == depth)
