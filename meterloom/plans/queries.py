@@ -8,19 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import errors, flags, money, providers, text
+from ..functions import errors, flags, money, text
 from ..functions.times import day_epoch, day_text
 from ..operators import aggregates as A
 from ..operators import archive, filters, store
 from ..operators.cost import compute_cost
 from ..operators.filters import EventFilter
-from ..sources import catalog, ingest, versions
+from ..sources import catalog, versions
 from ..sources.events import FACTS_DUCKDB, facts
 from ..schema import EVENT
 from ..streaming import keyed, stateful
 from ..streaming.calls import Limits, stream_calls
 from ..streaming.ingest import Sink, stream_rollup
-from . import examples
+from . import derived, examples
 
 CUTOFF = 1_705_276_800 * 10**9  # 2024-01-15
 USER, KEY = "user_7", "key_3"
@@ -92,18 +92,6 @@ def _cost(**options):
     return lambda s, d: priced(s, d, **options).select("id", "cost_nanodollars")
 
 
-def _values(rows, names: str) -> str:
-    def lit(x):
-        return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({names})"
-
-
-def _payloads(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(examples.PAYLOADS)), "n long, value string")
-    return ingest.reasons(lines, F.lit(examples.NOW_NS))
-
-
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder, where ``spark.checkpoint.dir`` says or, without it, in a test."""
     return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='meterloom-')}/{name}-{uuid.uuid4().hex}"
@@ -219,35 +207,10 @@ def _in_batches(walk):
     return run
 
 
-#: What fills in for fields that a payload leaves out: (payload, method, endpoint, output tokens, ms, streaming).
-_DEFAULTS = [(0, "POST", "", 512, 0, 0), (1, "POST", "", 0, 0, 0), (13, "POST", "", 0, 0, 0), (15, "POST", "", 0, 0, 0), (20, "POST", "", 200, 0, 1), (21, "bad method", "", 0, 0, 0)]
-_ENDS = [("anthropic", None, "api.anthropic.com", "x-api-key"), ("openai_compatible", "proxy.invalid", "proxy.invalid", "authorization"), ("ollama", None, "localhost", "authorization"), ("azure_openai", None, "openai.azure.com", "api-key")]
 _KEEP = {"free": 7, "pro": 14}
 _STATUS = EventFilter(status_from=400, status_below=500)
 _ALL = EventFilter(user_id=USER, model="claude-sonnet-4-20250514", provider="anthropic", from_ns=CUTOFF - 86_400 * 10**9 * 10, to_ns=CUTOFF)
 _CURSOR = (CUTOFF, "00000000000000000000005000")
-_MODELS = ["  GPT-4o ", "Claude\t", "ÀB", "x"]
-_PROVIDERS = ["OpenAI", "opencode-ZEN", "My-Proxy", "bedrock"]
-_NAMES = ["gpt-4o", "gpt-4o-2024-08-06", "GPT-4O-20240806", "gemini-2.0-flash", "gpt-5-mini", "unknown-model"]
-#: Every name under which an entry of the example catalog is found: (name, entry, how it was made, input, output).
-_ALIASES = [
-    ("azure/gpt-5-mini-2025-08-07", "azure/gpt-5-mini-2025-08-07", 0, 900, 9000), ("azure/gpt-5-mini", "azure/gpt-5-mini-2025-08-07", 1, 900, 9000),
-    ("gpt-5-mini-2025-08-07", "azure/gpt-5-mini-2025-08-07", 2, 900, 9000), ("gpt-5-mini", "azure/gpt-5-mini-2025-08-07", 3, 900, 9000),
-    ("claude-sonnet-4-20250514", "claude-sonnet-4-20250514", 0, 3000, 15000), ("claude-sonnet-4", "claude-sonnet-4-20250514", 1, 3000, 15000),
-    ("gemini/gemini-2.0-flash", "gemini/gemini-2.0-flash", 0, 100, 400), ("gemini-2.0-flash", "gemini/gemini-2.0-flash", 2, 100, 400), ("gpt-4o", "gpt-4o", 0, 2500, 10000),
-    ("mixed/case-model", "mixed/case-model", 0, 1000, 0), ("case-model", "mixed/case-model", 2, 1000, 0),
-    ("openai/gpt-5-mini-2025-08-07", "openai/gpt-5-mini-2025-08-07", 0, 250, 2000), ("openai/gpt-5-mini", "openai/gpt-5-mini-2025-08-07", 1, 250, 2000),
-]
-_COSTS = [0, 9, 10, -1, 123456789012, -123456789012, 2**63 - 1, -(2**63)]
-
-
-_TRACES = ["0xABCDEF0123456789abcdef0123456789", "abcdef0123456789abcdef0123456789", "xyz"]
-
-
-def _one(spark, values, name, kind="string"):
-    return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-
-
 def queries() -> dict:
     def scan(f):
         return lambda s, d: f(priced(s, d))
@@ -255,7 +218,7 @@ def queries() -> dict:
     def cube(f):
         return lambda s, d: f(A.rollup(priced(s, d)))
 
-    return {
+    return derived.queries() | {
         "cost_default": _cost(), "cost_batch": _cost(is_batch=True), "cost_long_context": _cost(context_bucket="above_200k"), "cost_cache_1h": _cost(cache_ttl="hours1"),
         "cost_geo": (lambda s, d: priced(s, d, geo="non_us", geo_multiplier=F.lit(1.25)).select("id", "cost_nanodollars")),
         "cost_as_of_versions": _as_of,
@@ -282,29 +245,17 @@ def queries() -> dict:
         "events_with_archive": _archive_round_trip,
         "archive_any_overlap": scan(lambda e: archive.any_overlap(_manifests(e), USER, CUTOFF - 5 * 86_400 * 10**9, CUTOFF)),
         "archive_no_overlap": scan(lambda e: archive.any_overlap(_manifests(e), "nobody", 0, CUTOFF)),
-        "batch_outcomes": lambda s, d: ingest.batch_outcomes(s.createDataFrame(list(enumerate(examples.BATCHES)), "body long, value string"), F.lit(examples.NOW_NS)),
-        "key_tiers": lambda s, d: ingest.authenticated(s.createDataFrame(examples.CALLS, "call long, token string"), s.createDataFrame([(*k, i) for i, k in enumerate(examples.KEYS)], "token string, key_id string, tier string, position long")),
-        "auth_key_ids": lambda s, d: _one(s, ["id:secret", "two:parts:more"], "raw").select("raw", text.key_id(F.col("raw")).alias("key_id")),
         "events_page_by_offset": scan(lambda e: _events(filters.offset_page(e, [F.desc("ts_ns"), F.desc("id")], 30, 60))),
-        "trace_ids": lambda s, d: _one(s, _TRACES, "raw").select("raw", text.trace_id(F.col("raw")).alias("trace_id")),
         "stats_ordered": cube(lambda c: A.stats(c, by_model=True).orderBy(*A.ordered(A.STATS_ORDER)).limit(2)),
         "expired_older_than": scan(lambda e: _events(store.gc_survivors(e, 1_706_745_600 * 10**9, dict.fromkeys(store.TIERS, 10)))),
         "days": scan(lambda e: e.groupBy(day_epoch().alias("day"), day_text().alias("day_text")).agg(F.count(F.lit(1)).alias("n"))),
         "usage_merge_saturating": scan(lambda e: A.usage_merge(e.withColumn("input_tokens", F.col("input_tokens") * 400_000), ["provider"]).select("provider", "input_tokens", "output_tokens")),
         "cost_sum_saturating": scan(lambda e: e.groupBy("provider").agg(money.sum_saturating(F.col("cost_nanodollars").cast("decimal(38,0)") * F.lit(10**9).cast("decimal(12,0)")).alias("cost_nanodollars"))),
         "billable_input": scan(lambda e: e.groupBy("provider").agg(F.sum(money.total_billable_input(F.col("provider"), F.col)).alias("tokens"))), "total_output": scan(lambda e: e.groupBy("provider").agg(F.sum(money.total_output(F.col)).alias("tokens"))),
-        "cost_display": lambda s, d: _one(s, _COSTS, "nanos", "long").select("nanos", money.cost_display(F.col("nanos")).alias("shown")),
-        "normalize_model": lambda s, d: _one(s, _MODELS, "raw").select("raw", text.normalize_model(F.col("raw")).alias("model")),
-        "normalize_provider": lambda s, d: _one(s, _PROVIDERS, "raw").select("raw", providers.provider_key(F.col("raw")).alias("provider"), providers.provider_base_url(F.col("raw")).alias("base_url")),
-        "validate_reasons": lambda s, d: _payloads(s).select("n", "reason"), "reject_counts": lambda s, d: _payloads(s).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
-        "host_classify": lambda s, d: s.createDataFrame(examples.HOST_CASES, "host string, path string, expected string").select("host", "path", providers.provider_of_host(F.col("host"), F.col("path")).alias("provider")),
-        "error_classify": lambda s, d: s.createDataFrame(examples.ERROR_CASES, "status int, body string, expected string").select("status", "body", errors.from_response(F.col("status"), F.col("body"))["t"].alias("kind")),
         "error_type_key": scan(lambda e: e.groupBy(errors.decode(errors.encode(errors.from_wire(F.col("error_type"), F.lit(None).cast("string"), F.col("http_status"))))["t"].alias("kind")).agg(F.count(F.lit(1)).alias("n"))),
         "tags_promoted": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(text.json_string(F.concat(F.lit('{"user_tag":"'), F.col("event_type"), F.lit('","session_tag":3}')), "user_tag").alias("user_tag")).agg(F.count(F.lit(1)).alias("n")),
         "flags_pack_unpack": scan(lambda e: e.withColumn("bits", flags.pack(lambda n: F.col(n) if n in ("streaming", "tool_calls", "ttft_ms", "http_status", "time_to_close_ms") else F.when(F.col("is_error") == 1, F.lit("e")) if n == "error_json" else F.lit(False)))
                                   .groupBy("bits", flags.unpack(F.col("bits"))["streaming"].alias("streaming")).agg(F.count(F.lit(1)).alias("n"))),
-        "catalog_alias_expand": lambda s, d: example_catalog(s).select("model", "canonical", "rank", "input", "output"),
-        "catalog_lookup": lambda s, d: catalog.with_rates(_one(s, _NAMES, "model"), example_catalog(s)).select("model", F.col("rates.canonical").alias("canonical"), F.col("rates.input").alias("input")),
         "idempotent_first_seen": scan(lambda e: keyed.first_seen(e.select("id", "ts_ns", "user_id"), "user_id", ttl_s=86_400)),
         "token_bucket": scan(lambda e: keyed.token_bucket(e.select("id", "ts_ns", "api_key_id"), 0.0005, 2)),
         "stream_first_seen_state": _in_batches(lambda r: stateful.first_seen(r.select("id", "ts_ns", "user_id"), "user_id", ttl_s=86_400)),
@@ -313,9 +264,6 @@ def queries() -> dict:
         "stats_from_stored_rollup": lambda s, d: A.stats(_stream_rollup(s, d), by_model=True),
         "stored_rollup_page": lambda s, d: filters.offset_page(A.rollup_rows(_stream_rollup(s, d), user_id=USER), A.ordered(A.ROLLUP_ORDER), 10, 5),
         "store_after_deletes": _after_deletes,
-        "catalog_limits": lambda s, d: example_catalog(s).where("rank = 0").select("model", "search_query", "max_input_tokens", "mode"),
-        "ingest_defaults": lambda s, d: _payloads(s).where("reason is null").select("n", "event.method", "event.endpoint", "event.usage.output_tokens", "event.latency.total_ms", "event.flags.streaming"),
-        "provider_ends": lambda s, d: s.createDataFrame([e[:2] for e in _ENDS], "provider string, base_url string").select("provider", "base_url", providers.canonical_host(F.col("provider"), F.col("base_url")).alias("host"), providers.auth_header(F.col("provider")).alias("header")),
     }
 
 
@@ -333,9 +281,7 @@ def oracle_sql() -> dict[str, str]:
         return _with(f"SELECT {keys}, {_RESUM} FROM cube WHERE {where} GROUP BY ALL" if keys != "''" else f"SELECT '' AS provider, '' AS model, {_RESUM} FROM cube WHERE {where} HAVING count(*) > 0")
 
     day, keep = 86_400 * 10**9, {t: (1_706_745_600 - n * 86_400) for t, n in _KEEP.items()}
-    ascii_ = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     ts, id_ = _CURSOR
-    shown = "CASE WHEN nanos < 0 THEN '-' ELSE '' END || '$' || CAST(abs(CAST(nanos AS HUGEINT)) // 1000000000 AS VARCHAR) || '.' || lpad(CAST((abs(CAST(nanos AS HUGEINT)) % 1000000000) // 10 AS VARCHAR), 8, '0')"
     quantile = "v - v % CAST(2 ** greatest(length(bin(v)) - 8, 0) AS BIGINT)"
 
     def latency(keys: str) -> str:
@@ -356,26 +302,17 @@ def oracle_sql() -> dict[str, str]:
               FROM walk w JOIN rows r ON r.api_key_id = w.api_key_id AND r.n = w.n + 1)
             SELECT id, ts_ns, api_key_id, had >= 1 AS admitted, CASE WHEN had >= 1 THEN 0::DOUBLE ELSE (1 - had) / 0.0005::DOUBLE END AS wait_s FROM walk
             UNION ALL SELECT id, ts_ns, NULL, true, 0::DOUBLE FROM facts WHERE api_key_id IS NULL"""
-    return {
+    return derived.oracle_sql() | {
         "archive_any_overlap": _with(overlap.format(m=_MANIFESTS, u=USER, a=CUTOFF - 5 * day, b=CUTOFF)), "archive_no_overlap": _with(overlap.format(m=_MANIFESTS, u="nobody", a=0, b=CUTOFF)),
-        "batch_outcomes": f"SELECT CAST(body AS BIGINT) AS body, CAST(position AS BIGINT) AS position, CAST(reason AS VARCHAR) AS reason FROM {_values(examples.OUTCOMES, 'body, position, reason')}",
-        "key_tiers": f"SELECT CAST(call AS BIGINT) AS call, key_id, tier FROM {_values([(0, 'gamma', 'free'), (1, 'beta', 'team'), (2, None, 'free'), (3, None, 'free')], 'call, key_id, tier')}",
-        "auth_key_ids": "SELECT raw, split_part(raw, ':', 1) AS key_id FROM (VALUES ('id:secret'), ('two:parts:more')) AS t(raw)",
         "events_page_by_offset": events(tail=f"{_NEWEST} LIMIT 30 OFFSET 60"),
-        "trace_ids": f"SELECT raw, nullif(regexp_extract(lower(raw), '^(?:0x)?([0-9a-f]{{32}})$', 1), '') AS trace_id FROM {_values([(t,) for t in _TRACES], 'raw')}",
         "stats_ordered": _with(f"SELECT * FROM (SELECT provider, model, {_RESUM} FROM cube GROUP BY ALL) ORDER BY cost_nanodollars DESC, provider, model LIMIT 2"),
         "expired_older_than": events(survivors),
         "export_ndjson": _with("SELECT '{\"id\":\"' || id || '\",\"ts_ns\":' || ts_ns || ',\"user_id\":\"' || user_id || '\",\"model\":\"' || model || '\",\"provider\":\"' || provider || '\"' || coalesce(',\"http_status\":' || http_status, '') "
                                "|| ',\"cost_nanodollars\":' || cost_nanodollars || '}' AS value FROM priced WHERE provider = 'gemini'"),
         "latency_percentiles": _with("SELECT " + ", ".join(f"quantile_disc(total_ms, {q}) AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))) + " FROM priced"),
-        "catalog_alias_expand": f"SELECT model, canonical, CAST(\"rank\" AS INTEGER) AS \"rank\", CAST(\"input\" AS BIGINT) AS \"input\", CAST(\"output\" AS BIGINT) AS \"output\" FROM {_values(_ALIASES, 'model, canonical, \"rank\", \"input\", \"output\"')}",
         "stats_from_stored_rollup": stats("provider, model"), "stored_rollup_page": _with(f"SELECT * FROM cube WHERE user_id = '{USER}' ORDER BY day, user_id, api_key_id, model, provider LIMIT 10 OFFSET 5"),
         "store_after_deletes": events(f"is_error = 0 AND user_id <> '{USER}'"),
         "stream_calls_accepted": first_seen.replace("SELECT id, ts_ns, user_id, accepted FROM walk", "SELECT user_id, count(*) AS accepted FROM walk WHERE accepted GROUP BY user_id"),
-        "catalog_limits": "SELECT * FROM (VALUES ('azure/gpt-5-mini-2025-08-07', NULL::BIGINT, NULL::BIGINT, 'chat'), ('claude-sonnet-4-20250514', NULL, NULL, 'chat'), ('gemini/gemini-2.0-flash', NULL, NULL, 'chat'), ('gpt-4o', NULL, NULL, 'chat'), "
-                          "('mixed/case-model', 35000000, 4096, 'chat'), ('openai/gpt-5-mini-2025-08-07', 30000000, NULL, 'chat')) AS t(model, search_query, max_input_tokens, mode)",
-        "ingest_defaults": f"SELECT CAST(n AS BIGINT) AS n, method, endpoint, CAST(output_tokens AS BIGINT) AS output_tokens, CAST(total_ms AS BIGINT) AS total_ms, streaming = 1 AS streaming FROM {_values(_DEFAULTS, 'n, method, endpoint, output_tokens, total_ms, streaming')}",
-        "provider_ends": f"SELECT * FROM {_values(_ENDS, 'provider, base_url, host, header')}",
         # a row at a time of every user, or key: whether it is taken, and the state after it
         "idempotent_first_seen": first_seen,
         "token_bucket": token_bucket, "stream_first_seen_state": first_seen, "stream_token_bucket_state": token_bucket,
@@ -413,16 +350,9 @@ def oracle_sql() -> dict[str, str]:
         "cost_sum_saturating": _with("SELECT provider, CAST(least(sum(CAST(cost_nanodollars AS HUGEINT) * 1000000000), 9223372036854775807) AS BIGINT) AS cost_nanodollars FROM priced GROUP BY provider"),
         "billable_input": _with("SELECT provider, CAST(sum(CASE WHEN provider = 'anthropic' THEN input_tokens + cache_creation_input_tokens + cache_read_input_tokens ELSE input_tokens END) AS BIGINT) AS tokens FROM priced GROUP BY provider"),
         "total_output": _with("SELECT provider, CAST(sum(output_tokens + reasoning_tokens) AS BIGINT) AS tokens FROM priced GROUP BY provider"),
-        "cost_display": f"SELECT CAST(nanos AS BIGINT) AS nanos, {shown} AS shown FROM {_values([(c,) for c in _COSTS], 'nanos')}",
-        "normalize_model": f"SELECT raw, {ascii_.format(c='trim(raw, chr(9) || chr(10) || chr(13) || chr(32))')} AS model FROM {_values([(m,) for m in _MODELS], 'raw')}",
-        "normalize_provider": f"SELECT raw, CASE lower(raw) WHEN 'openai' THEN 'openai' WHEN 'bedrock' THEN 'bedrock' WHEN 'opencode-zen' THEN 'opencode_zen' ELSE 'openai_compatible' END AS provider, CASE WHEN lower(raw) IN ('openai', 'bedrock', 'opencode-zen') THEN NULL ELSE raw END AS base_url FROM {_values([(p,) for p in _PROVIDERS], 'raw')}",
-        "validate_reasons": f"SELECT CAST(n AS BIGINT) AS n, reason FROM {_values(list(enumerate(examples.REASONS)), 'n, reason')}",
-        "reject_counts": f"SELECT reason, count(*) AS n FROM {_values(list(enumerate(examples.REASONS)), 'n, reason')} WHERE reason IS NOT NULL GROUP BY reason",
-        "host_classify": f"SELECT * FROM {_values(examples.HOST_CASES, 'host, path, provider')}", "error_classify": f"SELECT * FROM {_values(examples.ERROR_CASES, 'status, body, kind')}",
         "error_type_key": _with("SELECT error_type AS kind, count(*) AS n FROM priced GROUP BY error_type"), "tags_promoted": "SELECT event_type AS user_tag, count(*) AS n FROM events GROUP BY event_type",
         "flags_pack_unpack": _with("SELECT CAST(bits AS INTEGER) AS bits, bits % 2 = 1 AS streaming, count(*) AS n FROM (SELECT CASE WHEN streaming THEN 1 ELSE 0 END + CASE WHEN tool_calls THEN 2 ELSE 0 END + CASE WHEN ttft_ms IS NOT NULL THEN 256 ELSE 0 END "
                                    "+ CASE WHEN http_status IS NOT NULL THEN 512 ELSE 0 END + CASE WHEN is_error = 1 THEN 1024 ELSE 0 END + CASE WHEN time_to_close_ms IS NOT NULL THEN 2048 ELSE 0 END AS bits FROM priced) GROUP BY ALL"),
-        "catalog_lookup": f"SELECT model, canonical, CAST(input AS BIGINT) AS input FROM {_values([('gpt-4o', 'gpt-4o', 2500), ('gpt-4o-2024-08-06', 'gpt-4o', 2500), ('GPT-4O-20240806', 'gpt-4o', 2500), ('gemini-2.0-flash', 'gemini/gemini-2.0-flash', 100), ('gpt-5-mini', 'azure/gpt-5-mini-2025-08-07', 900), ('unknown-model', None, None)], 'model, canonical, input')}",
     }
 
 

@@ -107,8 +107,11 @@ def test_errors_round_trip(spark):
     e = errors.from_wire(F.col("k"), F.col("m"), F.col("s"))
     for r in rows.select("k", e.alias("e"), errors.decode(errors.encode(e)).alias("d")).collect():
         assert r["e"] == r["d"] and r["e"]["t"] == (r["k"] if r["k"] in errors.KINDS else "other")
-    limit = spark.createDataFrame([examples.ERROR_CASES[4]], "status int, body string, expected string").select(errors.from_response(F.col("status"), F.col("body"))["l"].alias("l")).first()["l"]
-    assert limit == 3072
+    for at in ("limit", "param"):
+        body = lambda n: json.dumps({"error": {"type": "x_context_window", at: n if at == "limit" else {"limit": n}}})  # noqa: B023, E731
+        rows = spark.createDataFrame([(400, body(n), n) for n in (0, 9, 10**6, 2**32 - 1, 2**32, -1)], "status int, body string, n long")
+        for r in rows.select("n", errors.from_response(F.col("status"), F.col("body"))["l"].alias("l")).collect():
+            assert r["l"] == (r["n"] if 0 <= r["n"] < 2**32 else 0)
 
 
 def test_ingest(spark):
