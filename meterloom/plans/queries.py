@@ -174,6 +174,14 @@ def _streamed_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(sink.events())
 
 
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, errors and cost of a sink by tier, from the figures of its micro-batches."""
+    found = _sunk(spark, sf_dir).metrics()
+    whole = found.agg(F.sum("errors").alias("errors"), F.sum("cost_nanodollars").cast("long").alias("cost_nanodollars"), F.collect_list("stored_by_tier").alias("parts"))
+    each = whole.select("errors", "cost_nanodollars", F.explode("parts").alias("part")).select("errors", "cost_nanodollars", F.explode("part").alias("tier", "n"))
+    return each.groupBy("tier", "errors", "cost_nanodollars").agg(F.sum("n").alias("stored"))
+
+
 #: Bounds of quotas: inside two days, on days, inside one day, open.
 _BOUNDS = [(CUTOFF - 3 * 86_400 * 10**9 + 12_345, CUTOFF + 5 * 86_400 * 10**9 + 77), (CUTOFF, CUTOFF + 86_400 * 10**9 - 1), (CUTOFF + 3_600 * 10**9, CUTOFF + 40_000 * 10**9), (CUTOFF + 1, None)]
 _QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -222,7 +230,7 @@ def queries() -> dict:
         "cost_default": _cost(), "cost_batch": _cost(is_batch=True), "cost_long_context": _cost(context_bucket="above_200k"), "cost_cache_1h": _cost(cache_ttl="hours1"),
         "cost_geo": (lambda s, d: priced(s, d, geo="non_us", geo_multiplier=F.lit(1.25)).select("id", "cost_nanodollars")),
         "cost_as_of_versions": _as_of,
-        "quota_from_rollup": _quota_bounds, "rollup_after_erasure": _rollup_after_erasure, "streamed_after_retention": _streamed_after_retention,
+        "sink_metrics": _metrics, "quota_from_rollup": _quota_bounds, "rollup_after_erasure": _rollup_after_erasure, "streamed_after_retention": _streamed_after_retention,
         "events_newest_by_days": lambda s, d: _events(_kept(s, d).newest(EventFilter(provider="openai"), 100)),
         "latency_by_provider_and_day": lambda s, d: _sunk(s, d).latency(["provider", "day"], _QUANTILES), "latency_by_tier": lambda s, d: _sunk(s, d).latency(["tier"], _QUANTILES),
         "quota_user": scan(lambda e: A.quota(e, user_id=USER, from_ns=CUTOFF)), "quota_key": scan(lambda e: A.quota(e, api_key_id=KEY)),
@@ -326,6 +334,7 @@ def oracle_sql() -> dict[str, str]:
         "rollup_daily": _with("SELECT * FROM cube"), "stream_rollup_available_now": _with("SELECT * FROM cube"),
         "rollup_user_page": _with(f"SELECT * FROM cube WHERE user_id = '{USER}' ORDER BY day, user_id, api_key_id, model, provider LIMIT 10 OFFSET 5"),
         "stats_total": stats("''"), "stats_by_model": stats("provider, model"), "stats_provider": stats("provider, model", "provider = 'gemini'"), "stats_empty": stats("''", "provider = 'nobody'"),
+        "sink_metrics": _with("SELECT tier, count(*) AS stored, (SELECT CAST(sum(is_error) AS BIGINT) FROM priced) AS errors, (SELECT CAST(sum(cost_nanodollars) AS BIGINT) FROM priced) AS cost_nanodollars FROM priced GROUP BY tier"),
         "quota_from_rollup": " UNION ALL ".join(f"(SELECT CAST({n} AS INTEGER) AS bound, * FROM ({quota(f"user_id = '{USER}' AND ts_ns >= {lo} AND ts_ns <= {2**63 - 1 if hi is None else hi}")}))" for n, (lo, hi) in enumerate(_BOUNDS)),
         "rollup_after_erasure": _with(f"SELECT * FROM cube").replace("FROM priced GROUP BY ALL", f"FROM priced WHERE user_id <> '{USER}' AND is_error = 0 GROUP BY ALL"),
         "streamed_after_retention": events(" AND ".join([f"user_id <> '{USER}'", *(f"NOT (tier = '{t}' AND {_DAY} < {c})" for t, c in keep.items())])),

@@ -21,6 +21,7 @@ from ..operators.aggregates import less, merged, quota_from, rollup
 from ..operators.filters import EventFilter
 from ..operators.store import Store
 from ..sources.ingest import ingest
+from . import metrics
 
 
 @dataclass(frozen=True)
@@ -93,13 +94,30 @@ class Sink:
         fs.delete(path, True)
 
     def write(self, batch: int, events: DataFrame, rejects: DataFrame) -> None:
-        Store(self.spark, self.root, self.max_bytes).check_room()
-        events = events.withColumn("day", day_text()).hint("rebalance", "tier", "day")
-        events.sortWithinPartitions("tier", "day", "ts_ns").write.mode("overwrite").partitionBy("tier", "day").parquet(f"{self.root}/events/batch={batch}")
+        self.store.check_room()
+        events = events.withColumn("day", day_text()).hint("rebalance", "tier", "day").sortWithinPartitions("tier", "day", "ts_ns")
+        events, of_events = metrics.of_events(events)
+        events.write.mode("overwrite").partitionBy("tier", "day").parquet(f"{self.root}/events/batch={batch}")
         stored = self.spark.read.schema(events.schema).parquet(f"{self.root}/events/batch={batch}")
         rollup(stored).write.mode("overwrite").parquet(f"{self.root}/rollup/batch={batch}")
         histogram.counts(stored, [day_epoch().alias("day"), "tier", "provider"], "total_ms").write.mode("overwrite").parquet(f"{self.root}/latency/batch={batch}")
+        rejects, of_rejects = metrics.of_rejects(rejects)
         rejects.write.mode("overwrite").parquet(f"{self.root}/rejects/batch={batch}")
+        fs, path = self.path(f"events/batch={batch}")
+        found = metrics.row(batch, of_events, of_rejects, fs.getContentSummary(path).getLength())
+        self.spark.createDataFrame([found], metrics.METRICS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/metrics/n={batch}")
+
+    def metrics(self) -> DataFrame:
+        """A row for each micro-batch: what was stored, at what cost, of which tiers, and what was refused, why."""
+        return self.spark.read.schema(metrics.METRICS).parquet(f"{self.root}/metrics/n=*")
+
+    def sample(self, at_ns: int) -> None:
+        """Add the files and bytes of each tier as they are now to the samples; only the listing is read."""
+        sizes = self.store.tier_sizes().groupBy("tier").agg(F.countDistinct("day").alias("days"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        sizes.select(F.lit(at_ns).alias("at_ns"), "*").coalesce(1).write.mode("append").parquet(f"{self.root}/samples")
+
+    def samples(self) -> DataFrame:
+        return self.spark.read.schema("at_ns long, tier string, days long, files long, bytes long").parquet(f"{self.root}/samples")
 
 
 def stream_ingest(spark: SparkSession, lines_path: str, sink: Sink, catalog: Callable[[], DataFrame], checkpoint: str, tier: str = "free",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators import aggregates, archive, filters
 from meterloom.plans import examples, queries
-from meterloom.streaming import keyed, stateful
+from meterloom.streaming import keyed, metrics, stateful
 from meterloom.streaming.calls import Limits, stream_calls
 from meterloom.streaming.ingest import Sink, stream_ingest
 
@@ -196,3 +196,31 @@ def test_a_sink_is_a_store(spark, tmp_path):
     assert sink.events().count() == 1 and s.partitions() == [("free", filters.day_of((start + 4 * day) * 10**9))]
     s.append(sink.events().drop("day").withColumn("id", F.concat("id", F.lit("x"))))  # both kinds in one store
     assert s.read().count() == 2 and s.newest(limit=5).count() == 2
+
+
+def test_figures_are_those_of_what_was_written(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sink, watch = Sink(spark, str(tmp_path / "out")), metrics.Watch()
+    spark.streams.addListener(watch)
+    try:
+        for name in ("a", "b"):
+            (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(p for p in examples.PAYLOADS if "\n" not in p))
+            stream_ingest(spark, str(tmp_path / "in"), sink, lambda: queries.example_catalog(spark), str(tmp_path / "check")).awaitTermination()
+    finally:
+        spark.streams.removeListener(watch)
+    rows = sink.metrics().orderBy("batch").collect()
+    events, rejects = sink.events().collect(), sink.rejects().collect()
+    assert [r["batch"] for r in rows] == [0, 1] and sum(r["stored"] for r in rows) == len(events) and sum(r["rejected"] for r in rows) == len(rejects)
+    assert sum(r["cost_nanodollars"] for r in rows) == sum(e["cost_nanodollars"] for e in events) and sum(r["errors"] for r in rows) == sum(e["is_error"] for e in events)
+    assert all(r["stored_by_tier"] == {"free": r["stored"]} and r["event_bytes"] > 0 for r in rows)
+    reasons: dict = {}
+    for r in rows:
+        for k, n in r["rejected_by_reason"].items():
+            reasons[k] = reasons.get(k, 0) + n
+    assert reasons == {k: sum(x["reason"] == k for x in rejects) for k in {x["reason"] for x in rejects}} and "other" not in reasons
+    sink.sample(5)
+    sink.store.collect_all_garbage(10**9 * 86_400 * 40_000, 1)
+    sink.sample(6)
+    samples = {r["at_ns"]: r for r in sink.samples().collect()}
+    assert samples.keys() == {5} and samples[5]["tier"] == "free" and samples[5]["files"] > 0 and samples[5]["bytes"] > 0
+    assert sum(r["rows"] for r in watch.reports) % (2 * sum("\n" not in p for p in examples.PAYLOADS)) == 0 and not watch.failed  # a row counts each time it is read
