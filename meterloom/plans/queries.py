@@ -139,7 +139,7 @@ def _kept(spark: SparkSession, sf_dir: str) -> store.Store:
     return held
 
 
-def _sunk(spark: SparkSession, sf_dir: str) -> Sink:
+def stored_sink(spark: SparkSession, sf_dir: str) -> Sink:
     """All events as a stream's sink has them, of two micro-batches."""
     events = priced(spark, sf_dir)
     missing = {f.name: F.lit(None).cast(f.dataType) for f in EVENT.fields if f.name not in events.columns}
@@ -152,7 +152,7 @@ def _sunk(spark: SparkSession, sf_dir: str) -> Sink:
 
 def _quota_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quota for each of some bounds, from the stored rollup and the edges."""
-    sink, rows = _sunk(spark, sf_dir), None
+    sink, rows = stored_sink(spark, sf_dir), None
     for n, (lo, hi) in enumerate(_BOUNDS):
         row = sink.quota(USER, from_ns=lo, to_ns=hi).select(F.lit(n).alias("bound"), "cost_nanodollars", "event_count")
         rows = row if rows is None else rows.unionByName(row)
@@ -160,7 +160,7 @@ def _quota_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rollup_after_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sink = _sunk(spark, sf_dir)
+    sink = stored_sink(spark, sf_dir)
     sink.store.erase_user(USER)
     sink.store.delete(sink.events().where("is_error = 1").select("id"))
     return sink.rollup()
@@ -168,7 +168,7 @@ def _rollup_after_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of streamed events after a user was erased and days that are too old were dropped."""
-    sink = _sunk(spark, sf_dir)
+    sink = stored_sink(spark, sf_dir)
     sink.store.erase_user(USER)
     sink.store.collect_garbage(1_706_745_600 * 10**9, _KEEP)
     return _events(sink.events())
@@ -176,7 +176,7 @@ def _streamed_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, errors and cost of a sink by tier, from the figures of its micro-batches."""
-    found = _sunk(spark, sf_dir).metrics()
+    found = stored_sink(spark, sf_dir).metrics()
     whole = found.agg(F.sum("errors").alias("errors"), F.sum("cost_nanodollars").cast("long").alias("cost_nanodollars"), F.collect_list("stored_by_tier").alias("parts"))
     each = whole.select("errors", "cost_nanodollars", F.explode("parts").alias("part")).select("errors", "cost_nanodollars", F.explode("part").alias("tier", "n"))
     return each.groupBy("tier", "errors", "cost_nanodollars").agg(F.sum("n").alias("stored"))
@@ -232,7 +232,7 @@ def queries() -> dict:
         "cost_as_of_versions": _as_of,
         "sink_metrics": _metrics, "quota_from_rollup": _quota_bounds, "rollup_after_erasure": _rollup_after_erasure, "streamed_after_retention": _streamed_after_retention,
         "events_newest_by_days": lambda s, d: _events(_kept(s, d).newest(EventFilter(provider="openai"), 100)),
-        "latency_by_provider_and_day": lambda s, d: _sunk(s, d).latency(["provider", "day"], _QUANTILES), "latency_by_tier": lambda s, d: _sunk(s, d).latency(["tier"], _QUANTILES),
+        "latency_by_provider_and_day": lambda s, d: stored_sink(s, d).latency(["provider", "day"], _QUANTILES), "latency_by_tier": lambda s, d: stored_sink(s, d).latency(["tier"], _QUANTILES),
         "quota_user": scan(lambda e: A.quota(e, user_id=USER, from_ns=CUTOFF)), "quota_key": scan(lambda e: A.quota(e, api_key_id=KEY)),
         "quota_user_and_key": scan(lambda e: A.quota(e, USER, "key_0")), "quota_empty": scan(lambda e: A.quota(e, "nobody")),
         "rollup_daily": lambda s, d: A.rollup(priced(s, d)),
