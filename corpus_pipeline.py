@@ -5,6 +5,12 @@ last return the columns of ``documents``. Rejected are: documents of low quality
 near-duplicate group, and documents that hold a benchmark item. Secrets are blanked out, not the
 documents that hold them. SQL can express none of the first, second, third and fifth, so there is no
 ``ORACLE_SQL``; the tests hold the rows against brute force.
+
+Defined results: null and empty texts pass the stages like any other; as their fingerprints are zero they are one
+near-duplicate group, of which one row stays, with no token. Rows with a null key are kept and dropped like others;
+of repeated rows one stays. Columns beyond those of the table stay until the last stage, whatever their
+names. Without labels all documents are kept by the first stage, without benchmark items by the third; an empty
+table of documents gives an empty result.
 """
 
 from __future__ import annotations
