@@ -30,3 +30,30 @@ def test_stages(spark, data):
     assert safe.columns == columns and {r["doc_id"] for r in safe.collect()} == clean
     out = corpus_pipeline.run(spark, data).collect()
     assert {r["doc_id"] for r in out} == clean and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def _folder(spark, data, docs, path, empty=()):
+    docs.write.parquet(f"{path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        rows = spark.read.parquet(f"{data}/{t}.parquet")
+        (rows.limit(0) if t in empty else rows).write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_odd_rows_and_no_labels(spark, data, odd, tmp_path):
+    folder = _folder(spark, data, odd, tmp_path / "odd", ("labels", "benchmark"))
+    rows = corpus_pipeline.run(spark, folder).collect()
+    # 1, 2, 2 and 6 are copies for a fingerprint, as are the empty texts; the rest differ
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)
+    assert ids == [(False, 1), (False, 3), (False, 5), (False, 7), (False, 8), (False, 20), (True, 0)]
+    assert all(r["round_trip"] for r in rows) and next(r for r in rows if r["doc_id"] == 3)["n_tokens"] == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == odd.columns
+    text = next(r["text"] for r in docs.collect() if r["doc_id"] == 7)
+    assert "hunter2" not in text and "AKIA" not in text and "[secret]" in text and "é" in text
+
+
+def test_empty_documents(spark, data, empty, tmp_path):
+    assert corpus_pipeline.run(spark, _folder(spark, data, empty, tmp_path / "empty")).count() == 0
