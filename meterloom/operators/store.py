@@ -94,16 +94,15 @@ class Store:
     def tombstones(self) -> DataFrame:
         return self._table(self.tombstones_path, TOMBSTONES)
 
-    def _stored(self, days: list[str] | None = None) -> DataFrame:
-        """All events with ``day``, those that were appended and those of a stream's micro-batches; of some days, only their folders are listed."""
+    def _stored(self, folders: list | None = None) -> DataFrame:
+        """All events with ``day``, those that were appended and those of a stream's micro-batches, or those of some of their folders."""
         names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENT.fields)
-        if days is None:
+        if folders is None:
             paths = {top: [f"{self.events_path}/{top}=*"] for top in self._tops()}
         else:
             paths = {}
-            for tier, day in self.partitions():
-                for _, path in self._places(tier, day) if day in days else ():
-                    paths.setdefault("batch" if path.getParent().getParent().getName().startswith("batch=") else "tier", []).append(path.toString())
+            for path in folders:
+                paths.setdefault("batch" if path.getParent().getParent().getName().startswith("batch=") else "tier", []).append(path.toString())
         reader = self.spark.read.option("basePath", self.events_path)
         found = [reader.schema(f"{names}, day string{more}").parquet(*paths[top]).drop("batch") for top, more in (("tier", ""), ("batch", ", batch string")) if top in paths]
         if not found:
@@ -120,14 +119,15 @@ class Store:
         Days are read from the newest on, twice as many each time, until ``limit`` rows are found or no day is left: whatever is in an older
         day is older. The bounds of the filter and the cursor leave out days without reading them.
         """
-        tiers = None if which.tier is None else {which.tier}
-        days = sorted({d for t, d in self.partitions() if tiers is None or t in tiers}, reverse=True)
+        places = {k: v for k, v in self._places().items() if which.tier is None or k[0] == which.tier}
+        days = sorted({d for _, d in places}, reverse=True)
         hi = min(x for x in (which.to_ns, cursor[0] if cursor else None, 2**63 - 1) if x is not None)
         days = [d for d in days if d <= day_of(hi) and (which.from_ns is None or d >= day_of(which.from_ns))]
-        at, step = 0, 1
+        at, step, tombstones = 0, 1, self.tombstones()
         while True:
             at, step = at + step, 2 * step
-            found = newest(alive(which.apply(self._stored(days[:at])), self.tombstones()), limit=limit, cursor=cursor)
+            some = [p for (_, d), paths in places.items() if d in days[:at] for p in paths]
+            found = newest(alive(which.apply(self._stored(some)), tombstones), limit=limit, cursor=cursor)
             if at >= len(days) or found.select("id").count() >= limit:
                 return found
 
@@ -135,13 +135,14 @@ class Store:
 
     def collect_garbage(self, now_ns: int, keep_days: dict[str, int]) -> list[tuple[str, str]]:
         """Drop the days of each tier that end before its cutoff; 0 keeps for ever, a day across the cutoff stays."""
-        gone = []
+        gone, places = [], self._places()
         for tier, days in keep_days.items():
             if days > 0:
                 cutoff = day_of(now_ns - days * DAY * SECOND)
-                gone += [(tier, d) for t, d in self.partitions() if t == tier and d < cutoff]
-        for tier, day in gone:
-            for fs, path in self._places(tier, day):
+                gone += [(tier, d) for t, d in sorted(places) if t == tier and d < cutoff]
+        fs, _ = self._fs(self.events_path)
+        for partition in gone:
+            for path in places[partition]:
                 fs.delete(path, True)
         return gone
 
@@ -150,9 +151,10 @@ class Store:
         if days <= 0:
             raise ValueError("days must be positive")
         cutoff = day_of(now_ns - days * DAY * SECOND)
+        fs, _ = self._fs(self.events_path)
         files = 0
-        for tier, day in self.partitions():
-            for fs, path in self._places(tier, day) if day < cutoff else ():
+        for (_, day), paths in self._places().items():
+            for path in paths if day < cutoff else ():
                 files += sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(path))
                 fs.delete(path, True)
         return files
@@ -163,9 +165,9 @@ class Store:
 
     def tier_sizes(self) -> DataFrame:
         """``tier, day, files, bytes`` of the partitions, from the listing of the files."""
-        rows = []
-        for tier, day in self.partitions():
-            files = [f.getLen() for fs, path in self._places(tier, day) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")]
+        rows, (fs, _) = [], self._fs(self.events_path)
+        for (tier, day), paths in sorted(self._places().items(), key=lambda x: x[0]):
+            files = [f.getLen() for path in paths for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")]
             rows.append((tier, day, len(files), sum(files)))
         return self.spark.createDataFrame(rows, "tier string, day string, files long, bytes long")
 
@@ -183,16 +185,19 @@ class Store:
         fs, path = self._fs(self.events_path)
         return [path, *(p for p in self._folders(path) if p.getName().startswith("batch="))]
 
-    def _places(self, tier: str, day: str) -> list:
-        """(file system, folder) of a day of a tier, one for each micro-batch that had some of it."""
-        fs, path = self._fs(self.events_path)
-        made = [self.spark._jvm.org.apache.hadoop.fs.Path(root, f"tier={tier}/day={day}") for root in self._roots()]
-        return [(fs, p) for p in made if fs.exists(p)]
+    def _places(self) -> dict[tuple[str, str], list]:
+        """Folders of each (tier, day), one for each micro-batch that had some of it; from one listing."""
+        out: dict[tuple[str, str], list] = {}
+        for root in self._roots():
+            for tier in self._folders(root):
+                if (t := tier.getName()).startswith("tier="):
+                    for day in self._folders(tier):
+                        out.setdefault((t[5:], day.getName()[4:]), []).append(day)
+        return out
 
     def partitions(self) -> list[tuple[str, str]]:
         """(tier, day) from the folders, without reading a file."""
-        tiers = [t for root in self._roots() for t in self._folders(root) if t.getName().startswith("tier=")]
-        return sorted({(t.getName()[5:], d.getName()[4:]) for t in tiers for d in self._folders(t)})
+        return sorted(self._places())
 
     def compact(self, tier: str, day: str) -> None:
         """One partition's many small files rewritten, without what is deleted. What a stream wrote stays by micro-batches.
