@@ -116,20 +116,21 @@ class Store:
     def newest(self, which: EventFilter = EventFilter(), limit: int = DEFAULT_EVENTS, cursor: tuple[int, str | None] | None = None) -> DataFrame:
         """The newest live events that match, at most ``limit``, from as few days as it takes.
 
-        Days are read from the newest on, twice as many each time, until ``limit`` rows are found or no day is left: whatever is in an older
+        Days are read from the newest on, each time twice as many or as many as those before let expect to be enough, until ``limit`` rows are found or no day is left: whatever is in an older
         day is older. The bounds of the filter and the cursor leave out days without reading them.
         """
         places = {k: v for k, v in self._places().items() if which.tier is None or k[0] == which.tier}
         days = sorted({d for _, d in places}, reverse=True)
         hi = min(x for x in (which.to_ns, cursor[0] if cursor else None, 2**63 - 1) if x is not None)
         days = [d for d in days if d <= day_of(hi) and (which.from_ns is None or d >= day_of(which.from_ns))]
-        at, step, tombstones = 0, 1, self.tombstones()
+        at, tombstones = 1, self.tombstones()
         while True:
-            at, step = at + step, 2 * step
             some = [p for (_, d), paths in places.items() if d in days[:at] for p in paths]
             found = newest(alive(which.apply(self._stored(some)), tombstones), limit=limit, cursor=cursor)
-            if at >= len(days) or found.select("id").count() >= limit:
+            n = 0 if at >= len(days) else found.select("id").count()
+            if at >= len(days) or n >= limit:
                 return found
+            at = max(2 * at + 1, -(-5 * at * limit // (4 * n)) if n else 4 * at)
 
     # retention
 
