@@ -372,3 +372,12 @@ def test_histograms_merge_and_keep_their_bound(spark):
         for name, q in (("p1", 0.01), ("p50", 0.5), ("p999", 0.999), ("all", 1.0)):
             exact = own[max(math.ceil(q * len(own)), 1) - 1]
             assert got[k][name] <= exact <= got[k][name] * (1 + 2**-7)
+
+
+def test_latency_percentiles_are_exact(spark):
+    """Among more different numbers than a sketch keeps, dealt in no order; ranks that are whole, too."""
+    for n in (400_001, 400_000):
+        rows = spark.range(n).select((F.pmod(F.col("id") * 7919, F.lit(n)) * 1001 - 1000).alias("total_ms")).unionByName(spark.createDataFrame([(None,)], "total_ms long"))
+        want = {name: (-(-n * q // 1000) - 1) * 1001 - 1000 for name, q in (("p50", 500), ("p95", 950), ("p99", 990), ("p999", 999))}
+        assert aggregates.latency_percentiles(rows.repartition(16)).first().asDict() == want
+    assert set(aggregates.latency_percentiles(rows.where("false")).first()) == {None}
