@@ -210,6 +210,21 @@ def test_chunks_are_bounded_and_in_time_order(spark, tmp_path):
     assert archive.read_chunks(spark, manifests, skip_bad=True).count() in (2200, 2400)
 
 
+def test_small_chunks_come_back_together_and_from_all_tasks(spark, tmp_path):
+    """Outcomes and events of chunks of one event: a batch of rows for many of them, and no few tasks that read them all."""
+    import pyarrow as pa
+
+    rows = [{"archive_user": f"u{i:04d}", "archive_day": "2024-01-01", "archive_chunk": 0, "line": json.dumps({"id": str(i), "ts_ns": i}), "ts_ns": i} for i in range(archive.ROWS + 10)]
+    given = pa.RecordBatch.from_pylist(rows)
+    made = list(archive._chunk_writer(str(tmp_path), "run", 1)(iter(given.slice(at, 500) for at in range(0, len(rows), 500))))
+    assert [b.num_rows for b in made] == [archive.ROWS, 10] and {x for b in made for x in b.column("error").to_pylist()} == {None}
+    read = list(archive._chunk_reader(archive.MOST)(iter(made)))
+    assert [b.num_rows for b in read] == [archive.ROWS, 10] and [json.loads(x)["ts_ns"] for b in read for x in b.column("line").to_pylist()] == list(range(len(rows)))
+    manifests = spark.createDataFrame([r for b in made for r in b.to_pylist()], archive.OUTCOME).drop("error")
+    events = archive.read_all(spark, manifests.unionByName(manifests))
+    assert events.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and events.count() == len(rows)
+
+
 def test_a_chunk_that_fails_leaves_its_events_live(spark, tmp_path):
     s = store.Store(spark, f"{tmp_path}/store")
     s.append(_events(spark, 12))
