@@ -16,8 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -52,28 +51,33 @@ class Walk(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", f"{self.state}, wakes long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is None:
-            for chunk in rows:
-                yield chunk.drop(columns=SALT).assign(**dict(zip(self.outputs, self.alone())))
+            found = self.alone()
+            for row in rows:
+                yield self.decided(row, found)
             return
-        own = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
-        *had, wakes = self.held.get() if self.held.exists() else (None, None)
-        had, out = tuple(had) if wakes is not None else None, []
-        for at in own[self.order[0]].tolist():
-            had, found = self.step(had, at)
-            out.append(found)
-        if had is not None:
-            wake = -(-self.until(had) // 10**6)
-            if wake != wakes:
-                if wakes is not None:
-                    self.handle.deleteTimer(wakes)
-                self.handle.registerTimer(wake)
+        own = sorted(rows, key=lambda row: tuple((row[c] is None, row[c]) for c in self.order))
+        before = self.held.get()
+        had, wakes = (tuple(before[:-1]), before[-1]) if before is not None else (None, None)
+        for row in own:
+            had, found = self.step(had, row[self.order[0]])
+            yield self.decided(row, found)
+        wake = -(-self.until(had) // 10**6)
+        if wake != wakes:
+            if wakes is not None:
+                self.handle.deleteTimer(wakes)
+            self.handle.registerTimer(wake)
+        if before is None or tuple(before) != (*had, wake):
             self.held.update((*had, wake))
-        yield own.drop(columns=SALT).assign(**{n: [o[i] for o in out] for i, n in enumerate(self.outputs)})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists() and self.held.get()[-1] <= expiredTimerInfo.getExpiryTimeInMs():
+    def decided(self, row: Row, found: tuple) -> Row:
+        """A row, whose last column is the salt, with what was found."""
+        return Row(*row.__fields__[:-1], *self.outputs)(*row[:-1], *found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.held.get()
+        if held is not None and held[-1] <= expiredTimerInfo.getExpiryTimeInMs():
             self.held.clear()
         yield from ()
 
@@ -125,7 +129,7 @@ def _walked(rows: DataFrame, key: str, walk: Walk, outputs: list[StructField], l
     if lateness:
         timed = rows.withColumn("_event_time", F.timestamp_micros(F.expr(f"`{at}` div 1000"))).withWatermark("_event_time", lateness)
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(id_), F.lit(SPREAD))).otherwise(F.lit(0)).alias(SALT)
-    return timed.select(*rows.columns, salt).groupBy(key, SALT).transformWithStateInPandas(walk, schema, "Append", "EventTime")
+    return timed.select(*rows.columns, salt).groupBy(key, SALT).transformWithState(walk, schema, "Append", "EventTime")
 
 
 def first_seen(rows: DataFrame, key: str = "idempotency_key", at_ns: str = "ts_ns", id_: str = "id", ttl_s: int = 300, lateness: str | None = "1 hour") -> DataFrame:

@@ -135,6 +135,47 @@ def _walk(spark, tmp_path, walk, batches, schema):
     return spark.read.parquet(str(tmp_path / "out")).collect(), states
 
 
+def test_fourths_are_written_by_all_tasks(spark, data, tmp_path, monkeypatch):
+    """Whatever files the events are in, a micro-batch is a fourth of them and the rows are the same."""
+    monkeypatch.setattr(queries, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    spark.read.parquet(f"{data}/events.parquet").repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in queries.queries()["stream_first_seen_state"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in queries.queries()["idempotent_first_seen"](spark, data).collect()}
+    parts = [list((tmp_path / "walk" / "in" / f"part={n}").glob("*.parquet")) for n in range(4)]
+    assert all(len(p) > 1 for p in parts) and sorted(p.name for p in (tmp_path / "walk" / "checkpoint" / "commits").iterdir() if not p.name.startswith(".")) == list("0123")
+
+
+def test_a_key_asks_its_state_once():
+    """A key whose rows change nothing is one call to the state store, a new one three."""
+    from pyspark.sql import Row
+
+    class Handle(list):
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            return lambda *x: self.append((name, *x))
+
+        value = None
+
+        def exists(self):
+            self.append(("exists",))
+            return self.value is not None
+
+        def get(self):
+            self.append(("get",))
+            return self.value
+
+    rows = [Row(id=str(i), k="x", ts_ns=i * 10**9, **{stateful.SALT: 0}) for i in (3, 1, 2)]
+    for value, calls in ((None, [("get",), ("registerTimer", 11_000), ("update", (10**9, 11_000))]), ((0, 10_000), [("get",)])):
+        walk, handle = stateful.Replays("ts_ns", "id", 10 * 10**9), Handle()
+        handle.value = value
+        walk.init(handle)
+        got = list(walk.handleInputRows(("x", 0), iter(rows), None))
+        assert [r.asDict() for r in got] == [{"id": str(i), "k": "x", "ts_ns": i * 10**9, "accepted": value is None and i == 1} for i in (1, 2, 3)]
+        assert list(handle) == calls
+
+
 def test_state_ends_with_its_time(spark, tmp_path):
     schema, second = "id string, k string, ts_ns long", 10**9
     batches = [[("a", "x", 0), ("b", "x", 5 * second), ("c", "y", 9 * second), ("n", None, 0)], [("d", "x", 11 * second), ("e", "z", 100 * second)], [("f", "z", 105 * second), ("g", "late", 2 * second), ("h", "x", 112 * second)]]
